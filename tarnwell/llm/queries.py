@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from tarnwell.llm.decontam import op3_benchmark_decontamination
+from tarnwell.llm.html_extract import op9_html_extraction
 from tarnwell.llm.licenses import op8_license_scans
+from tarnwell.llm.minhash import op7_minhash_near_dedup
+from tarnwell.llm.mixing import op10_mix_sources
 from tarnwell.llm.quality_rules import op1_quality_rules
 from tarnwell.llm.url_filters import OP6_SQL, op6_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_benchmark_decontamination, op6_url_filters, op8_license_scans)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_benchmark_decontamination, op6_url_filters, op7_minhash_near_dedup, op8_license_scans, op9_html_extraction, op10_mix_sources)}
 SQL = {"op6_url_filters": OP6_SQL}

@@ -8,7 +8,8 @@ from tarnwell.llm.licenses import op8_license_scans
 from tarnwell.llm.minhash import op7_minhash_near_dedup
 from tarnwell.llm.mixing import op10_mix_sources
 from tarnwell.llm.quality_rules import op1_quality_rules
+from tarnwell.llm.rlz_dedup import OP4_SQL, op4_substring_dedup
 from tarnwell.llm.url_filters import OP6_SQL, op6_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_benchmark_decontamination, op6_url_filters, op7_minhash_near_dedup, op8_license_scans, op9_html_extraction, op10_mix_sources)}
-SQL = {"op6_url_filters": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_benchmark_decontamination, op4_substring_dedup, op6_url_filters, op7_minhash_near_dedup, op8_license_scans, op9_html_extraction, op10_mix_sources)}
+SQL = {"op4_substring_dedup": OP4_SQL, "op6_url_filters": OP6_SQL}

@@ -189,7 +189,7 @@ def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, unnest(generate_series(1, len(w) - 12)) AS i, w FROM d WHERE len(w) >= 13),
 g AS (SELECT doc_id, i, md5(array_to_string(w[i:i+12], ' ')) AS h FROM s),
 m AS (SELECT h, min(doc_id) AS low FROM g GROUP BY h),
@@ -197,6 +197,6 @@ c AS (SELECT DISTINCT doc_id, i + k AS p FROM g JOIN m USING (h), generate_serie
 r AS (SELECT doc_id, list(p) AS gone, count(*) AS n FROM c GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
   sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE
-    array_to_string(list_transform(list_filter(generate_series(1, len(w)), x -> NOT list_contains(gone, x)), x -> w[x]), ' ') END) AS kept_sha256
+    array_to_string(list_transform(list_filter(generate_series(1, len(w)), lambda x: NOT list_contains(gone, x)), lambda x: w[x]), ' ') END) AS kept_sha256
 FROM d LEFT JOIN r USING (doc_id)
 """

@@ -192,8 +192,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = 20_000, **option
     bounds what is broadcast and what reaches the driver (a few numbers a row).
     """
     chosen = pick(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "quality").limit(max_train)
-    rows = with_statistics(pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")).where(~base_failed())
-    got = rows.select("doc_id", "quality", *FEATURES).orderBy("doc_id", "quality", *FEATURES).collect()
+    # No filter or sort follows: a filter on the statistics would be pushed below the join, and a sort would run them twice.
+    rows = with_statistics(pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    got = sorted(r for r in rows.select("doc_id", "quality", *FEATURES, base_failed().alias("base_failed")).collect() if not r["base_failed"])
     x = {k: np.array([r[k] for r in got], float) for k in FEATURES}
     y = np.array([r["quality"] == 0 for r in got], bool)
     held = np.arange(len(got)) % 3 == 2

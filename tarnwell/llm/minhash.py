@@ -9,9 +9,10 @@ pairs with similarity 0.8, about one in 10^6 is farther apart in every chunk.)
 Links are confirmed on the full sets.
 
 Documents with equal sets form a class, of which only the smallest doc_id goes
-on. A key's classes are first compared with a pivot each, in rounds; only keys
-that still hold several components are then compared in full, in blocks. So the
-components are those of all links without all pairs of a group being made.
+on. A key's classes are first compared with its smallest; keys of three or more
+that still hold several components are then compared in full, in blocks that
+hold the sets, so that no rows are made for pairs that prove not to be links.
+A pair is compared only under the first key that it shares.
 
 Defined results: a null text, or one without words, has an empty set and is
 linked with nothing; rows that share a doc_id share a component; a null doc_id
@@ -107,7 +108,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out[:, :, gap] = mix(value ^ mix((np.arange(CHUNKS, dtype=U) * U(each) + U(gap + 1)) * STEP))
         k = CHUNKS * each
         ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), k)
-        yield pa.RecordBatch.from_arrays([pa.array(out.reshape(-1).view(np.int64)), pa.array(ids)], names=["key", "id"])
+        slot = np.tile(np.arange(k, dtype=np.int8), len(sig))
+        yield pa.RecordBatch.from_arrays([pa.array(out.reshape(-1).view(np.int64)), pa.array(slot), pa.array(ids)], names=["key", "slot", "id"])
 
 
 def _confirm(percent: int):
@@ -127,23 +129,105 @@ def _confirm(percent: int):
     return run
 
 
-def _block_pairs(pdf):
-    import pandas as pd
-
-    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-    left, right = (pdf[pdf["block"] == i], pdf[pdf["block"] == j])
-    sig = lambda x: np.frombuffer(b"".join(x["sig"]), np.uint16).reshape(-1, MINIMA)
-    if not len(left) or not len(right):
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    a, b = sig(left), sig(right)
+def common_shingles(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``left`` with all of ``right``, as products of 0-1 matrices over a few columns at a time."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    a_row, b_row = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
+    both = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(both):
+        return out
+    place = lambda x: np.minimum(np.searchsorted(both, x), len(both) - 1)
+    at_a, at_b = place(a), place(b)
+    hit_a, hit_b = both[at_a] == a, both[at_b] == b
+    at_a, a_row, at_b, b_row = at_a[hit_a], a_row[hit_a], at_b[hit_b], b_row[hit_b]
+    order_a, order_b = np.argsort(at_a, kind="stable"), np.argsort(at_b, kind="stable")
+    at_a, a_row, at_b, b_row = at_a[order_a], a_row[order_a], at_b[order_b], b_row[order_b]
+    for low in range(0, len(both), columns):
+        x = np.zeros((len(left), min(columns, len(both) - low)), np.float32)
+        y = np.zeros((len(right), x.shape[1]), np.float32)
+        s, t = np.searchsorted(at_a, (low, low + columns))
+        x[a_row[s:t], at_a[s:t] - low] = 1
+        s, t = np.searchsorted(at_b, (low, low + columns))
+        y[b_row[s:t], at_b[s:t] - low] = 1
+        out += x @ y.T
+    return out
+
+
+def block_links(slot: int, same: bool, left: dict, right: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs (larger id, smaller id) of two blocks under one key, of different components, whose first shared key this is."""
+    each = MINIMA // CHUNKS
+    a, b = left["sig"], right["sig"]
     far = np.zeros((len(a), len(b)), np.int16)
-    for k in range(MINIMA):
-        far += a[:, k, None] != b[None, :, k]
-    ok = (far <= ERRORS) & (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :])
-    x, y = left["id"].to_numpy()[:, None], right["id"].to_numpy()[None, :]
-    p, q = np.nonzero(ok & ((x < y) if i == j else (x != y)))
-    u, v = x[p, 0], y[0, q]
-    return pd.DataFrame({"a": np.maximum(u, v), "b": np.minimum(u, v)})
+    first, gap = np.full(far.shape, CHUNKS, np.int8), np.zeros(far.shape, np.int8)
+    for c in range(CHUNKS):
+        wrong, where = np.zeros(far.shape, np.int16), np.zeros(far.shape, np.int8)
+        for j in range(each):
+            differ = a[:, c * each + j, None] != b[None, :, c * each + j]
+            wrong += differ
+            where[differ] = j
+        far += wrong
+        new = (wrong <= 1) & (first == CHUNKS)
+        first[new], gap[new] = c, np.where(wrong == 1, where, 0)[new]
+    ok = (far <= ERRORS) & (first == slot // each) & (gap == slot % each) & (left["comp"][:, None] != right["comp"][None, :])
+    if same:
+        ok = np.triu(ok, 1)
+    n, m = np.array([len(x) for x in left["set"]]), np.array([len(x) for x in right["set"]])
+    ok &= 100 * np.minimum(n[:, None], m[None, :]) >= percent * np.maximum(n[:, None], m[None, :])
+    rows, cols = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    common = np.zeros(ok.shape, np.float32)
+    common[np.ix_(rows, cols)] = common_shingles([left["set"][i] for i in rows], [right["set"][i] for i in cols])
+    ok &= 100 * common >= percent * (n[:, None] + m[None, :] - common)
+    p, q = np.nonzero(ok)
+    u, v = left["id"][p], right["id"][q]
+    return np.maximum(u, v), np.minimum(u, v)
+
+
+def _blocks(percent: int):
+    """Links within each (key, i, j), whose rows come together; a group has two blocks at most."""
+
+    def linked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        i, j, slot = (table[k][0].as_py() for k in ("i", "j", "slot"))
+        block = table["block"].to_numpy()
+        side = []
+        for at in (i, j):
+            part = table.filter(pa.array(block == at))
+            side.append(
+                {
+                    "id": part["id"].to_numpy(),
+                    "comp": part["comp"].to_numpy(),
+                    "sig": np.frombuffer(b"".join(part["sig"].to_pylist()), np.uint16).reshape(-1, MINIMA),
+                    "set": [np.frombuffer(x.as_buffer(), U) for x in part["set"]],
+                }
+            )
+        return block_links(slot, i == j, *side, percent) if len(side[0]["id"]) and len(side[1]["id"]) else (np.zeros(0, np.int64),) * 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        now = None
+
+        def out(tables: list[pa.Table]) -> pa.RecordBatch:
+            u, v = linked(pa.concat_tables(tables))
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            keys = np.stack([table[k].to_numpy() for k in ("key", "i", "j")], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for s, t in zip(cuts[:-1], cuts[1:], strict=True):
+                if s == t:
+                    continue
+                if held and tuple(keys[s]) != now:
+                    yield out(held)
+                    held = []
+                now = tuple(keys[s])
+                held.append(table.slice(s, t - s))
+        if held:
+            yield out(held)
+
+    return run
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -160,14 +244,14 @@ def components(links: DataFrame) -> DataFrame:
         comp = new.select("id", "comp")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text)."""
     docs = pick(docs, "doc_id", "text")
     base = checkpointed(docs.mapInArrow(_signatures(shingle), "doc_id long, n long, class binary, sig binary"))
     held = base.where("n > 0 and doc_id is not null")
     reps = held.groupBy("class").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     reps = checkpointed(reps)
-    keyed = reps.select("id", "sig").mapInArrow(_keys, "key long, id long")
+    keyed = reps.select("id", "sig").mapInArrow(_keys, "key long, slot byte, id long")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     keyed = checkpointed(keyed.join(shared.select("key"), "key"))
     wanted = keyed.select("id").distinct()
@@ -175,39 +259,22 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, rou
     source = docs.select(F.col("doc_id").alias("id"), "text").where("id is not null").join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
     sets = checkpointed(source.mapInArrow(_sets(shingle), "id long, set binary").dropDuplicates(["id"]))
     size = reps.select("id", "n")
-    empty = docs.sparkSession.createDataFrame([], "a long, b long")
-    links, comp = empty, docs.sparkSession.createDataFrame([], "id long, comp long")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select("a", "b").distinct()
-        pairs = pairs.join(size.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
-        pairs = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
-        rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-        return rows.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
-
-    live = keyed.withColumn("comp", F.col("id"))
-    for k in range(rounds + 1):
-        if k < rounds:
-            order = F.struct(F.lit(0).cast("long") if k == 0 else F.xxhash64("id", "key", F.lit(k)), F.col("id"))
-            pivot = live.groupBy("key").agg(F.min_by("id", order).alias("b"), F.min_by("comp", order).alias("pivot_comp"))
-            pairs = live.join(pivot, "key").where("id <> b and comp <> pivot_comp").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b"))
-        else:
-            rows = live.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
-            blocked = live.join(rows, "key").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
-            blocked = blocked.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(reps.select("id", "sig"), "id")
-            dealt = blocked.select("key", "id", "comp", "sig", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-            dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-            pairs = dealt.groupBy("key", "i", "j").applyInPandas(_block_pairs, "a long, b long")
-        new = checkpointed(confirmed(pairs))
-        links = links.union(new)
-        comp = components(links)
-        if k == rounds:
-            break
-        live = live.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        open_keys = live.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-        live = checkpointed(live.join(open_keys, "key", "left_semi"))
-        if not live.limit(1).count():
-            break
+    pivot = keyed.groupBy("key").agg(F.min("id").alias("b"))
+    pairs = keyed.join(pivot, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    pairs = pairs.join(size.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
+    pairs = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
+    rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    links = checkpointed(rows.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"))
+    comp = components(links)
+
+    live = keyed.join(comp, "id", "left").select("key", "slot", "id", F.coalesce("comp", "id").alias("comp"))
+    open_keys = live.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("rows")).where("x <> y and rows > 2").select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    live = live.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    live = live.join(reps.select("id", "sig"), "id").join(sets, "id")
+    dealt = live.select("key", "slot", "id", "comp", "sig", "set", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+    more = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks(percent), "a long, b long")
+    comp = components(links.union(checkpointed(more)))
     grouped = reps.join(comp, "id", "left").select("class", F.coalesce("comp", "id").alias("_comp"))
     out = base.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class")).alias("class")).join(grouped, "class", "left")
     component = F.coalesce("_comp", "doc_id")

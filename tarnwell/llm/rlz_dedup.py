@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,6 +109,7 @@ def _windows(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pc.fill_null(pc.greater(pc.list_value_length(batch.column(2)), 0), False))
             keep = []
             for a, b, data, offsets in slices(batch.column(1)):
                 h, rows, _, _ = word_hashes(data, offsets)
@@ -174,12 +176,12 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, texts: bool = False) ->
     sure = F.collect_list(F.when(F.col("doc_id") > F.col("low"), F.col("place"))).alias("sure")
     unsure = F.collect_list(F.when(F.col("doc_id") == F.col("low"), F.col("place"))).alias("unsure")
     parsed = checkpointed(parsed.groupBy("doc_id").agg(sure, unsure))
-    dealt = docs.repartition("doc_id")
-    edges = dealt.join(parsed.where("size(unsure) > 0").select("doc_id", "unsure"), "doc_id").select("doc_id", "text", "unsure")
-    edges = edges.mapInArrow(_windows(window), "gram long, doc_id long, begin long, sure boolean")
+    # One join for both uses, without a filter that would make them differ, so that the texts are shuffled once.
+    dealt = docs.repartition("doc_id").join(parsed, "doc_id", "left")
+    edges = dealt.select("doc_id", "text", "unsure").mapInArrow(_windows(window), "gram long, doc_id long, begin long, sure boolean")
     low = F.min("doc_id").over(Window.partitionBy("gram"))
     single = edges.select("doc_id", "begin", (F.col("sure") | (low < F.col("doc_id"))).alias("gone")).where("gone").groupBy("doc_id").agg(F.collect_list("begin").alias("single"))
-    whole = dealt.join(parsed.select("doc_id", "sure"), "doc_id", "left").join(single, "doc_id", "left")
+    whole = dealt.join(single, "doc_id", "left")
     last = "kept_text" if texts else "kept_sha256"
     return whole.select("doc_id", "text", "sure", "single").mapInArrow(_cover(window, texts), f"doc_id long, n_words long, n_removed long, {last} string")
 

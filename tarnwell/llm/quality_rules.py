@@ -185,8 +185,8 @@ def learn(x: dict[str, np.ndarray], y: np.ndarray, held: np.ndarray, *, max_rule
     return DecisionList(tuple(rules))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = 20_000, **options) -> DecisionList:
-    """Learn from labelled rows that the fixed base tests don't already fail.
+def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = 20_000, base: bool = True, **options) -> DecisionList:
+    """Learn from labelled rows; with ``base``, only those that the fixed base tests don't already fail.
 
     ``max_train``: so many labelled rows at most, chosen by a hash of doc_id; it
     bounds what is broadcast and what reaches the driver (a few numbers a row).
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = 20_000, **option
     chosen = pick(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "quality").limit(max_train)
     # No filter or sort follows: a filter on the statistics would be pushed below the join, and a sort would run them twice.
     rows = with_statistics(pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id"))
-    got = sorted(r for r in rows.select("doc_id", "quality", *FEATURES, base_failed().alias("base_failed")).collect() if not r["base_failed"])
+    got = sorted(r for r in rows.select("doc_id", "quality", *FEATURES, base_failed().alias("base_failed")).collect() if not (base and r["base_failed"]))
     x = {k: np.array([r[k] for r in got], float) for k in FEATURES}
     y = np.array([r["quality"] == 0 for r in got], bool)
     held = np.arange(len(got)) % 3 == 2
@@ -205,10 +205,11 @@ def base_failed(min_words: int = 50, max_repeat_percent: int = 50) -> Column:
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
 
 
-def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """``docs`` with statistics, ``base_failed``, the ``rule`` that fired (0: none) and ``kept``."""
+def judge(docs: DataFrame, rules: DecisionList, *, base: bool = True) -> DataFrame:
+    """``docs`` with statistics, ``base_failed``, the ``rule`` that fired (0: none) and ``kept``; without ``base`` the rules alone decide."""
     out = with_statistics(docs).withColumns({"base_failed": base_failed(), "rule": rules.rule_column()})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    fired = F.col("rule") != 0
+    return out.withColumn("kept", ~(F.col("base_failed") | fired) if base else ~fired)
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:

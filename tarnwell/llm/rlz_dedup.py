@@ -131,7 +131,34 @@ def _windows(window: int):
     return run
 
 
-def _cover(window: int, texts: bool):
+def _joined(data: np.ndarray, kept: np.ndarray, rows: np.ndarray, starts: np.ndarray, stops: np.ndarray, n_rows: int) -> list[bytes]:
+    """Each row's kept words, joined by one space."""
+    size = stops[kept] - starts[kept] + 1
+    to = np.cumsum(size)
+    source = np.repeat(starts[kept] - (to - size), size) + np.arange(to[-1] if len(to) else 0)
+    out = np.append(data, np.uint8(32))[source]
+    out[to - 1] = 32
+    left = np.concatenate(([0], np.cumsum(np.bincount(rows[kept], weights=size, minlength=n_rows).astype(np.int64))))
+    raw = out.tobytes()
+    return [raw[left[i] : max(left[i], left[i + 1] - 1)] for i in range(n_rows)]
+
+
+def _cut(data: np.ndarray, offsets: np.ndarray, gone: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """Each row's text without the words gone and the space after each."""
+    edge = np.zeros(len(data) + 1, np.int64)
+    after = np.append(starts[1:], len(data))
+    after = np.minimum(after, offsets[rows + 1]) if len(rows) else after[:0]
+    np.add.at(edge, starts[gone], 1)
+    np.add.at(edge, after[gone], -1)
+    stay = np.cumsum(edge[:-1]) == 0
+    left = np.concatenate(([0], np.cumsum(stay)))[offsets]
+    raw = data[stay].tobytes()
+    return [raw[a:b] for a, b in zip(left[:-1].tolist(), left[1:].tolist(), strict=True)]
+
+
+def _cover(window: int, carry: tuple[str, ...] | None):
+    """The result's rows. ``carry``: the columns that go along with the text that is left; None: its hash alone."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(1)):
@@ -148,26 +175,28 @@ def _cover(window: int, texts: bool):
                         np.add.at(ends, at[i] + p, 1)
                         np.add.at(ends, at[i] + p + window, -1)
                 gone = np.cumsum(ends[:-1]) > 0
-                kept = np.flatnonzero(~gone)
-                size = stops[kept] - starts[kept] + 1
-                to = np.cumsum(size)
-                source = np.repeat(starts[kept] - (to - size), size) + np.arange(to[-1] if len(to) else 0)
-                out = np.append(data, np.uint8(32))[source]
-                out[to - 1] = 32
-                left = np.concatenate(([0], np.cumsum(np.bincount(rows[kept], weights=size, minlength=b - a).astype(np.int64))))
-                raw = out.tobytes()
-                bodies = [raw[left[i] : max(left[i], left[i + 1] - 1)] for i in range(b - a)]
-                count, removed = np.diff(at), np.bincount(rows[gone], minlength=b - a)
-                last = pa.array([x.decode() for x in bodies], pa.string()) if texts else pa.array([hashlib.sha256(x).hexdigest() for x in bodies])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(count), pa.array(removed.astype(np.int64)), last], names=["doc_id", "n_words", "n_removed", "kept_text" if texts else "kept_sha256"])
+                columns = [batch.column(0).slice(a, b - a), pa.array(np.diff(at)), pa.array(np.bincount(rows[gone], minlength=b - a).astype(np.int64))]
+                names = ["doc_id", "n_words", "n_removed"]
+                if carry is None:
+                    bodies = _joined(data, np.flatnonzero(~gone), rows, starts, stops, b - a)
+                    columns, names = [*columns, pa.array([hashlib.sha256(x).hexdigest() for x in bodies])], [*names, "kept_sha256"]
+                else:
+                    bodies = _cut(data, offsets, gone, rows, starts)
+                    columns, names = [*columns, pa.array([x.decode() for x in bodies], pa.string())], [*names, "kept_text"]
+                    columns, names = [*columns, *(batch.column(4 + k).slice(a, b - a) for k in range(len(carry)))], [*names, *carry]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 13, texts: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 (or kept_text, where ``texts``) of every row of ``docs`` (doc_id, text)."""
-    docs = pick(docs, "doc_id", "text")
-    keyed = docs.where("doc_id is not null")
+def remove_repeats(docs: DataFrame, *, window: int = 13, carry: tuple[str, ...] | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of every row of ``docs`` (doc_id, text).
+
+    With ``carry``, kept_text instead (the text without the words removed, its
+    other space unchanged) and the columns of ``docs`` that are named in it.
+    """
+    docs = pick(docs, "doc_id", "text", *(carry or ()))
+    keyed = docs.where("doc_id is not null").select("doc_id", "text")
     found = keyed.mapInArrow(_runs(window, True), "anchor long, sig long, low long, several boolean")
     index = found.repartition("anchor").groupBy("anchor", "sig").agg(F.min("low").alias("low"), (F.max("several") | (F.min("low") < F.max("low"))).alias("several"))
     index = index.withColumn("settings", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).where("several or settings > 1")
@@ -182,8 +211,9 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, texts: bool = False) ->
     low = F.min("doc_id").over(Window.partitionBy("gram"))
     single = edges.select("doc_id", "begin", (F.col("sure") | (low < F.col("doc_id"))).alias("gone")).where("gone").groupBy("doc_id").agg(F.collect_list("begin").alias("single"))
     whole = dealt.join(single, "doc_id", "left")
-    last = "kept_text" if texts else "kept_sha256"
-    return whole.select("doc_id", "text", "sure", "single").mapInArrow(_cover(window, texts), f"doc_id long, n_words long, n_removed long, {last} string")
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry or ())
+    schema = f"doc_id long, n_words long, n_removed long, {'kept_sha256' if carry is None else 'kept_text'} string{kinds}"
+    return whole.select("doc_id", "text", "sure", "single", *(carry or ())).mapInArrow(_cover(window, carry), schema)
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

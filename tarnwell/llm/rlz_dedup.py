@@ -41,13 +41,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(h: np.ndarray, rows: np.ndarray, lengths: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """(first window, windows, anchor hash, block hash) of each block; ``h``, ``rows``, ``lengths``: of each word its hash, row and bytes."""
+    """(first window, windows, anchor, block hash) of each block, the anchor being 40 bits of its hash and 12 of each word beside it; ``h``, ``rows``, ``lengths``: of each word its hash, row and bytes."""
     none = np.zeros(0, np.int64)
     if len(h) < window:
         return none, none, np.zeros(0, U), np.zeros(0, U)
     pair = ngrams(h, PAIR)
     span = window - PAIR + 1  # anchors of a window
-    long = np.minimum(lengths[:-1] + lengths[1:], 255).astype(U)
+    long = np.minimum(lengths[: len(pair)], 255).astype(U)
     rank = ((U(255) - long) << U(56)) | (pair >> U(8))
     best, width = np.arange(len(rank)), 1
     while width < span:
@@ -66,10 +66,13 @@ def blocks(h: np.ndarray, rows: np.ndarray, lengths: np.ndarray, window: int) ->
     index = np.cumsum(new) - 1
     n = np.bincount(index[whole], minlength=len(first))
     power, inverse = _powers(len(h) + 1)
-    sums = np.concatenate((np.zeros(1, U), np.cumsum(h * power[:-1])))
-    at = best[first]
-    content = (sums[first + n + window - 1] - sums[first]) * inverse[first]
-    return first, n, pair[at], mix(content ^ mix((at - first).astype(U) * U(4096) + n.astype(U)))
+    at, total = best[first], np.concatenate((np.zeros(1, U), np.cumsum(h * power[:-1])))
+    content = (total[first + n + window - 1] - total[first]) * inverse[first]
+    # A window that holds the anchor holds the word before or the word after it: 12 bits of each, 0 where the block has none.
+    some = lambda x: (x >> U(40)) % U(4095) + U(1)
+    left = np.where(at > first, some(h[at - 1]), U(0))
+    right = np.where(at + PAIR < first + n + window - 1, some(h[np.minimum(at + PAIR, len(h) - 1)]), U(0))
+    return first, n, (pair[at] >> U(24) << U(24)) | (left << U(12)) | right, mix(content ^ mix((at - first).astype(U) * U(4096) + n.astype(U)))
 
 
 def _runs(window: int, shared: bool):
@@ -198,9 +201,11 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, carry: tuple[str, ...]
     docs = pick(docs, "doc_id", "text", *(carry or ()))
     keyed = docs.where("doc_id is not null").select("doc_id", "text")
     found = keyed.mapInArrow(_runs(window, True), "anchor long, sig long, low long, several boolean")
-    index = found.repartition("anchor").groupBy("anchor", "sig").agg(F.min("low").alias("low"), (F.max("several") | (F.min("low") < F.max("low"))).alias("several"))
-    index = index.withColumn("settings", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).where("several or settings > 1")
-    index = index.select("sig", "low", (F.col("settings") > 1).alias("more"))
+    place = F.shiftrightunsigned("anchor", 24)
+    index = found.repartition(place).groupBy(place.alias("place"), "anchor", "sig").agg(F.min("low").alias("low"), (F.max("several") | (F.min("low") < F.max("low"))).alias("several"))
+    before, after = F.shiftrightunsigned("anchor", 12).bitwiseAND(F.lit(4095).cast("long")), F.col("anchor").bitwiseAND(F.lit(4095).cast("long"))
+    beside = lambda x: (F.count(F.lit(1)).over(Window.partitionBy("place", x)) > 1) & (x > 0)
+    index = index.withColumn("more", beside(before) | beside(after)).where("several or more").select("sig", "low", "more")
     parsed = keyed.mapInArrow(_runs(window, False), "sig long, doc_id long, place long").join(index, "sig").where("doc_id > low or more")
     sure = F.collect_list(F.when(F.col("doc_id") > F.col("low"), F.col("place"))).alias("sure")
     unsure = F.collect_list(F.when(F.col("doc_id") == F.col("low"), F.col("place"))).alias("unsure")

@@ -32,8 +32,8 @@ from tarnwell.llm.flat import STEP, U, checkpointed, mix, ngrams, slices, word_h
 from tarnwell.llm.text import pick
 
 MINIMA, CHUNKS, ERRORS = 32, 8, 15
-#: Rows of a block of the full comparison.
-BLOCK = 256
+#: Rows and shingles of a block of the full comparison, on average.
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 500_000
 #: Rows up to which ids are broadcast (16 MB).
 MAX_BROADCAST_IDS = 1_000_000
 FACTORS = mix(np.arange(1, MINIMA + 1, dtype=U) * STEP) | U(1)
@@ -267,8 +267,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
     links = checkpointed(rows.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"))
     comp = components(links)
 
-    live = keyed.join(comp, "id", "left").select("key", "slot", "id", F.coalesce("comp", "id").alias("comp"))
-    open_keys = live.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("rows")).where("x <> y and rows > 2").select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    live = keyed.join(size, "id").join(comp, "id", "left").select("key", "slot", "id", "n", F.coalesce("comp", "id").alias("comp"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    open_keys = live.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("rows"), blocks.alias("blocks")).where("x <> y and rows > 2").select("key", "blocks")
     live = live.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     live = live.join(reps.select("id", "sig"), "id").join(sets, "id")
     dealt = live.select("key", "slot", "id", "comp", "sig", "set", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))

@@ -212,7 +212,9 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, carry: tuple[str, ...]
     parsed = checkpointed(parsed.groupBy("doc_id").agg(sure, unsure))
     # One join for both uses, without a filter that would make them differ, so that the texts are shuffled once.
     dealt = docs.repartition("doc_id").join(parsed, "doc_id", "left")
-    edges = dealt.select("doc_id", "text", "unsure").mapInArrow(_windows(window), "gram long, doc_id long, begin long, sure boolean")
+    # (Whatever columns one use alone would leave out would make it another shuffle.)
+    dealt = dealt.select("doc_id", "text", "unsure", "sure", *(carry or ()))
+    edges = dealt.mapInArrow(_windows(window), "gram long, doc_id long, begin long, sure boolean")
     low = F.min("doc_id").over(Window.partitionBy("gram"))
     single = edges.select("doc_id", "begin", (F.col("sure") | (low < F.col("doc_id"))).alias("gone")).where("gone").groupBy("doc_id").agg(F.collect_list("begin").alias("single"))
     whole = dealt.join(single, "doc_id", "left")

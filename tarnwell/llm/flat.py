@@ -14,8 +14,8 @@ U = np.uint64
 #: Bytes that separate words.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
+TO_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+TO_INSIDE = bytes(0 if x else 1 for x in SPACE)
 STEP, POLY = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 
 
@@ -48,9 +48,11 @@ def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, row of each word, first byte, end byte)."""
+    raw = data.tobytes()
     if lower:
-        data = LOWER[data]
-    inside = ~SPACE[data]
+        raw = raw.translate(TO_LOWER)
+        data = np.frombuffer(raw, np.uint8)
+    inside = np.frombuffer(raw.translate(TO_INSIDE), bool)
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     cuts = offsets[1:-1]
@@ -72,7 +74,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     if longest > 1:
         powers[1:] = np.cumprod(np.full(longest - 1, POLY, U))
     place[place >= longest] = 0  # only spaces, which count nothing
-    sums = np.add.reduceat(BYTE_OR_SPACE[data[lead:]] * powers[place], starts - lead)
+    values = np.take(BYTE_OR_SPACE, data[lead:])
+    values *= np.take(powers, place)
+    sums = np.add.reduceat(values, starts - lead)
     return mix(sums + (stops - starts).astype(U) * STEP), rows, starts, stops
 
 

@@ -73,9 +73,9 @@ def repeated(text: DataFrame, within: int = 10) -> DataFrame:
     return rows.withColumn("gap", F.col("nr") - before).where(F.col("gap") <= within).select("uuid")
 
 
-def imperative(text: DataFrame, most: int = 30) -> DataFrame:
+def imperative(text: DataFrame, most: int = 30, words: tuple[str, ...] = IMPERATIVES) -> DataFrame:
     first = F.lower(F.rtrim(F.split_part(F.trim("text_content"), F.lit(" "), F.lit(1)), F.lit(".,!?")))
-    return text.where("role = 'user'").where(F.length("text_content") <= most).where(first.isin(*IMPERATIVES)).select("uuid")
+    return text.where("role = 'user'").where(F.length("text_content") <= most).where(first.isin(*words)).select("uuid")
 
 
 def error_times(messages: DataFrame) -> DataFrame:

@@ -110,7 +110,7 @@ def canonical(stamps: DataFrame, mode: str = "earliest", bits: int = 3, exact: b
         running = running.withColumn("upto", F.min("least").over(w))
     elif mode != "macro":
         raise ValueError(mode)
-    out = rows.join(running, (rows["simhash64"] == running["x"]) & (rows["ts"] == running["ts"]))
+    out = rows.join(running.select(F.col("x").alias("simhash64"), "ts", "upto"), ["simhash64", "ts"])
     return out.select("uuid", F.coalesce("upto", "uuid").alias("canonical_uuid"))
 
 

@@ -149,6 +149,6 @@ def knn(vectors: DataFrame, key: str, vector: str, k: int, blocks: int | None =
         out = pd.DataFrame({"src": np.repeat(a["id"].to_numpy(), best.shape[1]), "dst": b["id"].to_numpy()[best.ravel()], "sim": value})
         return out[np.isfinite(value)]
 
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, schema)
+    found = left.groupBy("i", "j").cogroup(right.select("i", "j", F.col("id").alias("id"), F.col("v").alias("v")).groupBy("i", "j")).applyInPandas(run, schema)
     w = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
     return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")

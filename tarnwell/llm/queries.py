@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tarnwell.llm.bwt_dedup import op5_suffix_array_dedup
 from tarnwell.llm.decontam import op3_benchmark_decontamination
 from tarnwell.llm.html_extract import op9_html_extraction
 from tarnwell.llm.licenses import op8_license_scans
@@ -12,5 +13,5 @@ from tarnwell.llm.quality_rules import op1_quality_rules
 from tarnwell.llm.rlz_dedup import OP4_SQL, op4_substring_dedup
 from tarnwell.llm.url_filters import OP6_SQL, op6_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_scoring, op3_benchmark_decontamination, op4_substring_dedup, op6_url_filters, op7_minhash_near_dedup, op8_license_scans, op9_html_extraction, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_scoring, op3_benchmark_decontamination, op4_substring_dedup, op5_suffix_array_dedup, op6_url_filters, op7_minhash_near_dedup, op8_license_scans, op9_html_extraction, op10_mix_sources)}
 SQL = {"op4_substring_dedup": OP4_SQL, "op6_url_filters": OP6_SQL}

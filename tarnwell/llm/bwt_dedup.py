@@ -5,9 +5,10 @@ decides which places can matter: around each anchor (the window's least hash of
 ``ANCHOR`` bytes) lie the windows that have it as theirs, a block. Blocks that
 are equal as a whole repeat as a whole. The other blocks of an anchor that
 occurs again, one of each kind, go together to one task, where shards of them
-are suffix-sorted, their transforms merged by refining the interleave a byte at
-a time without sorting all suffixes again, and the intervals that still hold two
-suffixes after ``window`` rounds are the repeats: their common prefix is that long.
+are suffix-sorted, their transforms merged by refining the interleave a symbol
+(8 bytes) at a time without sorting all suffixes again, and the intervals that
+still hold two suffixes after ``window`` bytes' rounds are the repeats: their
+common prefix is that long.
 
 Defined results: a null text has no bytes; matches never cross texts; each row is
 a text of its own, so that all of repeated rows goes; rows must have distinct
@@ -28,9 +29,8 @@ from pyspark.sql import functions as F
 from tarnwell.llm.flat import BYTE, POLY, U, checkpointed, mix, slices
 from tarnwell.llm.text import pick
 
-#: Bytes of an anchor, of the context on either side that tells its settings apart, and of the texts one merge is about.
-ANCHOR, BESIDE, TOGETHER = 24, 8, 1 << 20
-SHARDS = 4
+#: Bytes of an anchor, and of the texts one merge is about; shards of a merge; bytes of a symbol.
+ANCHOR, TOGETHER, SHARDS, WIDE = 24, 1 << 20, 4, 8
 
 
 def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,9 +78,11 @@ def blocks(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarr
     at, end = at_each[first], first + n + window - 1
     part = lambda a, b: mix((sums[b] - sums[a]) * back[a])
     some = lambda x: (x >> U(40)) % U(4095) + U(1)
-    left = np.where(at - BESIDE >= first, some(part(np.maximum(at - BESIDE, 0), at)), U(0))
-    after = np.minimum(at + ANCHOR + BESIDE, len(data))
-    right = np.where(at + ANCHOR + BESIDE <= end, some(part(np.minimum(at + ANCHOR, len(data)), after)), U(0))
+    # A window that holds the anchor has half of the rest of it, at least, on one of its sides.
+    beside = (window - ANCHOR + 1) // 2
+    left = np.where(at - beside >= first, some(part(np.maximum(at - beside, 0), at)), U(0))
+    after = np.minimum(at + ANCHOR + beside, len(data))
+    right = np.where(at + ANCHOR + beside <= end, some(part(np.minimum(at + ANCHOR, len(data)), after)), U(0))
     anchor = (grams[at] >> U(24) << U(24)) | (left << U(12)) | right
     sig = mix(((sums[end] - sums[first]) * back[first]) ^ mix((at - first).astype(U) * U(4096) + n.astype(U)))
     return first, n, row[first], anchor, sig
@@ -96,17 +98,16 @@ def _found(window: int, index: bool):
                 first, n, row, anchor, sig = blocks(data, offsets, window)
                 ids = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)[row]
                 if index:
-                    keep.append((anchor.view(np.int64), sig.view(np.int64), ids))
+                    keep.append((anchor.view(np.int64), sig.view(np.int64), ids, ((first - offsets[row]) << 16) | n))
                 elif len(first):
                     yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(anchor.view(np.int64)), pa.array(ids.astype(np.int64)), pa.array(((first - offsets[row]) << 16) | n)], names=["sig", "anchor", "doc_id", "place"])
             if keep:
-                anchor, sig, ids = (np.concatenate(x) for x in zip(*keep, strict=True))
-                order = np.argsort(sig, kind="stable")
-                anchor, sig, ids = anchor[order], sig[order], ids[order]
+                anchor, sig, ids, place = (np.concatenate(x) for x in zip(*keep, strict=True))
+                order = np.lexsort((place, ids, sig))
+                anchor, sig, ids, place = anchor[order], sig[order], ids[order], place[order]
                 at = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
                 if len(at):
-                    low = np.minimum.reduceat(ids, at)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[at]), pa.array(sig[at]), pa.array(low.astype(np.int64)), pa.array(np.diff(np.append(at, len(sig))))], names=["anchor", "sig", "low", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor[at]), pa.array(sig[at]), pa.array(ids[at].astype(np.int64)), pa.array(place[at]), pa.array(np.diff(np.append(at, len(sig))))], names=["anchor", "sig", "low", "spot", "n"])
 
     return run
 
@@ -152,6 +153,14 @@ def transform(text: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
     return np.where(suffixes == 0, 0, text[suffixes - 1])
 
 
+def _by_symbol(symbols: np.ndarray) -> np.ndarray:
+    """Stable order of 32-bit symbols, by their low and then their high halves."""
+    low = np.argsort((symbols & 0xFFFF).astype(np.uint16), kind="stable")
+    if not len(symbols) or symbols.max() < 65536:
+        return low
+    return low[np.argsort((symbols[low] >> 16).astype(np.uint16), kind="stable")]
+
+
 def merged(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shard and position of each suffix in the order of all by ``depth`` symbols, and where a new prefix of that length begins.
 
@@ -163,50 +172,70 @@ def merged(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray
     before = [transform(x, s) for x, s in zip(shards, arrays, strict=True)]
     source = np.repeat(np.arange(len(shards), dtype=np.int8), [len(x) for x in shards])
     n = len(source)
-    block = np.zeros(n, np.int64)
-    symbols = np.empty(n, np.uint16)
+    block = np.zeros(n, np.int32)
+    symbols = np.empty(n, np.uint32)
     for _ in range(depth):
         for k, x in enumerate(before):
             symbols[source == k] = x
-        order = np.argsort(symbols, kind="stable")
+        order = _by_symbol(symbols)
         now, old = symbols[order], block[order]
         new = np.ones(n, bool)
         new[1:] = (now[1:] != now[:-1]) | (old[1:] != old[:-1]) | (now[1:] == 0)
-        source, block = source[order], np.cumsum(new)
+        source, block = source[order], np.cumsum(new, dtype=np.int32)
     position = np.empty(n, np.int64)
     for k, s in enumerate(arrays):
         position[source == k] = s
     return source, position, np.diff(block, prepend=-1) != 0
 
 
+def _symbols(bodies: list[bytes], wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of ``wide`` bytes, the string of each and where it begins there.
+
+    A string becomes one for each remainder of its places by ``wide``; each ends with 0.
+    """
+    sizes = np.array([len(x) for x in bodies], np.int64)
+    data = np.frombuffer(b"".join(bodies) + bytes(wide), np.uint8)
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    gram = np.zeros(len(data) - wide + 1, U)
+    for j in range(wide):
+        gram = (gram << U(8)) | data[j : j + len(gram)]
+    owner = np.repeat(np.arange(len(bodies)), sizes)
+    place = np.arange(at[-1]) - at[owner]
+    full = place + wide <= sizes[owner]
+    owner, place, gram = owner[full], place[full], gram[: at[-1]][full]
+    # In order of string and remainder, an end after each.
+    ends = np.repeat(np.arange(len(bodies)), wide), np.tile(np.arange(wide), len(bodies))
+    who = np.concatenate((owner, ends[0]))
+    phase = np.concatenate((place % wide, ends[1]))
+    where = np.concatenate((place, np.full(len(ends[0]), np.iinfo(np.int64).max)))
+    value = np.concatenate((gram, np.zeros(len(ends[0]), U)))
+    is_end = np.concatenate((np.zeros(len(gram), bool), np.ones(len(ends[0]), bool)))
+    order = np.lexsort((where, phase, who))
+    return np.where(is_end, U(0), value)[order], who[order], np.where(is_end, -1, where)[order]
+
+
 def repeats(bodies: list[bytes], depth: int) -> list[np.ndarray]:
     """Of each string, the places where ``depth`` bytes start that start elsewhere in the strings, too."""
-    cuts = [bodies[k::SHARDS] for k in range(SHARDS)]
-    shards, owner, begin = [], [], []
-    for k, part in enumerate(cuts):
-        sizes = np.array([len(x) + 1 for x in part], np.int64)
-        text = np.zeros(int(sizes.sum()), np.uint16)
-        joined = np.frombuffer(b"".join(x + b"\0" for x in part), np.uint8)
-        text[:] = joined.astype(np.uint16) + 1
-        ends = np.cumsum(sizes) - 1
-        text[ends] = 0
-        shards.append(text)
-        owner.append(np.repeat(np.arange(len(part)) * SHARDS + k, sizes))
-        begin.append(np.arange(len(text)) - np.repeat(ends + 1 - sizes, sizes))
-    source, position, new = merged(shards, depth)
+    wide = WIDE if depth % WIDE == 0 else 1
+    parts = [_symbols(bodies[k::SHARDS], wide) for k in range(SHARDS)]
+    sizes = [len(p[0]) for p in parts]
+    _, rank = np.unique(np.concatenate([np.where(p[2] < 0, U(0), p[0]) for p in parts]), return_inverse=True)
+    every = np.where(np.concatenate([p[2] for p in parts]) < 0, 0, rank + 1)
+    cuts = np.cumsum(sizes)[:-1]
+    source, position, new = merged(np.split(every, cuts), depth // wide)
     many = np.zeros(len(new), bool)
     many[:-1] |= ~new[1:]
     many[1:] |= ~new[1:]
-    out: list[list[np.ndarray]] = [[] for _ in bodies]
-    for k in range(SHARDS):
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(bodies)
+    for k, (_, owner, begin) in enumerate(parts):
         at = position[many & (source == k)]
-        who, where = owner[k][at], begin[k][at]
+        who, where = owner[at], begin[at]
         order = np.lexsort((where, who))
         who, where = who[order], where[order]
         edges = np.flatnonzero(np.diff(who, prepend=-1))
         for a, b in zip(edges, np.append(edges[1:], len(who)), strict=True):
-            out[who[a]].append(where[a:b])
-    return [x[0] if x else np.zeros(0, np.int64) for x in out]
+            out[who[a] * SHARDS + k] = where[a:b]
+    return out
 
 
 def _merges(window: int):
@@ -271,14 +300,14 @@ def remove_repeats(docs: DataFrame, *, window: int = 200) -> DataFrame:
     docs = pick(docs, "doc_id", "text")
     keyed = docs.where("doc_id is not null")
     place = F.shiftrightunsigned("anchor", 24)
-    found = keyed.mapInArrow(_found(window, True), "anchor long, sig long, low long, n long")
-    index = found.repartition(place).groupBy(place.alias("place"), "anchor", "sig").agg(F.min("low").alias("low"), F.sum("n").alias("n"))
+    found = keyed.mapInArrow(_found(window, True), "anchor long, sig long, low long, spot long, n long")
+    index = found.repartition(place).groupBy(place.alias("place"), "anchor", "sig").agg(F.min(F.struct("low", "spot")).alias("low"), F.sum("n").alias("n"))
     before, after = F.shiftrightunsigned("anchor", 12).bitwiseAND(F.lit(4095).cast("long")), F.col("anchor").bitwiseAND(F.lit(4095).cast("long"))
     beside = lambda x: (F.count(F.lit(1)).over(Window.partitionBy("place", x)) > 1) & (x > 0)
-    index = index.withColumn("more", beside(before) | beside(after) | ((before == 0) & (after == 0))).where("n > 1 or more").select("sig", "low", "n", "more")
+    index = index.withColumn("more", beside(before) | beside(after) | ((before == 0) & (after == 0))).where("n > 1 or more").select("sig", "low.low", "low.spot", "n", "more")
     parsed = keyed.mapInArrow(_found(window, False), "sig long, anchor long, doc_id long, place long").join(index, "sig")
     whole = F.collect_list(F.when(F.col("n") > 1, F.col("place"))).alias("whole")
-    open_ = F.collect_list(F.when(F.col("more") & (F.col("doc_id") == F.col("low")), F.struct(place.alias("group"), "place"))).alias("open")
+    open_ = F.collect_list(F.when(F.col("more") & (F.col("doc_id") == F.col("low")) & (F.col("place") == F.col("spot")), F.struct(place.alias("group"), "place"))).alias("open")
     parsed = checkpointed(parsed.groupBy("doc_id").agg(whole, open_))
     dealt = docs.repartition("doc_id").join(parsed, "doc_id", "left").select("doc_id", "text", "open", "whole")
     parts = dealt.mapInArrow(_snippets(window), "group long, doc_id long, begin long, n long, body binary")

@@ -30,7 +30,9 @@ from tarnwell.llm.flat import BYTE, POLY, U, checkpointed, mix, slices
 from tarnwell.llm.text import pick
 
 #: Bytes of an anchor, and of the texts one merge is about; shards of a merge; bytes of a symbol.
-ANCHOR, TOGETHER, SHARDS, WIDE = 24, 1 << 20, 4, 8
+ANCHOR, TOGETHER, SHARDS, WIDE = 24, 60_000, 2, 8
+#: Bytes of text that are arrays at once.
+SLICE = 1 << 18
 
 
 def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,8 +69,9 @@ def blocks(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarr
     bits = U(max(1, int(len(grams)).bit_length()))
     least = _sliding_min(((grams >> bits) << bits) | np.arange(len(grams), dtype=U), window - ANCHOR + 1)[:count]
     at_each = (least & ((U(1) << bits) - U(1))).astype(np.int64)
-    row = np.searchsorted(offsets, np.arange(count), side="right") - 1
-    whole = np.arange(count) + window <= offsets[row + 1]
+    sizes = np.diff(offsets)
+    row = np.repeat(np.arange(len(sizes)), sizes)[:count]
+    whole = np.arange(window, count + window) <= np.repeat(offsets[1:], sizes)[:count]
     new = whole.copy()
     new[1:] &= ~((at_each[1:] == at_each[:-1]) & whole[:-1])
     first = np.flatnonzero(new)
@@ -94,7 +97,7 @@ def _found(window: int, index: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for a, b, data, offsets in slices(batch.column(1)):
+            for a, b, data, offsets in slices(batch.column(1), SLICE):
                 first, n, row, anchor, sig = blocks(data, offsets, window)
                 ids = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)[row]
                 if index:
@@ -118,7 +121,7 @@ def _snippets(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pc.fill_null(pc.greater(pc.list_value_length(batch.column(2)), 0), False))
-            for a, b, data, offsets in slices(batch.column(1)):
+            for a, b, data, offsets in slices(batch.column(1), SLICE):
                 raw = data.tobytes()
                 out: list[tuple] = []
                 for i, items in enumerate(batch.column(2).slice(a, b - a).to_pylist()):
@@ -272,7 +275,7 @@ def _merges(window: int):
 def _removed(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in slices(batch.column(1)):
+            for a, b, data, offsets in slices(batch.column(1), SLICE):
                 edge = np.zeros(len(data) + 1, np.int64)
                 for i in range(b - a):
                     for column in (2, 3):
@@ -304,7 +307,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 200) -> DataFrame:
     index = found.repartition(place).groupBy(place.alias("place"), "anchor", "sig").agg(F.min(F.struct("low", "spot")).alias("low"), F.sum("n").alias("n"))
     before, after = F.shiftrightunsigned("anchor", 12).bitwiseAND(F.lit(4095).cast("long")), F.col("anchor").bitwiseAND(F.lit(4095).cast("long"))
     beside = lambda x: (F.count(F.lit(1)).over(Window.partitionBy("place", x)) > 1) & (x > 0)
-    index = index.withColumn("more", beside(before) | beside(after) | ((before == 0) & (after == 0))).where("n > 1 or more").select("sig", "low.low", "low.spot", "n", "more")
+    index = index.withColumn("more", beside(before) | beside(after)).where("n > 1 or more").select("sig", "low.low", "low.spot", "n", "more")
     parsed = keyed.mapInArrow(_found(window, False), "sig long, anchor long, doc_id long, place long").join(index, "sig")
     whole = F.collect_list(F.when(F.col("n") > 1, F.col("place"))).alias("whole")
     open_ = F.collect_list(F.when(F.col("more") & (F.col("doc_id") == F.col("low")) & (F.col("place") == F.col("spot")), F.struct(place.alias("group"), "place"))).alias("open")

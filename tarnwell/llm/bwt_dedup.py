@@ -235,8 +235,8 @@ def repeats(bodies: list[bytes], depth: int) -> list[np.ndarray]:
         who, where = owner[at], begin[at]
         order = np.lexsort((where, who))
         who, where = who[order], where[order]
-        edges = np.flatnonzero(np.diff(who, prepend=-1))
-        for a, b in zip(edges, np.append(edges[1:], len(who)), strict=True):
+        edges = np.flatnonzero(np.diff(who, prepend=-1)) if len(who) else who
+        for a, b in zip(edges, np.append(edges[1:], len(who)), strict=False):
             out[who[a] * SHARDS + k] = where[a:b]
     return out
 

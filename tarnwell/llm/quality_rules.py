@@ -197,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = 20_000, base: bo
     got = sorted(r for r in rows.select("doc_id", "quality", *FEATURES, base_failed().alias("base_failed")).collect() if not (base and r["base_failed"]))
     x = {k: np.array([r[k] for r in got], float) for k in FEATURES}
     y = np.array([r["quality"] == 0 for r in got], bool)
-    held = np.arange(len(got)) % 3 == 2
+    held = np.random.default_rng(0).random(len(got)) < 1 / 3
     return learn(x, y, held, **options)
 
 

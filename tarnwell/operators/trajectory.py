@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 CHUNK, CLIP = 16, 2000
 SENTIMENTS = {"negative": -1, "neutral": 0, "positive": 1}
 KINDS = ("frustration_spike", "resolution", "reset", "drift", "clarification", "none")
-ROW = "session_id string, prev_uuid string, curr_uuid string, prev_sentiment string, curr_sentiment string, delta double, is_transition boolean, transition_kind string, confidence float"
+#: A model's answer; the change as it wrote it.
+ANSWER = "session_id string, prev_uuid string, curr_uuid string, prev_sentiment string, curr_sentiment string, delta string, is_transition boolean, transition_kind string, confidence float"
 
 
 def windows(turns: DataFrame, text: DataFrame, session_ids: DataFrame | None = None) -> DataFrame:
@@ -76,7 +77,7 @@ def trajectory(rows: DataFrame, model: Model, tries: int = 2, at: Column | None
     """A row for each window: the model's answer, asked again once for what it left out, else a placeholder."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fields = [f.split()[0] for f in ROW.split(", ")]
+        fields = [f.split()[0] for f in ANSWER.split(", ")]
         for frame in frames:
             out = []
             for sid, prompt, wanted in zip(frame["session_id"], frame["prompt"], frame["pairs"], strict=True):
@@ -86,13 +87,13 @@ def trajectory(rows: DataFrame, model: Model, tries: int = 2, at: Column | None
                         key = (answer.get("prev_uuid"), answer.get("curr_uuid"))
                         if key in open_:
                             open_.discard(key)
-                            out.append([sid, *[answer.get(f) for f in fields[1:]]])
+                            out.append([sid, *[str(answer[f]) if f == "delta" and answer.get(f) is not None else answer.get(f) for f in fields[1:]]])
             yield pd.DataFrame(out, columns=fields)
 
     chunks = prompts(rows).join(rows.groupBy("session_id", "chunk").agg(F.collect_list(F.struct("prev_uuid", "curr_uuid")).alias("pairs")), ["session_id", "chunk"])
     from tarnwell.plans.checkpoints import checkpointed
 
-    got = checkpointed(rows_of(chunks.select("session_id", "prompt", "pairs").mapInPandas(run, ROW)))
+    got = checkpointed(rows_of(chunks.select("session_id", "prompt", "pairs").mapInPandas(run, ANSWER)))
     keys = got.select("session_id", "curr_uuid")
     missing = rows.join(keys, ["session_id", "curr_uuid"], "left_anti").select("session_id", "prev_uuid", "curr_uuid")
     return got.unionByName(placeholders(missing)).withColumn("classified_at", at if at is not None else F.current_timestamp())

@@ -27,8 +27,9 @@ def run_analyze(corpus: Corpus, *, embedder: vectors.Embedder | None = None, fri
         todo = stamps.pending(text, read("ingest_stamps"), days, limit)
         if dry_run:
             return {"pending": todo.count()}
-        store.append(stamps.stamp(todo), at("ingest_stamps"))
-        store.overwrite(stamps.resolve(read("ingest_stamps")), at("ingest_stamps"))
+        if todo.limit(1).count():  # an empty shard would make everything downstream stale
+            store.append(stamps.stamp(todo), at("ingest_stamps"))
+            store.overwrite(stamps.resolve(read("ingest_stamps")), at("ingest_stamps"))
         return {"stamped": store.footer_rows(at("ingest_stamps"))}
 
     def embed() -> dict:
@@ -37,7 +38,8 @@ def run_analyze(corpus: Corpus, *, embedder: vectors.Embedder | None = None, fri
         todo = vectors.unembedded(text, old, read("ingest_stamps"), days, limit)
         if dry_run:
             return {"pending": todo.count()}
-        store.append(vectors.embed(todo, embedder), at("message_embeddings"))
+        if todo.limit(1).count():
+            store.append(vectors.embed(todo, embedder), at("message_embeddings"))
         return {"vectors": store.footer_rows(at("message_embeddings"))}
 
     def derived(name: str, source: str, make: Callable) -> dict:

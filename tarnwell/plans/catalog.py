@@ -131,7 +131,7 @@ class Corpus:
         return self.spark.sql(text)
 
     def explain(self, text: str, mode: str = "formatted") -> str:
-        return self.sql(text)._explain_string(mode=mode)
+        return self.spark._jvm.PythonSQLUtils.explainString(self.sql(text)._jdf.queryExecution(), mode)
 
     def canonical(self, mode: str = "earliest") -> DataFrame:
         return stamps.canonical(self.table("ingest_stamps"), mode)

@@ -9,6 +9,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwell.plans.checkpoints import checkpointed
+
 #: Letters with marks that are common enough to fold without Python; others stay as they are. Fixed values.
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğīłńňōőřśšťūůűźżž"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeegilnnoorsstuuuzzz"
@@ -33,7 +35,7 @@ def ngrams(df: DataFrame, key: str, text: str, most: int = 2) -> DataFrame:
     def grams(w: Column, n: int) -> Column:
         if n == 1:
             return w
-        spread = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+        spread = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(n)]))
         return F.when(F.size(w) >= n, spread).otherwise(F.array().cast("array<string>"))
 
     held = df.select(F.col(key), F.transform(F.array(words), lambda w: F.concat(*[grams(w, n) for n in range(1, most + 1)]))[0].alias("terms"))
@@ -49,7 +51,7 @@ def ctfidf(df: DataFrame, key: str, text: str, *, top: int = 10, min_df: int = 2
     Rows of one class may be many; each is exploded where it lies and counted
     before the shuffle.
     """
-    counts = ngrams(df, key, text, most).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = checkpointed(ngrams(df, key, text, most).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))  # used three times
     classes = df.select(key).distinct().agg(F.count(F.lit(1)).alias("n_classes"))
     spread = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("f")).crossJoin(F.broadcast(classes))  # one row
     kept = spread.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n_classes"))).select("term", "f")

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 
 from tarnwell.plans import catalog
 
+#: Stages that are commands of their own.
+STAGES = ("skills", "ingest", "embed", "cluster", "terms", "community", "classify", "trajectory", "conflicts", "friction")
 FORMATS = ("auto", "table", "json", "ndjson", "csv")
 
 
@@ -51,8 +53,10 @@ def parser() -> argparse.ArgumentParser:
     command("search", "text", "--k", "--session", k=whole | {"default": 10})
     command("compact", "table", "--apply", apply={"action": "store_true"})
     command("migrate", "table", "--apply", apply={"action": "store_true"})
-    command("skills", "--user", "--plugins")
     command("analyze", "--apply", "--days", "--limit", "--skip", apply={"action": "store_true"}, days=whole, limit=whole, skip={"default": ""})
+    for stage in STAGES:
+        command(stage, "--apply", "--days", "--limit", apply={"action": "store_true"}, days=whole, limit=whole)
+    command("shell")
     command("watch", "--flushes", flushes=whole)
     return top
 
@@ -62,7 +66,7 @@ def run(args: argparse.Namespace) -> int:
 
     from tarnwell.operators import transcript, vectors
     from tarnwell.session import session
-    from tarnwell.sources import skills, store
+    from tarnwell.sources import store
 
     put = lambda x: sys.stdout.write(json.dumps(x, ensure_ascii=False, default=str) + "\n")
     if args.command == "schema":
@@ -98,8 +102,17 @@ def run(args: argparse.Namespace) -> int:
         emit(vectors.search(table, corpus.views["messages_text"], embedder.query(args.text), args.k, args.session), args.format)
     elif args.command == "compact":
         put(store.compact(spark, Path(args.tables) / args.table, dry_run=not args.apply))
-    elif args.command == "skills":
-        emit(skills.catalog(spark, args.user, args.plugins), args.format)
+    elif args.command in STAGES:
+        from tarnwell.plans.analyze import run_analyze
+
+        put(run_analyze(corpus, dry_run=not args.apply, days=args.days, limit=args.limit, skip=tuple(s for s in STAGES if s != args.command)))
+    elif args.command == "shell":
+        for line in sys.stdin:
+            if line.strip():
+                try:
+                    emit(corpus.sql(line.strip().rstrip(";")), args.format)
+                except Exception as error:  # noqa: BLE001  the next line is another query
+                    sys.stderr.write(f"{type(error).__name__}: {error}\n")
     elif args.command == "analyze":
         from tarnwell.plans.analyze import run_analyze
 

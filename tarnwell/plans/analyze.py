@@ -8,14 +8,15 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from tarnwell import schemas
-from tarnwell.operators import clusters, friction, graph, stamps, terms, vectors
+from tarnwell.operators import clusters, friction, graph, models, stamps, state, terms, trajectory, transcript, vectors
 from tarnwell.plans.catalog import Corpus
+from tarnwell.plans.checkpoints import checkpointed
 from tarnwell.sources import skills, store
 
-STAGES = ("skills", "ingest", "embed", "cluster", "terms", "community", "friction")
+STAGES = ("skills", "ingest", "embed", "cluster", "terms", "community", "classify", "trajectory", "conflicts", "friction")
 
 
-def run_analyze(corpus: Corpus, *, embedder: vectors.Embedder | None = None, friction_model: friction.Model | None = None, skip: tuple[str, ...] = (), dry_run: bool = True, days: float | None = 30, limit: int | None = None, force: bool = False, min_cluster: int = 20) -> dict[str, dict]:
+def run_analyze(corpus: Corpus, *, embedder: vectors.Embedder | None = None, friction_model: friction.Model | None = None, session_models: dict[str, models.Model] | None = None, trajectory_model: trajectory.Model | None = None, skip: tuple[str, ...] = (), dry_run: bool = True, days: float | None = 30, limit: int | None = None, force: bool = False, min_cluster: int = 20) -> dict[str, dict]:
     """Stages in order with what each did. Views are bound anew after each write, so the next one reads its rows."""
     spark, base = corpus.spark, Path(corpus.tables)
     embedder = embedder or vectors.HashingEmbedder()
@@ -65,6 +66,38 @@ def run_analyze(corpus: Corpus, *, embedder: vectors.Embedder | None = None, fri
 
         return derived("session_communities", "message_embeddings", make)
 
+    def waiting(pipeline: str):
+        bounds = transcript.session_bounds(corpus.views["messages"], days=days, limit=limit).withColumn("mtime", F.col("last_ts").cast("timestamp"))
+        return state.pending_sessions(bounds, read("session_checkpoint"), pipeline)
+
+    def finish(pipeline: str, name: str, rows, sessions, failed=None) -> dict:
+        """Rows replace those of their sessions; sessions are checked off; failures wait for another try."""
+        sessions = checkpointed(sessions)
+        rows = checkpointed(rows.select(*[c.split()[0] for c in schemas.TABLES[name].split(", ")]))
+        store.replace_by_key(spark, at(name), "session_id", sessions)
+        store.append(rows, at(name))
+        store.overwrite(state.mark_completed(read("session_checkpoint"), sessions, pipeline), at("session_checkpoint"))
+        if failed is not None and failed.limit(1).count():
+            store.overwrite(state.enqueue(read("retry_queue"), failed, pipeline, F.current_timestamp()), at("retry_queue"))
+        return {"sessions": sessions.count(), "rows": rows.count()}
+
+    def by_session(pipeline: str, name: str, shape: Callable) -> dict:
+        todo = waiting(pipeline)
+        model = (session_models or {}).get(pipeline)
+        if dry_run or model is None:
+            return {"pending": todo.count()}
+        events = transcript.timeline(text, corpus.views["tool_calls"], corpus.views["tool_results"]).join(todo, "session_id", "left_semi")
+        asked = checkpointed(models.ask(transcript.assemble(events, uuids=pipeline == "conflicts"), model))
+        answered = todo.join(asked.where("answer is not null or refused").select("session_id"), "session_id", "left_semi")
+        return finish(pipeline, name, shape(asked), answered, models.failures(asked))
+
+    def arcs() -> dict:
+        todo = waiting("trajectory")
+        if dry_run or trajectory_model is None:
+            return {"pending": todo.count()}
+        rows = checkpointed(trajectory.windows(corpus.views["turn_window"], text, todo))
+        return finish("trajectory", "message_trajectory", trajectory.trajectory(rows, trajectory_model), todo)
+
     def label() -> dict:
         full = corpus.views["content_blocks"]
         from tarnwell.operators import views
@@ -92,6 +125,9 @@ def run_analyze(corpus: Corpus, *, embedder: vectors.Embedder | None = None, fri
         "cluster": lambda: derived("message_clusters", "message_embeddings", lambda: clusters.message_clusters(read("message_embeddings"), min_size=min_cluster)),
         "terms": lambda: derived("cluster_terms", "message_clusters", lambda: terms.cluster_terms(read("message_clusters"), text)),
         "community": community,
+        "classify": lambda: by_session("classify", "session_classifications", models.classifications),
+        "trajectory": arcs,
+        "conflicts": lambda: by_session("conflicts", "session_conflicts", lambda asked: models.conflicts(asked, corpus.views["messages"])),
         "friction": label,
     }
     out = {}

@@ -33,8 +33,8 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 SCOPE = frozenset("ul ol dl table article section main div body".split())
 #: Parts of class, id or role that mark what is no article text.
 HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|widget\w*|footer|masthead|cookies?|consent|notice\w*|gdpr|popup|modal|overlay|newsletter|subscribe|signup|"
-    r"comments?|reply|replies|disqus|discussion|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|skip|login|search|complementary|navigation|contentinfo|alert|hidden)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adsby\w*|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|side-?bar|side|widget\w*|footer|header|masthead|topbar|cookies?|consent|notices?|disclaimer|gdpr|popup|modal|overlay|newsletter|"
+    r"subscribe|signup|comment\w*|reply|replies|disqus|discussion|feedback|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|skip|login|search|complementary|navigation|contentinfo|alert)(?:$|[\s_-])",
     re.I,
 )
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)

@@ -372,6 +372,10 @@ def test_html_extraction(spark):
     assert [html_extract.extract(x) for x in (None, "", "<p></p>", "<nav>x</nav>")] == [""] * 4
     assert html_extract.extract("<div><p>Only a &lt; text, cut o") == "Only a < text, cut o"
     assert html_extract.extract("<p>A<!-- no --> b</p><div class=ad>Buy this, now. Good.</div>") == "A b"
+    outside = ["header", "site-header", "sidebar", "notice", "ad", "ad-slot", "advertisement", "comments", "comment-list", "commentlist", "cookie-banner", "menu", "footer", "related"]
+    for name in outside:
+        for mark in (f'class="{name}"', f"id={name}"):
+            assert html_extract.extract(f"<body><div {mark}><p>Words that stand outside, here. And more of them, too.</p></div><div class='post'><h2>Head</h2><p>Inner words, enough.</p></div></body>") == "Head\nInner words, enough.", mark
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (None, "v", "<p>x &#233;</p>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = {r["url"]: (r["page_id"], r["n_chars"]) for r in html_extract.extract_pages(df).collect()}
     assert got[None] == (2, 0) and got["v"] == (None, 3)

@@ -11,8 +11,9 @@ still hold two suffixes after ``window`` bytes' rounds are the repeats: their
 common prefix is that long.
 
 Defined results: a null text has no bytes; matches never cross texts; each row is
-a text of its own, so that all of repeated rows goes; rows must have distinct
-doc_ids to be told apart, and a null doc_id neither removes nor loses bytes.
+a text of its own, so that all of repeated rows goes; a null doc_id neither
+removes nor loses bytes. A doc_id names one text: rows that share one and differ
+in text don't fail, but what is found in one may be cut from the other.
 """
 
 from __future__ import annotations
@@ -128,6 +129,8 @@ def _snippets(window: int):
                     doc = batch.column(0)[a + i].as_py()
                     for x in items:
                         begin, n = x["place"] >> 16, x["place"] & 0xFFFF
+                        if begin + n + window - 1 > offsets[i + 1] - offsets[i]:
+                            continue  # another row of this doc_id
                         out.append((x["group"], doc, begin, n, raw[offsets[i] + begin : offsets[i] + begin + n + window - 1]))
                 if out:
                     group, ids, begin, n, body = zip(*out, strict=True)
@@ -282,6 +285,7 @@ def _removed(window: int):
                         places = batch.column(column)[a + i].as_py()
                         if places:
                             p = np.array(places, np.int64)
+                            p = p[(p >> 16) + (p & 0xFFFF) + window - 1 <= offsets[i + 1] - offsets[i]]
                             np.add.at(edge, offsets[i] + (p >> 16), 1)
                             np.add.at(edge, offsets[i] + (p >> 16) + (p & 0xFFFF) + window - 1, -1)
                 gone = np.cumsum(edge[:-1]) > 0

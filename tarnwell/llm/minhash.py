@@ -15,8 +15,10 @@ hold the sets, so that no rows are made for pairs that prove not to be links.
 A pair is compared only under the first key that it shares.
 
 Defined results: a null text, or one without words, has an empty set and is
-linked with nothing; rows that share a doc_id share a component; a null doc_id
-is returned with a null component and kept; other columns are ignored.
+linked with nothing; repeated rows share a component; a null doc_id is returned
+with a null component and kept; other columns are ignored. A doc_id names one
+text: of rows that share one and differ in text, each keeps the class of its own
+text, and one text's set (the least) is compared for all.
 """
 
 from __future__ import annotations
@@ -257,7 +259,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
     wanted = keyed.select("id").distinct()
     few = wanted.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
     source = docs.select(F.col("doc_id").alias("id"), "text").where("id is not null").join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
-    sets = checkpointed(source.mapInArrow(_sets(shingle), "id long, set binary").dropDuplicates(["id"]))
+    sets = checkpointed(source.mapInArrow(_sets(shingle), "id long, set binary").groupBy("id").agg(F.min("set").alias("set")))
     size = reps.select("id", "n")
     pivot = keyed.groupBy("key").agg(F.min("id").alias("b"))
     pairs = keyed.join(pivot, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()

@@ -11,9 +11,10 @@ setting, the block's windows are checked one by one (the factor boundaries).
 Factors are at least ``window`` words long; they are the duplicate spans.
 
 Defined results: a null text has no words; texts of fewer than ``window`` words
-lose nothing; of equal texts the smallest doc_id stays whole; rows that share a
-doc_id are one another's equals and do not count as smaller; a null doc_id
-neither removes nor loses words.
+lose nothing; of equal texts the smallest doc_id stays whole; repeated rows do
+not count as smaller than one another; a null doc_id neither removes nor loses
+words. A doc_id names one text: rows that share one and differ in text don't
+fail, but what is found in one may be cut from the other.
 """
 
 from __future__ import annotations
@@ -107,6 +108,11 @@ def _runs(window: int, shared: bool):
     return run
 
 
+def _within(places: np.ndarray, window: int, size: int) -> np.ndarray:
+    """The places that lie in a row of ``size`` words; others belong to another row of its doc_id."""
+    return places[(places >> 16) + (places & 0xFFFF) + window - 1 <= size]
+
+
 def _windows(window: int):
     """Hashes of the windows of blocks that the index did not settle; within a batch only a window's smallest document goes on."""
 
@@ -118,7 +124,7 @@ def _windows(window: int):
                 h, rows, _, _ = word_hashes(data, offsets)
                 grams, at = ngrams(h, window), np.searchsorted(rows, np.arange(b - a + 1))
                 for i, places in enumerate(batch.column(2).slice(a, b - a).to_pylist()):
-                    p = np.array(places, np.int64)
+                    p = _within(np.array(places, np.int64), window, at[i + 1] - at[i])
                     n = p & 0xFFFF
                     begin = np.repeat(p >> 16, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     keep.append((grams[at[i] + begin], np.full(len(begin), batch.column(0)[a + i].as_py(), np.int64), begin))
@@ -170,11 +176,12 @@ def _cover(window: int, carry: tuple[str, ...] | None):
                 ends = np.zeros(len(rows) + 1, np.int64)
                 for i, (places, single) in enumerate(zip(batch.column(2).slice(a, b - a).to_pylist(), batch.column(3).slice(a, b - a).to_pylist(), strict=True)):
                     if places:
-                        p = np.array(places, np.int64)
+                        p = _within(np.array(places, np.int64), window, at[i + 1] - at[i])
                         np.add.at(ends, at[i] + (p >> 16), 1)
                         np.add.at(ends, at[i] + (p >> 16) + (p & 0xFFFF) + window - 1, -1)
                     if single:
                         p = np.array(single, np.int64)
+                        p = p[p + window <= at[i + 1] - at[i]]
                         np.add.at(ends, at[i] + p, 1)
                         np.add.at(ends, at[i] + p + window, -1)
                 gone = np.cumsum(ends[:-1]) > 0

@@ -60,7 +60,7 @@ def docs(spark, rows):
     return frame(spark, rows).cache()
 
 
-ODD = [(1, None), (2, ""), (None, "a text without an id " * 20), (None, None), (3, "same words " * 30), (3, "same words " * 30), (4, "x" * 200_000)]
+ODD = [(1, None), (2, ""), (None, "a text without an id " * 20), (None, None), (3, "same words " * 30), (3, "same words " * 30), (4, "x" * 200_000), (5, "a longer text of the same id " * 60), (5, "short"), (6, "a longer text of the same id " * 60)]
 
 
 def test_word_hashes_follow_words():
@@ -428,4 +428,4 @@ def test_cases_that_must_not_crash(spark):
         assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in ODD), run
         assert run(none).count() == 0
     near = minhash.near_duplicates(df).collect()
-    assert all(r["kept"] for r in near) and {r["component_id"] for r in near} == {1, 2, 3, 4, None}
+    assert all(r["kept"] == (r["doc_id"] != 6) for r in near) and {r["component_id"] for r in near} == {1, 2, 3, 4, 5, None}

@@ -32,18 +32,22 @@ BYTE_OR_SPACE = np.where(SPACE, U(0), BYTE)
 
 def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets of its rows in bytes) of runs of rows with about ``most`` bytes together; null is empty."""
-    texts = pc.fill_null(pc.cast(texts, pa.large_string()), "")
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
     n = len(texts)
     if not n:
         return
     _, where, data = texts.buffers()
-    at = np.frombuffer(where, np.int64)[texts.offset : texts.offset + n + 1]
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    at = np.frombuffer(where, wide)[texts.offset : texts.offset + n + 1].astype(np.int64)  # the bytes are not copied
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     a = 0
     while a < n:
         b = max(a + 1, int(np.searchsorted(at, at[a] + most, side="right")) - 1)
         yield a, b, data[at[a] : at[b]], at[a : b + 1] - at[a]
         a = b
+    del texts, data, where
+    pa.default_memory_pool().release_unused()
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

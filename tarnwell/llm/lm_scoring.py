@@ -6,8 +6,8 @@ of their own. A word's probability is its discounted share of all training words
 plus what the discount leaves times the probability of its subwords, which the
 model gives (that it starts with this one, goes on, and ends here). The class logits are the counted log-probabilities given the
 subword before (from all training texts) plus what a single attention head adds;
-the head is trained in numpy, in as many places as the training share has
-blocks, and the weights are averaged between rounds. Scoring lays the texts of a
+the head is trained in numpy on all training texts, in as many places as the input has
+parts, and the weights are averaged between rounds. Scoring lays the texts of a
 block end to end and cuts them into windows that overlap by ``CONTEXT`` ids; all
 windows of a batch are one masked attention, and each id is scored once.
 
@@ -37,9 +37,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Ids of the vocabulary; its last is the text's end. START stands before a text's first id.
 IDS, END, START = 50_257, 50_256, 50_257
 #: Subwords that the head tells apart as input, classes it predicts, width, ids scored by a window and ids it sees before them.
-INPUTS, CLASSES, WIDTH, SCORED, CONTEXT = 1024, 64, 8, 16, 8
-#: One in so many training texts is learnt from by the head; rounds of averaging; bytes of text of a block.
-SHARE, ROUNDS, BLOCK_BYTES = 64, 1, 20 << 20
+INPUTS, CLASSES, WIDTH, SCORED, CONTEXT = 1024, 96, 16, 16, 16
+#: Rounds of averaging, each over all training texts; bytes of text of a block.
+ROUNDS, BLOCK_BYTES = 2, 20 << 20
 #: Words whose subwords a process keeps.
 CACHED = 150_000
 #: Bytes of text that are arrays at once.
@@ -327,12 +327,7 @@ def _trained(path: str, model: Model, rate: float):
                 unique, which, first = distinct(h)
                 ids, at = known_pieces(unique, first, data, starts, stops, path, cache)
                 now, before, row = stream(h, rows, which, ids, at, b - a)
-                fresh = np.zeros(len(which), bool)  # words that the slice has not had, as the model is of these
-                fresh[first] = True
-                token = np.argsort(np.concatenate((rows, np.arange(b - a))), kind="stable")
-                size = np.concatenate((np.diff(at)[which], np.ones(b - a, np.int64)))[token]
-                fresh = np.repeat(np.concatenate((fresh, np.zeros(b - a, bool)))[token], size)
-                model.learn(model.inputs[before], model.classes[now], row, fresh, rate)
+                model.learn(model.inputs[before], model.classes[now], row, np.ones(len(now), bool), rate)
                 seen += len(now)
         if seen:
             flat = model.flat().astype(np.float64)
@@ -342,7 +337,7 @@ def _trained(path: str, model: Model, rate: float):
 
 
 def fit(docs: DataFrame, counts: DataFrame, *, tokenizer: str = TOKENIZER, rate: float = 0.01) -> Model:
-    """The model of training texts ``docs`` (doc_id, text) with their ``counts``: of what no word count foresees, so of distinct words."""
+    """The model of training texts ``docs`` (doc_id, text) with their ``counts``; pairs are counted in distinct words, the head learns from every place of every text."""
     pairs = counts.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).select(F.expr("key div 65536").alias("u"), F.expr("key % 65536").alias("v"), "n")
     one = np.zeros(IDS, np.int64)
     for r in pairs.groupBy("v").agg(F.sum("n").alias("n")).collect():
@@ -368,11 +363,9 @@ def fit(docs: DataFrame, counts: DataFrame, *, tokenizer: str = TOKENIZER, rate:
     table += ends[:, None] * after[None, :]
     table[model.inputs[START]] = first
     model.set_pairs(table)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SHARE)) == 0).select("text")
-    size = sample.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    sample = sample.repartition(max(2, math.ceil(size / (1 << 20))))
+    texts_read = docs.select("text")  # as the input is split: all texts, and no shuffle of them
     for k in range(ROUNDS):
-        got = sample.mapInArrow(_trained(tokenizer, model, rate / (k + 1)), "at long, value double, weight double").groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("value")).collect()
+        got = texts_read.mapInArrow(_trained(tokenizer, model, rate / (k + 1)), "at long, value double, weight double").groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("value")).collect()
         if not got:
             break
         flat = model.flat()

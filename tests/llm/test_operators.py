@@ -182,6 +182,16 @@ def test_training_lowers_the_loss():
     assert model.score(*args)[0].mean() > was + 0.1
 
 
+def test_each_training_text_reaches_the_head(spark):
+    draw = random.Random(5)
+    texts = [(i, prose(draw, 60)) for i in range(4)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).cache()
+    counts = docs.select("text").mapInArrow(lm_scoring._counted, "word string, n long").mapInArrow(lm_scoring._typed(lm_scoring.TOKENIZER), "kind byte, key long, n long").cache()
+    whole = lm_scoring.fit(docs, counts).flat()
+    for i, _ in texts:
+        assert not np.allclose(whole, lm_scoring.fit(docs.where(f"doc_id <> {i}"), counts).flat(), atol=1e-6)
+
+
 def test_decontamination(spark):
     draw = random.Random(5)
     items = [(k, prose(draw, 40)) for k in range(8)] + [(8, "too short to leak"), (9, None), (None, prose(draw, 30))]

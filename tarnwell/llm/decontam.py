@@ -4,7 +4,8 @@ A seed is a fixed mask over consecutive words; its hash leaves out the positions
 marked 0, so that a replaced word there does not matter. Seeds of the benchmark
 items and of the training texts are joined on their hash. Around each hit the
 words of both sides are laid side by side; a stretch of ``length`` words that
-holds the seed and has at least ``percent`` per cent equal words is a leak.
+holds the seed and has at least ``percent`` per cent equal words is a leak. With
+the default ``length`` and ``percent`` every such stretch holds a seed.
 
 Defined results: texts are compared in lower case (A-Z); a null text or item has
 no words; items of fewer than ``length`` words can't leak; repeated items count
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from tarnwell.llm.text import ascii_lower, let, pick, words
 
-#: Fixed masks; 0 marks a word that the hash ignores.
-MASKS = ("11101001011", "1101100111", "1011010111")
+#: Fixed masks; 0 marks a word that the hash ignores. Of 13 words, whichever two are replaced, some mask stays whole.
+MASKS = ("1101110011", "1001111101", "11010010111")
 #: Seeds of the benchmark up to which their filter and table are broadcast (about 40 MB).
 MAX_BROADCAST_SEEDS = 200_000
 

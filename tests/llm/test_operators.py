@@ -218,6 +218,21 @@ def test_decontamination(spark):
         decontam.MAX_BROADCAST_SEEDS = most
 
 
+def test_every_pair_of_substitutions_leaves_a_seed(spark):
+    draw = random.Random(6)
+    item = [f"{w}{k}" for k, w in enumerate(prose(draw, 13).split(" "))]
+    rows = []
+    for a in range(13):
+        for b in range(a + 1, 13):
+            words = list(item)
+            words[a], words[b] = "other", "another"
+            rows.append((13 * a + b, " ".join(words)))
+    three = ["other" if k in (0, 6, 12) else w for k, w in enumerate(item)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"] for r in decontam.leaks(frame(spark, [*rows, (999, " ".join(three))]), bench).collect()}
+    assert len(rows) == 78 and got == {i for i, _ in rows}
+
+
 def brute_words(rows, window=13):
     seen, out = {}, {}
     for i, t in sorted(rows):

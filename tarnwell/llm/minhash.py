@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tarnwell.llm.flat import STEP, U, checkpointed, mix, ngrams, slices, word_hashes
 from tarnwell.llm.text import pick
 
-MINIMA, CHUNKS, ERRORS = 32, 8, 15
+MINIMA, CHUNKS = 32, 8
 #: Rows and shingles of a block of the full comparison, on average.
 BLOCK_ROWS, BLOCK_SHINGLES = 2048, 500_000
 #: Rows up to which ids are broadcast (16 MB).
@@ -160,18 +160,17 @@ def block_links(slot: int, same: bool, left: dict, right: dict, percent: int) ->
     """Linked pairs (larger id, smaller id) of two blocks under one key, of different components, whose first shared key this is."""
     each = MINIMA // CHUNKS
     a, b = left["sig"], right["sig"]
-    far = np.zeros((len(a), len(b)), np.int16)
-    first, gap = np.full(far.shape, CHUNKS, np.int8), np.zeros(far.shape, np.int8)
+    shape = len(a), len(b)
+    first, gap = np.full(shape, CHUNKS, np.int8), np.zeros(shape, np.int8)
     for c in range(CHUNKS):
-        wrong, where = np.zeros(far.shape, np.int16), np.zeros(far.shape, np.int8)
+        wrong, where = np.zeros(shape, np.int16), np.zeros(shape, np.int8)
         for j in range(each):
             differ = a[:, c * each + j, None] != b[None, :, c * each + j]
             wrong += differ
             where[differ] = j
-        far += wrong
         new = (wrong <= 1) & (first == CHUNKS)
         first[new], gap[new] = c, np.where(wrong == 1, where, 0)[new]
-    ok = (far <= ERRORS) & (first == slot // each) & (gap == slot % each) & (left["comp"][:, None] != right["comp"][None, :])
+    ok = (first == slot // each) & (gap == slot % each) & (left["comp"][:, None] != right["comp"][None, :])
     if same:
         ok = np.triu(ok, 1)
     n, m = np.array([len(x) for x in left["set"]]), np.array([len(x) for x in right["set"]])

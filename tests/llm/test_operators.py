@@ -357,6 +357,17 @@ def test_near_duplicate_groups_without_a_centre(spark):
     assert got == want and len({x[1] for x in want.values()}) > 1
 
 
+def test_pairs_that_share_one_key_are_compared_however_far():
+    draw = np.random.default_rng(3)
+    sig = draw.integers(0, 1 << 16, (2, minhash.MINIMA)).astype(np.uint16)
+    sig[1] = sig[0] + 1
+    sig[1, :4] = sig[0, :4]
+    common = np.sort(draw.integers(0, 1 << 62, 95).astype(np.uint64))
+    side = {"id": np.array([4, 9]), "comp": np.array([4, 9]), "sig": sig, "set": [common[:90], common[5:]]}
+    u, v = minhash.block_links(0, True, side, side, 80)
+    assert (u.tolist(), v.tolist()) == ([9], [4])
+
+
 def test_common_shingles_matches_sets():
     draw = np.random.default_rng(4)
     make = lambda: [np.unique(draw.integers(0, 60, draw.integers(1, 40))).astype(np.uint64) for _ in range(7)]

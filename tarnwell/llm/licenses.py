@@ -1,8 +1,9 @@
 """License scans: headers and licence files against templates, then inheritance by directory.
 
-A file's lines and paragraphs that hold a rare template term are compared with
+A file's lines and paragraphs are compared with
 each template by the cosine of sparse TF-IDF vectors; document frequencies come
-from all files. The best match above ``min_cosine`` is the file's own licence. A
+from all files. Those without any of the templates' rarest terms are left out, as
+they can't reach ``min_cosine``. The best match above ``min_cosine`` is the file's own licence. A
 licence file (one whose first or last line that has a word is the match) also
 speaks for its directory, and a file without own licence takes that of the nearest ancestor
 directory, found by joining on the paths of its ancestors.
@@ -38,8 +39,6 @@ TEMPLATES = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
-#: Terms at least one of which a line needs to be compared.
-MARKS = ("licen[cs]e[ds]?", "licensing", "permission", "redistribution", "mozilla", "gnu")
 TERM = re.compile(r"[a-z0-9]+")
 
 
@@ -47,11 +46,26 @@ def _terms(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(text), "[^a-z0-9]+"), lambda t: t != "")
 
 
+def marks(rows: list[tuple[int, str, str, float]], df: dict[str, int], min_cosine: float) -> list[str]:
+    """Terms of which a text needs one to reach ``min_cosine`` with a template: by Cauchy-Schwarz, the weights of a template's
+    other terms have a norm that is smaller. ``rows``: (template, licence, term, weight); of each template the rarest terms go in."""
+    least = max(0.0, min_cosine - 1e-6) ** 2
+    out: set[str] = set()
+    for k in {r[0] for r in rows}:
+        terms = sorted((df.get(t, 0), t, w) for j, _, t, w in rows if j == k)
+        rest = sum(w * w for _, _, w in terms)
+        for i, (_, t, w) in enumerate(terms):
+            if rest < least:
+                break
+            out.add(t)
+            rest = sum(x * x for _, _, x in terms[i + 1 :])
+    return sorted(out)
+
+
 def own_licenses(files: DataFrame, *, min_cosine: float = 0.6) -> DataFrame:
     """file, license, cosine, edge (the match is the first or last line that has a word) of the files with an own licence."""
     spark = files.sparkSession
     vocabulary = sorted({t for _, body in TEMPLATES for t in TERM.findall(body.lower())})
-    mark = rf"(?i)\b(?:{'|'.join(MARKS)})\b"
     # Document frequencies of the templates' terms over all files: one row a term and task is shuffled.
     present = F.array_intersect(F.array_distinct(_terms(F.coalesce(F.col("text"), F.lit("")))), F.array(*map(F.lit, vocabulary)))
     counted = files.select(F.explode(F.concat(present, F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -64,6 +78,7 @@ def own_licenses(files: DataFrame, *, min_cosine: float = 0.6) -> DataFrame:
         tf = Counter(TERM.findall(body.lower()))
         norm = sum((c * idf[t]) ** 2 for t, c in tf.items()) ** 0.5
         rows += [(k, name, t, c * idf[t] / norm) for t, c in tf.items()]
+    mark = rf"(?i)(?<![a-z0-9])(?:{'|'.join(marks(rows, df, min_cosine))})(?![a-z0-9])"
     weights = F.broadcast(spark.createDataFrame(rows, "template int, license string, term string, weight double"))
     idfs = F.broadcast(spark.createDataFrame([(t, x) for t, x in idf.items()], "term string, idf double"))
 

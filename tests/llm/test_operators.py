@@ -396,6 +396,30 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_every_line_that_reaches_the_cosine_is_found(spark):
+    draw = random.Random(8)
+    heads = ["Licensed under CC BY-SA 4.0.", "CC BY-SA 4.0", "CC_BY-NC 4.0", "Released under MIT.", "Apache 2.0", "Apache, Version 2.0", "LGPL version 3", "the person by the software", "charge of the files"]
+    texts = [*heads, *(" ".join(draw.sample("the by under version of files software person charge 2 0 3 and".split(), 6)) for _ in range(60))]
+    n = len(texts)
+    terms = [licenses.TERM.findall(t.lower()) for t in texts]
+    seen = Counter(t for x in terms for t in set(x))
+    vector = lambda words: {t: c * (math.log((1 + n) / (1 + seen[t])) + 1) for t, c in Counter(words).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    known = {t for _, b in licenses.TEMPLATES for t in licenses.TERM.findall(b.lower())}
+    assert all(t in known or seen[t] for x in terms for t in x)
+    want = {}
+    for i, words in enumerate(terms):
+        v = {t: x if t in known else Counter(words)[t] * (math.log(1 + n) + 1) for t, x in vector(words).items()}
+        best = 0.0
+        for _, body in licenses.TEMPLATES:
+            w = vector(licenses.TERM.findall(body.lower()))
+            best = max(best, sum(x * w.get(t, 0) for t, x in v.items()) / norm(v) / norm(w))
+        if round(best, 6) >= 0.6:
+            want[i] = best
+    got = {r["file"]: r["cosine"] for r in licenses.own_licenses(spark.createDataFrame(list(enumerate(texts)), "file long, text string")).collect()}
+    assert {1, 2} <= set(want) and got == pytest.approx(want, abs=1e-5)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header class="top">Site name. Welcome here, friend.</header>
 <nav><ul><li><a href="/a">Alpha</a></li><li><a href="/b">Beta</a></li></ul></nav><div class="cookie-notice">We use cookies. Please accept them, thanks.</div>
 <aside>Side words. They are here, too.</aside><main><article><h1>A  title &amp; more</h1><p>First <b>bold</b> words,

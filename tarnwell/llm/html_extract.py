@@ -4,7 +4,8 @@ Each text node of a page has the path of its open elements from the root. Text
 length and punctuation are summed by path; a path's ratio of both to its nodes
 is smoothed with those of the paths around it (the subtrees of its ancestors),
 fused, and compared with a threshold; the nodes of the paths above it are the
-content. Elements that never hold article text are left out beforehand.
+content. So are text elements between them, or beside them under the same parent,
+unless those beside are mostly links. Elements that never hold article text are left out beforehand.
 
 Defined results: a null or empty page, or one without content, gives ''; pages
 are each extracted alone, so repeated rows give equal results; broken markup is
@@ -30,6 +31,10 @@ RAW = frozenset("script style noscript template textarea iframe svg math select
 OUTSIDE = frozenset("nav header footer aside form menu button dialog".split())
 #: An element that opens one of these ends an open one of those.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose blocks follow content beside them, and those that hold such blocks within the parent.
+FOLLOWS = HEADINGS | frozenset("p li dt dd td th pre blockquote figcaption caption summary".split())
+HOLDERS = frozenset("ul ol dl li dt dd table thead tbody tfoot tr td th blockquote figure details".split())
 SCOPE = frozenset("ul ol dl table article section main div body".split())
 #: Parts of class, id or role that mark what is no article text.
 HINTS = re.compile(
@@ -37,6 +42,8 @@ HINTS = re.compile(
     r"subscribe|signup|comment\w*|reply|replies|disqus|discussion|feedback|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|skip|login|search|complementary|navigation|contentinfo|alert)(?:$|[\s_-])",
     re.I,
 )
+#: Of these, what the id of a section inside an article may be as well.
+SECTIONS = re.compile(r"(?:^|[\s_-])(?:notices?|disclaimer|discussion|feedback|share|sharing|social|related|recommend\w*|search|alert|side)(?=$|[\s_-])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?。，、！？…]")
@@ -52,28 +59,34 @@ def _outside(tag: str, attributes: str) -> tuple[bool, str]:
             if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 return True, name
             if key in ("class", "id", "role"):
-                if HINTS.search(value) and tag not in ("html", "body", "article", "main"):
+                # Ids of headings and sections are made from what the article says there.
+                named = "" if key == "id" and tag in HEADINGS else SECTIONS.sub(" ", value) if key == "id" and tag == "section" else value
+                if HINTS.search(named) and tag not in ("html", "body", "article", "main"):
                     return True, name
                 name += "." + value
     return tag in OUTSIDE, name
 
 
-def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
-    """(path, text) of each block of a page that may be content, in order."""
+def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, bool]]:
+    """(path, text, whether it is mostly links) of each block of a page that may be content, in order."""
     stack: list[tuple[str, str, bool]] = []  # tag, name, whether outside
     pieces: list[str] = []
-    hidden, at, end = 0, 0, len(page)
+    hidden, linked, at, end = 0, 0, 0, len(page)
 
-    def flush() -> tuple[tuple[str, ...], str] | None:
+    def flush() -> tuple[tuple[str, ...], str, bool] | None:
+        nonlocal linked
         text = BLANK.sub(" ", html.unescape("".join(pieces))).strip()
         pieces.clear()
-        return (tuple(name for tag, name, _ in stack if tag not in INLINE), text) if text else None
+        links, linked = 2 * linked > len(text), 0
+        return (tuple(name for tag, name, _ in stack if tag not in INLINE), text, links) if text else None
 
     while at < end:
         m = TOKEN.search(page, at)
         stop = m.start() if m else end
         if stop > at and not hidden:
             pieces.append(page[at:stop])
+            if any(tag == "a" for tag, _, _ in stack):
+                linked += len(page[at:stop].strip())
         if not m:
             break
         at = m.end()
@@ -126,6 +139,34 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
         yield got
 
 
+def home(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The path of the element in which a block stands, lists, tables and quotations left out."""
+    end = len(path) - 1
+    while end > 0 and path[end - 1].split(".")[0] in HOLDERS:
+        end -= 1
+    return path[: max(end, 0)]
+
+
+def followed(nodes: list[tuple[tuple[str, ...], str, bool]], sure: list[bool]) -> list[bool]:
+    """``sure``, and the blocks that stand between such, or beside one."""
+    out = list(sure)
+    at = [i for i, x in enumerate(sure) if x]
+    tag = lambda i: nodes[i][0][-1].split(".")[0] if nodes[i][0] else ""
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        for i in range(a + 1, b):
+            out[i] = tag(i) in FOLLOWS or bool({nodes[i][0], home(nodes[i][0])} & {home(nodes[a][0]), home(nodes[b][0])})
+    for start, step in ((at[0], -1), (at[-1], 1)):
+        to, i = home(nodes[start][0]), start + step
+        while 0 <= i < len(nodes) and tag(i) in FOLLOWS and not nodes[i][2]:
+            here = home(nodes[i][0])
+            # A heading before the content may have a wrapper of its own, or the content may.
+            if not (here == to or step < 0 and tag(i) in HEADINGS and (here[:-1] == to or here == to[:-1] or here[:-1] == to[:-1])):
+                break
+            out[i] = True
+            i += step
+    return out
+
+
 def extract(page: str | None, share: float = 0.2) -> str:
     """The main text of a page."""
     nodes = list(blocks(page or ""))
@@ -134,7 +175,7 @@ def extract(page: str | None, share: float = 0.2) -> str:
     # Text, punctuation and nodes of each path, and of all that lies below it.
     own: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0])
     below: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0])
-    for path, text in nodes:
+    for path, text, _ in nodes:
         marks = len(PUNCTUATION.findall(text))
         for sums in (own[path], *(below[path[:k]] for k in range(1, len(path) + 1))):
             sums[0] += len(text)
@@ -150,9 +191,12 @@ def extract(page: str | None, share: float = 0.2) -> str:
     value = {path: fused(path) for path in own}
     articles = [p for p in own if any(x.split(".")[0] in ("article", "main") for x in p)]
     if articles and sum(own[p][0] for p in articles) * 5 >= sum(s[0] for s in own.values()):
-        value = {p: v for p, v in value.items() if p in set(articles)}
+        inside = set(articles)
+        value = {p: v for p, v in value.items() if p in inside}
+        nodes = [x for x in nodes if x[0] in inside]
     least = share * max(value.values())
-    return "\n".join(text for path, text in nodes if value.get(path, -1) >= least)
+    content = followed(nodes, [value[path] >= least for path, _, _ in nodes])
+    return "\n".join(text for (_, text, _), is_content in zip(nodes, content, strict=True) if is_content)
 
 
 def extract_pages(pages: DataFrame, html_column: str = "html") -> DataFrame:

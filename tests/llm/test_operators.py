@@ -441,6 +441,16 @@ def test_html_extraction(spark):
     assert got[None] == (2, 0) and got["v"] == (None, 3)
 
 
+def test_short_blocks_follow_the_content():
+    long = "Many words, of a text. " * 13
+    wanted = ["The title of it", long.strip(), "A short heading", long.strip(), "One item of a list", "Another item", "A line", "bare words", "Wrapped heading", long.strip(), "Last item of the text"]
+    page = f"""<body><ul><li><a href=/>Home</a></li><li><a href=/b>About</a></li></ul><div class=top><h1>The title of it</h1></div><p>{long}</p><h2 id="discussion">A short heading</h2><p>{long}</p>
+<ul><li>One item of a list</li><li>Another item</li></ul><div>A line</div>bare words<div class=w><h2>Wrapped heading</h2></div><p>{long}</p><ul><li>Last item of the text</li></ul><div>Copyright</div><ul><li><a href=/c>Contact</a></li></ul></body>"""
+    assert html_extract.extract(page).split("\n") == wanted
+    page = f'<body><article><p>{long}</p><section id="related-work"><h2 id="related">Related work</h2><p>{long}</p></section><section id="comments"><p>{long} No.</p></section></article></body>'
+    assert html_extract.extract(page).split("\n") == [long.strip(), "Related work", long.strip()]
+
+
 def test_targets():
     assert mixing.targets([100, 100, 100], [5, 2, 1], 450) == pytest.approx([200, 166.66666, 83.33333], abs=1e-3)
     assert sum(mixing.targets([10, 1000, 5], [5, 2, 1], 1500)) == pytest.approx(1500)

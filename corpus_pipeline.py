@@ -3,7 +3,8 @@
 Quality rules, near duplicates, repeated passages, benchmark passages, mixing.
 Each stage takes (spark, docs, sf_dir) and returns the columns of ``documents``,
 the last one the mix. Other columns of the input are dropped; rows that share a
-doc_id are decided together; a null text passes the stages as an empty one.
+doc_id are decided together, in the benchmark stage also those without one; a null
+text passes the stages as an empty one.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ ORACLE_SQL = None
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    ids = ids.select("doc_id").distinct()
+    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
     few = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
+    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

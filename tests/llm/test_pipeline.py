@@ -46,6 +46,15 @@ def test_near_duplicates_and_passages_are_gone(steps):
         assert [x for k, x in enumerate(w) if k not in gone] == rows.get(i, [])
 
 
+def test_benchmark_passage_without_a_doc_id_goes(spark):
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("size(split(text, ' ')) > 20").first()["text"]
+    rows = [(None, f"before it {item} after it", "en", "web", 9), (1, "nothing of the benchmark", "en", "web", 9), (2, item, "en", "web", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in corpus_pipeline.benchmark_passages(spark, docs, SF).collect()] == [1]
+
+
 def test_run_is_the_stages(spark, steps):
     import corpus_pipeline
 

@@ -1,14 +1,13 @@
-"""Substring dedup by relative Lempel-Ziv parsing of word sequences.
+"""Substring dedup of word sequences by hashes of blocks and windows.
 
-The reference is all documents, cut into indexed blocks: around each anchor (of
+This stands in for relative Lempel-Ziv parsing: no factor is extended or measured.
+All documents are cut into blocks: around each anchor (of
 the word pairs of a window the one with the longest words) lie the windows that
 have it as theirs. Equal passages are cut into equal blocks wherever they stand,
-so the index, from a block's hash to its smallest doc_id, is dealt by hash and
-every document is factored against every block that could match it: greedily,
-block by block, a factor goes on as long as an earlier document has the block.
-Where a factor ends inside a block whose anchor other documents have in another
-setting, the block's windows are checked one by one (the factor boundaries).
-Factors are at least ``window`` words long; they are the duplicate spans.
+so the index, from a block's hash to its smallest doc_id, is dealt by hash, and
+a block that an earlier document has is a duplicate. Of the other blocks, those
+whose anchor other documents have in another setting are checked window by
+window. The duplicate spans are unions of such windows of ``window`` words.
 
 Defined results: a null text has no words; texts of fewer than ``window`` words
 lose nothing; of equal texts the smallest doc_id stays whole; repeated rows do

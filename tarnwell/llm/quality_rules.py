@@ -7,12 +7,13 @@ on while the rules stay precise. The list becomes an ordered chain of
 
 Defined results: a null text counts as empty; an empty table gives no rows; no
 usable label gives an empty list, which keeps everything; repeated rows are each
-judged; columns besides those named below are ignored.
+judged; other columns pass through, but those named like a statistic are replaced.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +26,7 @@ from tarnwell.llm.text import SPACES, let, pick, words
 SYMBOLS = "[#*$%&|<>]"
 #: Statistics that rules put thresholds on, from those of ``with_statistics``.
 FEATURES = ("n_words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "bang_share", "digit_share")
+STATISTICS = ("n_words", "word_chars", "n_repeat_words", "n_lines", "n_dup_lines", "n_symbols", *FEATURES[1:])
 
 
 def _count(text: Column, chars: str) -> Column:
@@ -65,27 +67,46 @@ def n_repeat_words(ws: Column, n: int = 3) -> Column:
     return F.when(F.size(ws) <= n, F.lit(0)).otherwise(let(F.ceil(F.log2(F.size(ws) + F.lit(1))).cast("int"), lambda bits: covered(ws, bits))).cast("long")
 
 
+def statistics(text: Column) -> Column:
+    """A struct of the statistics of a text, with the shares that rules use; each is evaluated once however often it is named."""
+    counts = let(
+        F.coalesce(text, F.lit("")),
+        lambda body: F.struct(
+            let(words(body), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)).cast("long").alias("word_chars"), n_repeat_words(w).alias("n_repeat_words"))).alias("w"),
+            let(
+                F.filter(F.split(body, "\n"), lambda x: x.rlike(f"[^{SPACES}]")), lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
+            ).alias("l"),
+            _count(body, SYMBOLS).alias("n_symbols"),
+            _count(body, "[A-Z]").alias("upper"),
+            _count(body, "!").alias("bang"),
+            _count(body, "[0-9]").alias("digit"),
+        ),
+    )
+
+    def shares(c: Column) -> Column:
+        share = lambda a, b: a / F.greatest(b, F.lit(1))
+        chars = c["w"]["word_chars"]
+        return F.struct(
+            *[c["w"][k].alias(k) for k in ("n_words", "word_chars", "n_repeat_words")],
+            *[c["l"][k].alias(k) for k in ("n_lines", "n_dup_lines")],
+            c["n_symbols"].alias("n_symbols"),
+            share(chars, c["w"]["n_words"]).alias("word_length"),
+            share(c["n_symbols"], chars).alias("symbol_share"),
+            share(c["l"]["n_dup_lines"], c["l"]["n_lines"]).alias("dup_line_share"),
+            share(c["w"]["n_repeat_words"], c["w"]["n_words"]).alias("repeat_share"),
+            share(c["upper"], chars).alias("upper_share"),
+            share(c["bang"], chars).alias("bang_share"),
+            share(c["digit"], chars).alias("digit_share"),
+        )
+
+    return let(counts, shares)
+
+
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` and the statistics of each text, with those that rules use."""
-    body = F.coalesce(docs[text], F.lit(""))
-    upper, bang, digit = _count(body, "[A-Z]"), _count(body, "!"), _count(body, "[0-9]")
-    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(f"[^{SPACES}]"))
-    lists = let(words(body), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)).cast("long").alias("word_chars"), n_repeat_words(w).alias("n_repeat_words")))
-    dup = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    out = docs.withColumns({"_w": lists, "_l": dup, "n_symbols": _count(body, SYMBOLS), "_upper": upper, "_bang": bang, "_digit": digit})
-    out = out.withColumns({"n_words": F.col("_w.n_words"), "word_chars": F.col("_w.word_chars"), "n_repeat_words": F.col("_w.n_repeat_words"), "n_lines": F.col("_l.n_lines"), "n_dup_lines": F.col("_l.n_dup_lines")})
-    share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    return out.withColumns(
-        {
-            "word_length": share("word_chars", "n_words"),
-            "symbol_share": share("n_symbols", "word_chars"),
-            "dup_line_share": share("n_dup_lines", "n_lines"),
-            "repeat_share": share("n_repeat_words", "n_words"),
-            "upper_share": share("_upper", "word_chars"),
-            "bang_share": share("_bang", "word_chars"),
-            "digit_share": share("_digit", "word_chars"),
-        }
-    ).drop("_w", "_l", "_upper", "_bang", "_digit")
+    """``docs`` and the statistics of each text, which take the place of columns of the same names."""
+    private = max((c for c in docs.columns), key=len, default="") + "_"  # no column's name
+    out = docs.withColumn(private, statistics(docs[text]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in STATISTICS], *[F.col(f"`{private}`.{k}").alias(k) for k in STATISTICS])
 
 
 @dataclass(frozen=True)
@@ -96,8 +117,8 @@ class Literal:
     above: bool
     threshold: float
 
-    def column(self) -> Column:
-        return F.col(self.feature) > F.lit(self.threshold) if self.above else F.col(self.feature) <= F.lit(self.threshold)
+    def column(self, at: Callable[[str], Column] = F.col) -> Column:
+        return at(self.feature) > F.lit(self.threshold) if self.above else at(self.feature) <= F.lit(self.threshold)
 
     def holds(self, x: dict[str, np.ndarray]) -> np.ndarray:
         return x[self.feature] > self.threshold if self.above else x[self.feature] <= self.threshold
@@ -109,13 +130,13 @@ class DecisionList:
 
     rules: tuple[tuple[Literal, ...], ...] = ()
 
-    def rule_column(self) -> Column:
-        """The number from 1 of the first rule that holds, else 0."""
+    def rule_column(self, at: Callable[[str], Column] = F.col) -> Column:
+        """The number from 1 of the first rule that holds, else 0; ``at`` gives a statistic by name."""
         out = None
         for i, rule in enumerate(self.rules, 1):
-            test = rule[0].column()
+            test = rule[0].column(at)
             for literal in rule[1:]:
-                test = test & literal.column()
+                test = test & literal.column(at)
             out = F.when(test, F.lit(i)) if out is None else out.when(test, F.lit(i))
         return F.lit(0) if out is None else out.otherwise(F.lit(0))
 
@@ -201,8 +222,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = 20_000, base: bo
     return learn(x, y, held, **options)
 
 
-def base_failed(min_words: int = 50, max_repeat_percent: int = 50) -> Column:
-    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+def base_failed(min_words: int = 50, max_repeat_percent: int = 50, at: Callable[[str], Column] = F.col) -> Column:
+    return (at("n_words") < min_words) | (100 * at("n_repeat_words") > max_repeat_percent * at("n_words"))
 
 
 def judge(docs: DataFrame, rules: DecisionList, *, base: bool = True) -> DataFrame:
@@ -212,6 +233,20 @@ def judge(docs: DataFrame, rules: DecisionList, *, base: bool = True) -> DataFra
     return out.withColumn("kept", ~(F.col("base_failed") | fired) if base else ~fired)
 
 
+def keep(docs: DataFrame, rules: DecisionList, *, base: bool = True) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, by a filter that evaluates the statistics once a row.
+
+    A filter on ``judge``'s columns would be pushed below them, and each statistic
+    that a rule names would be evaluated anew.
+    """
+
+    def rejected(s: Column) -> Column:
+        fired = rules.rule_column(s.getField) != 0
+        return (base_failed(at=s.getField) | fired) if base else fired
+
+    return docs.where(~let(statistics(docs["text"]), rejected))
+
+
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
     rules = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

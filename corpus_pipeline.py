@@ -35,7 +35,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the learned rules reject go."""
     docs = pick(docs, *COLUMNS)
     rules = quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), base=False)
-    return quality_rules.judge(docs, rules, base=False).where("kept").select(*COLUMNS)
+    return quality_rules.keep(docs, rules, base=False)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

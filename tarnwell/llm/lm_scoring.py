@@ -1,15 +1,18 @@
 """Language-model scoring with a causal self-attention model over subword ids.
 
-A subword's probability is that of its class, from the model, times its share of
-the class, from the counts of all training texts. Frequent subwords are classes
-of their own. A word's probability is its discounted share of all training words
-plus what the discount leaves times the probability of its subwords, which the
-model gives (that it starts with this one, goes on, and ends here). The class logits are the counted log-probabilities given the
-subword before (from all training texts) plus what a single attention head adds;
-the head is trained in numpy on all training texts, in as many places as the input has
-parts, and the weights are averaged between rounds. Scoring lays the texts of a
-block end to end and cuts them into windows that overlap by ``CONTEXT`` ids; all
-windows of a batch are one masked attention, and each id is scored once.
+The model is a mixture of ``EXPERTS`` unigram models of the corpus and one of all
+of it. Causal self-attention looks at the subword ids of the words before a place
+and gives the shares of the mixture there. A word's probability under an expert is
+its discounted share of the expert's training words plus what the discount leaves
+times the probability of its subwords, one after another, END last.
+
+What is learned: the experts, by rounds of expectation maximization over all
+training texts, begun from ``SEEDS`` texts; counts of words and of pairs of subwords,
+from all training texts; the weights of the attention (queries, keys, values,
+distances, output), by Adam in numpy over all training texts, in as many places as
+the input has parts, averaged by the words seen. Scoring lays the texts of a block
+end to end and cuts them into windows that overlap by ``CONTEXT`` words; all windows
+of a batch are one masked attention, and each token is scored once.
 
 Defined results: a null text has only its end; a null doc_id counts as the empty
 text for the fold; rows that share a doc_id are each scored; tables without
@@ -34,18 +37,26 @@ from tarnwell.llm.text import pick
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the tokenizer cuts a text before it merges bytes. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Ids of the vocabulary; its last is the text's end. START stands before a text's first id.
+#: Ids of the vocabulary; its last is a word's end. START stands before a word's first id.
 IDS, END, START = 50_257, 50_256, 50_257
-#: Subwords that the head tells apart as input, classes it predicts, width, ids scored by a window and ids it sees before them.
-INPUTS, CLASSES, WIDTH, SCORED, CONTEXT = 1024, 96, 16, 16, 16
+#: Unigram models that the attention mixes, besides the one of all texts; kinds of words that they are found by.
+EXPERTS, BINS = 8, 1024
+#: Texts that expectation maximization begins with, and rounds of it over all training texts.
+SEEDS, EM_ROUNDS = 2000, 2
+#: Subwords that are told apart as what comes before, and classes of subwords that come after.
+INPUTS, CLASSES = 1024, 128
+#: Words that a window scores, words that it sees before them, words that training knows the experts' counts of.
+SCORED, CONTEXT, FREQUENT = 16, 32, 4096
 #: Rounds of averaging, each over all training texts; bytes of text of a block.
-ROUNDS, BLOCK_BYTES = 2, 20 << 20
+ROUNDS, BLOCK_BYTES = 1, 20 << 20
 #: Words whose subwords a process keeps.
 CACHED = 150_000
 #: Bytes of text that are arrays at once.
-SLICE = 3 << 20
-#: What each known word's count gives up for the subword model.
+SLICE = 2 << 20
+#: What each known word's count gives up for the subwords.
 DISCOUNT = 0.75
+#: Columns of counts: all texts, then each expert's.
+TIMES = tuple(f"n{k}" for k in range(EXPERTS + 1))
 
 
 def _kept(name: str) -> dict:
@@ -67,6 +78,12 @@ def _tokenizer(path: str):
     return found[path]
 
 
+def flat_lists(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids end to end, where each list begins and the last ends)."""
+    at = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int64)
+    return np.fromiter(chain.from_iterable(found), np.int64, int(at[-1])), at
+
+
 def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct hashes as they come, which one each word is, where each comes first)."""
     import pandas as pd
@@ -83,7 +100,7 @@ def spelled(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[str
 
 
 def known_pieces(unique: np.ndarray, first: np.ndarray, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, path: str, cache: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """``pieces`` of distinct words; those of words met before come from ``cache``, which holds CACHED at most."""
+    """(ids of all distinct words, where each one's begin and the last end); those of words met before come from ``cache``, which holds CACHED at most."""
     keys = unique.tolist()
     found = [cache.get(k) for k in keys]
     new = [i for i, x in enumerate(found) if x is None]
@@ -94,101 +111,193 @@ def known_pieces(unique: np.ndarray, first: np.ndarray, data: np.ndarray, starts
             found[i] = encode(" " + word)
         room = CACHED - len(cache)
         cache.update((keys[i], found[i]) for i in new[: max(0, room)])
-    at = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int64)
-    return np.fromiter(chain.from_iterable(found), np.int64, int(at[-1])), at
+    return flat_lists(found)
+
+
+def words_of(h: np.ndarray) -> np.ndarray:
+    return (h % U(BINS)).astype(np.int64)
+
+
+class Experts:
+    """Which expert a text belongs to: a mixture of unigram models over ``BINS`` kinds of words."""
+
+    def __init__(self, sums: np.ndarray, texts: np.ndarray):
+        """``sums``: of each expert, how often each kind occurs in its texts; ``texts``: how many it has."""
+        self.log = np.log((sums + 0.1) / (sums + 0.1).sum(1, keepdims=True)).astype(np.float32)
+        self.prior = np.log((texts + 1) / (texts + 1).sum()).astype(np.float32)
+
+    def shares(self, counts_log: np.ndarray) -> np.ndarray:
+        x = counts_log + self.prior
+        x = np.exp(x - x.max(1, keepdims=True))
+        return x / x.sum(1, keepdims=True)
+
+    def of(self, h: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
+        """The share of each expert in each row."""
+        kinds = words_of(h)
+        fit = np.stack([np.bincount(rows, weights=self.log[k][kinds], minlength=n_rows) for k in range(len(self.log))], 1)
+        return self.shares(fit)
+
+
+def begin(kinds: np.ndarray, restarts: int = 5, rounds: int = 25) -> Experts:
+    """Experts from a few texts, of each of which ``kinds`` has how often each kind occurs; the likeliest of some restarts."""
+    sums = np.zeros((EXPERTS, BINS))
+    kinds = kinds[kinds.sum(1) > 0].astype(np.float64)
+    best, found = -math.inf, Experts(sums, np.zeros(EXPERTS))
+    if not len(kinds):
+        return found
+    unit = np.sqrt(kinds / kinds.sum(1, keepdims=True))
+    for restart in range(restarts):
+        draw = np.random.default_rng(restart)
+        chosen = [int(draw.integers(len(kinds)))]
+        for _ in range(EXPERTS - 1):  # far from those chosen, as a rule
+            far = np.maximum(1 - (unit @ unit[chosen].T).max(1), 0) ** 2
+            chosen.append(int(draw.choice(len(kinds), p=far / far.sum())) if far.sum() > 0 else chosen[0])
+        now = Experts(kinds[chosen] + kinds.sum(0) / kinds.sum() * 50, np.zeros(EXPERTS))
+        for _ in range(rounds):
+            fit = kinds @ now.log.T.astype(np.float64)
+            share = now.shares(fit)
+            now = Experts(share.T @ kinds, share.sum(0))
+        fit = kinds @ now.log.T + now.prior
+        total = float((np.log(np.exp(fit - fit.max(1, keepdims=True)).sum(1)) + fit.max(1)).sum())
+        if total > best:
+            best, found = total, now
+    return found
+
+
+def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, data, offsets in slices(batch.column(0), SLICE):
+            h, rows, _, _ = word_hashes(data, offsets, lower=True)
+            of_row = np.split(words_of(h), np.flatnonzero(np.diff(rows)) + 1) if len(h) else []
+            yield pa.RecordBatch.from_arrays([pa.array([np.bincount(x, minlength=BINS).astype(np.float32).tobytes() for x in of_row], pa.binary())], names=["kinds"])
 
 
-def pieces(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all words, first id of each and the end)."""
-    encode = _tokenizer(path).encode_ordinary
-    found = [encode(" " + w) for w in words]
-    at = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int64)
-    return np.fromiter((i for x in found for i in x), np.int64, int(at[-1])), at
+def _expected(experts: Experts):
+    """Each expert's sums over a part of the texts: place BINS of a row of BINS + 1 counts texts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((EXPERTS, BINS + 1))
+        for batch in batches:
+            for a, b, data, offsets in slices(batch.column(0), SLICE):
+                h, rows, _, _ = word_hashes(data, offsets, lower=True)
+                share = experts.of(h, rows, b - a)
+                kinds = words_of(h)
+                for k in range(EXPERTS):
+                    sums[k, :BINS] += np.bincount(kinds, weights=share[rows, k], minlength=BINS)
+                sums[:, BINS] += share.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size)), pa.array(sums.ravel())], names=["at", "value"])
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of a slice and how often each occurs."""
-    for batch in batches:
-        for _, _, data, offsets in slices(batch.column(0), SLICE):
-            h, _, starts, stops = word_hashes(data, offsets, lower=True)
-            unique, which, first = distinct(h)
-            words = spelled(data, starts[first], stops[first])
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(np.bincount(which, minlength=len(unique)).astype(np.int64))], names=["word", "n"])
+    return run
+
+
+def find_experts(docs: DataFrame) -> Experts:
+    """The experts of training texts ``docs`` (doc_id, text): begun from SEEDS texts, refined over all."""
+    few = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SEEDS).distinct()
+    chosen = docs.join(F.broadcast(few), "doc_id").select("text").mapInArrow(_kinds, "kinds binary").limit(2 * SEEDS).toArrow()
+    kinds = np.frombuffer(b"".join(sorted(chosen["kinds"].to_pylist())), np.float32).reshape(-1, BINS)
+    experts = begin(kinds)
+    for _ in range(EM_ROUNDS):
+        sums = np.zeros(EXPERTS * (BINS + 1))
+        got = docs.select("text").mapInArrow(_expected(experts), "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
+        sums[got["at"].to_numpy()] = np.round(got["value"].to_numpy(), 6)  # so that the order of adding does not show
+        sums = sums.reshape(EXPERTS, BINS + 1)
+        experts = Experts(sums[:, :BINS], sums[:, BINS])
+    return experts
+
+
+def _counted(experts: Experts):
+    """Distinct words of a slice and how often each occurs, in all texts and in those of each expert; the null word stands for the texts' ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in slices(batch.column(0), SLICE):
+                h, rows, starts, stops = word_hashes(data, offsets, lower=True)
+                unique, which, first = distinct(h)
+                words = [*spelled(data, starts[first], stops[first]), None]
+                expert = experts.of(h, rows, b - a).argmax(1)
+                table = np.zeros((EXPERTS + 1, len(words)), np.int64)
+                table[1:, :-1] = np.bincount(expert[rows] * len(unique) + which, minlength=EXPERTS * len(unique)).reshape(EXPERTS, -1) if len(unique) else 0
+                table[1:, -1] = np.bincount(expert, minlength=EXPERTS)
+                table[0] = table.sum(0)
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *map(pa.array, table)], names=["word", *TIMES])
+
+    return run
 
 
 def _typed(path: str):
-    """kind 0: words by hash with their counts; kind 1: pairs of ids in distinct words, START being before and END after each."""
+    """kind 0: words by hash with their counts; 1: pairs of ids in distinct words, START before and END after each; 2: ids.
+
+    A distinct word counts as one, in parts for the experts whose texts have it; ids of kind 2 count as often as their words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             h = np.concatenate([word_hashes(data, offsets)[0] for _, _, data, offsets in slices(batch.column(0))])
-            ids, at = pieces(batch.column(0).to_pylist(), path)
+            times = np.stack([batch.column(1 + k).to_numpy() for k in range(EXPERTS + 1)], 1).astype(float)
+            encode = _tokenizer(path).encode_ordinary
+            ids, at = flat_lists([encode(" " + w) for w in batch.column(0).to_pylist()])
+            owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
             before = np.empty(len(ids), np.int64)
             before[1:] = ids[:-1]
             before[at[:-1]] = START
-            pairs, n = np.unique(np.concatenate((before * 65536 + ids, ids[at[1:] - 1] * 65536 + END)), return_counts=True)
-            kind = pa.array(np.repeat(np.array([0, 1], np.int8), [len(h), len(pairs)]))
-            yield pa.RecordBatch.from_arrays([kind, pa.array(np.concatenate((h.view(np.int64), pairs))), pa.array(np.concatenate((batch.column(1).to_numpy(), n)))], names=["kind", "key", "n"])
+            one = times / times[:, :1]
+            pair, which = np.unique(np.concatenate((before * 65536 + ids, ids[at[1:] - 1] * 65536 + END)), return_inverse=True)
+            who = np.concatenate((owner, np.arange(len(at) - 1)))
+            pairs = [np.bincount(which, weights=one[who, k], minlength=len(pair)) for k in range(EXPERTS + 1)]
+            each, which = np.unique(ids, return_inverse=True)
+            often = [np.bincount(which, weights=times[owner, k], minlength=len(each)) for k in range(EXPERTS + 1)]
+            kind = np.repeat(np.array([0, 1, 2], np.int8), [len(h), len(pair), len(each)])
+            key = np.concatenate((h.view(np.int64), pair, each))
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), *(pa.array(np.concatenate((times[:, k], pairs[k], often[k]))) for k in range(EXPERTS + 1))], names=["kind", "key", *TIMES])
 
     return run
 
 
-def _starts(path: str) -> np.ndarray:
-    """Whether each id starts a word, as its first sign stands for a space, or ends a text."""
-    out = np.zeros(IDS, bool)
-    tokenizer = _tokenizer(path)
-    for i in range(END):
-        out[i] = tokenizer.decode_single_token_bytes(i)[:1] == b" "
-    out[END] = True
-    return out
-
-
-def by_word(log: np.ndarray, start: np.ndarray, row: np.ndarray, size: np.ndarray, is_end: np.ndarray) -> np.ndarray:
-    """Of each token (words and ends in order), the natural logarithm of its probability as subwords, given that a token follows.
-
-    ``log``: of each subword; ``start``: that one that starts a word comes at its place; ``size``: subwords of each token.
-    """
-    first = np.cumsum(size) - size
-    whole = np.add.reduceat(log, first)
-    after = np.append(start[1:], 0.0)[first + size - 1]
-    return whole - start[first] + np.where(is_end, 0.0, after)
-
-
 class Model:
-    """Tables from counts and the head's weights."""
-
-    NAMES = ("E", "Q", "K", "V", "R", "B", "W")
-
-    def __init__(self, counts: np.ndarray, starts: np.ndarray):
-        """``counts``: of each id; ``starts``: whether an id starts a word (or is END)."""
+    """Tables from counts, and the weights of the attention."""
+
+    NAMES = ("Q", "K", "V", "R", "W", "B")
+
+    def __init__(self, ids: np.ndarray, pairs: np.ndarray, often: np.ndarray, tokens: np.ndarray, types: np.ndarray, texts: np.ndarray):
+        """Of all texts and of each expert, by column. ``ids``: how often each id stands in distinct words; ``pairs`` (input, id, column ...): how
+        often ids follow an id; ``often``: how often each id stands in texts; ``tokens``, ``types``, ``texts``: how many there are."""
+        self.tokens, self.types, self.texts = tokens, types, texts
+        self.inputs, self.classes = self.maps(ids[:, 0])
+        total = np.zeros((CLASSES, EXPERTS + 1))
+        np.add.at(total, self.classes, ids)
+        whole = (ids[:, 0] + 1) / np.bincount(self.classes, weights=ids[:, 0] + 1, minlength=CLASSES)[self.classes]
+        self.shares = np.log((ids + 16 * whole[:, None]) / (total[self.classes] + 16)).astype(np.float32)
+        table = np.zeros((INPUTS, CLASSES, EXPERTS + 1))
+        u, v = pairs[:, 0].astype(np.int64), pairs[:, 1].astype(np.int64)
+        np.add.at(table, (self.inputs[u], self.classes[v]), pairs[:, 2:])
+        prior = (total[:, 0] + 1) / (total[:, 0] + 1).sum()
+        every = (table[:, :, 0] + 8 * prior) / (table[:, :, 0].sum(1, keepdims=True) + 8)
+        self.follows = np.log((table + 8 * every[:, :, None]) / (table.sum(1, keepdims=True) + 8)).astype(np.float32)
+        # What an id says for each expert: how much more often it stands in the expert's texts than in all.
+        rate = (often + 0.5) / (often + 0.5).sum(0)
+        one = np.clip(np.log(rate[:, 1:] / rate[:, :1]), -4, 4).astype(np.float32)
+        self.says = np.zeros((IDS + 1, EXPERTS), np.float32)
+        self.says[:IDS] = one
+        small = lambda *shape: (np.random.default_rng(7).standard_normal(shape) * 0.1).astype(np.float32)
+        self.p = {"Q": small(EXPERTS, EXPERTS), "K": small(EXPERTS, EXPERTS), "V": np.eye(EXPERTS, dtype=np.float32), "R": np.zeros(SCORED + CONTEXT, np.float32)}
+        self.p["W"] = np.concatenate((np.zeros((EXPERTS, 1)), 4 * np.eye(EXPERTS)), 1).astype(np.float32)
+        self.p["B"] = np.log((tokens + 1) / (tokens + 1).sum()).astype(np.float32)
+        self.keys, self.known = np.zeros(0, np.int64), np.zeros((0, EXPERTS + 1))
+
+    @staticmethod
+    def maps(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The input of each id and START, and the class of each id: frequent ones are their own, others are told apart by rank."""
         order = np.argsort(-counts, kind="stable")
-        self.inputs = np.full(IDS + 1, INPUTS - 1, np.int32)
-        self.inputs[order[: INPUTS - 2]] = np.arange(INPUTS - 2)
-        self.inputs[START] = INPUTS - 2
-        bands = 5  # of the other ids, by rank, those that start a word apart from those that don't
-        single = np.append(order[order != END][: CLASSES - 2 * bands - 1], END)
         rank = np.empty(IDS, np.int64)
         rank[order] = np.arange(IDS)
-        band = np.minimum(np.log2(np.maximum(rank - len(single), 0) / 64 + 1), bands - 1).astype(np.int32)
-        self.classes = (len(single) + band + bands * starts).astype(np.int32)
-        self.classes[single] = np.arange(len(single))
-        self.starting = np.zeros(CLASSES, bool)
-        self.starting[: len(single)] = starts[single]
-        self.starting[len(single) + bands :] = True
-        total = np.maximum(np.bincount(self.classes, weights=counts + 1, minlength=CLASSES), 1e-6)
-        self.shares = np.log((counts + 1) / total[self.classes]).astype(np.float32)
-        self.total = total
-        self.bigrams = np.tile(np.log(total / total.sum()), (INPUTS, 1)).astype(np.float32)
-        draw = np.random.default_rng(7)
-        small = lambda *shape: (draw.standard_normal(shape) * 0.2).astype(np.float32)
-        self.p = {"E": small(INPUTS, WIDTH), "Q": small(WIDTH, WIDTH), "K": small(WIDTH, WIDTH), "V": small(WIDTH, WIDTH), "R": np.zeros(SCORED + CONTEXT, np.float32), "B": np.zeros(WIDTH, np.float32), "W": np.zeros((WIDTH, CLASSES), np.float32)}
-
-    def set_pairs(self, table: np.ndarray) -> None:
-        """``table``: how often each class follows each input."""
-        prior = self.total / self.total.sum()
-        self.bigrams = np.log((table + 8 * prior) / (table.sum(1, keepdims=True) + 8)).astype(np.float32)
+        inputs = np.append(np.minimum(rank, INPUTS - 2), INPUTS - 1).astype(np.int32)
+        bands = 10
+        single = CLASSES - bands - 1
+        classes = np.where(rank < single, rank, single + np.minimum(np.log2(np.maximum(rank - single, 0) / 32 + 1), bands - 1).astype(np.int64))
+        classes[END] = CLASSES - 1
+        return inputs, classes.astype(np.int32)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in self.NAMES])
@@ -196,124 +305,135 @@ class Model:
     def unflat(self, values: np.ndarray) -> None:
         at = 0
         for k in self.NAMES:
-            shape = self.p[k].shape
-            n = int(np.prod(shape))
+            shape, n = self.p[k].shape, self.p[k].size
             self.p[k] = np.asarray(values[at : at + n], np.float32).reshape(shape)
             at += n
 
-    def tables(self) -> None:
-        """What scoring looks up by input instead of multiplying anew."""
+    def words(self, ids: np.ndarray, at: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(what each word says for each expert, natural logarithm of its probability under each), both with a row more: a
+        text's start, an end. ``times``: how often all texts and each expert's have the word."""
+        n = len(at) - 1
+        says, log = np.zeros((n + 1, EXPERTS), np.float32), np.empty((n + 1, EXPERTS + 1), np.float32)
+        left = np.maximum(self.tokens, 1)
+        more = np.where(self.tokens > 0, DISCOUNT * self.types / left, 1.0)
+        if n:
+            before = np.empty(len(ids), np.int64)
+            before[1:] = ids[:-1]
+            before[at[:-1]] = START
+            sub = np.add.reduceat(self.follows[self.inputs[before], self.classes[ids]] + self.shares[ids], at[:-1])
+            sub += self.follows[self.inputs[ids[at[1:] - 1]], CLASSES - 1]
+            says[:n] = np.add.reduceat(self.says[ids], at[:-1]) / np.diff(at)[:, None]
+            log[:n] = np.logaddexp(np.log(np.maximum(times - DISCOUNT, 1e-30) / left), np.log(more) + sub)
+        log[n] = np.log((self.texts + 0.01) / (left + 0.01))
+        return says, log
+
+    def frequent(self, unique: np.ndarray) -> np.ndarray:
+        """The counts of those words that training knows; none of the others."""
+        out = np.zeros((len(unique), EXPERTS + 1))
+        if len(self.keys) and len(unique):
+            at = np.minimum(np.searchsorted(self.keys, unique.view(np.int64)), len(self.keys) - 1)
+            hit = self.keys[at] == unique.view(np.int64)
+            out[hit] = self.known[at[hit]]
+        return out
+
+    def tables(self, says: np.ndarray) -> None:
+        """Queries, keys and values of distinct words, looked up instead of multiplied anew."""
         p = self.p
-        self.q, self.k, self.v = p["E"] @ p["Q"] / np.float32(math.sqrt(WIDTH)), p["E"] @ p["K"], p["E"] @ p["V"]
-        longest = lambda x: float(np.sqrt((x * x).sum(1)).max())
-        self.bounded = longest(self.q) * longest(self.k) + float(np.abs(p["R"]).max()) < 60  # then no weight over- or underflows
+        self.q, self.k, self.v = says @ p["Q"] / np.float32(math.sqrt(EXPERTS)), says @ p["K"], says @ p["V"]
         back = np.arange(SCORED)[:, None] + CONTEXT - np.arange(SCORED + CONTEXT)[None, :]
         self.bias = np.where(back >= 0, p["R"][np.clip(back, 0, None)], np.float32(-1e9)).astype(np.float32)
 
-    def windows(self, inputs: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Input and row of each place of each window; the first CONTEXT are seen only."""
-        n = -(-len(inputs) // SCORED)
-        pad = lambda x, fill: np.concatenate((np.full(CONTEXT, fill, x.dtype), x, np.full(n * SCORED - len(x), fill, x.dtype)))
-        cut = lambda x: np.lib.stride_tricks.sliding_window_view(x, SCORED + CONTEXT)[::SCORED]
-        return cut(pad(inputs, 0)), cut(pad(rows, -1))
-
-    def attend(self, x: np.ndarray, r: np.ndarray, whole: bool = False) -> tuple[np.ndarray, ...]:
-        """Weights and results of the masked attention of each window's last SCORED places; ``whole``: the weights add up to 1."""
-        q, k, v = self.q[x[:, CONTEXT:]], self.k[x], self.v[x]
+    def attend(self, q: np.ndarray, k: np.ndarray, v: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and results of the masked attention of each window's last SCORED places, which see their own text up to themselves."""
         s = q @ k.transpose(0, 2, 1)
         s += self.bias
         mixed = np.flatnonzero(r[:, 0] != r[:, -1])
         if len(mixed):
             s[mixed] += np.where(r[mixed][:, CONTEXT:, None] == r[mixed][:, None, :], np.float32(0), np.float32(-1e9))
-        if not self.bounded:
-            s -= s.max(2, keepdims=True)
+        s -= s.max(2, keepdims=True)
         np.exp(s, out=s)
-        total = s.sum(2, keepdims=True)
-        if whole:
-            s /= total
-            return q, k, v, s, s @ v
-        got = s @ v
-        got /= total
-        return q, k, v, s, got
-
-    def score(self, inputs: np.ndarray, targets: np.ndarray, rows: np.ndarray, batch: int = 512) -> tuple[np.ndarray, np.ndarray]:
-        """Natural logarithms of the probability of each target's class and of any class that starts a word."""
-        out, start = np.empty(len(inputs), np.float32), np.empty(len(inputs), np.float32)
-        starting = self.starting.astype(np.float32)
-        x, r = self.windows(inputs, rows)
+        s /= s.sum(2, keepdims=True)
+        return s, s @ v
+
+    def score(self, tokens: np.ndarray, rows: np.ndarray, says: np.ndarray, log: np.ndarray, batch: int = 512) -> np.ndarray:
+        """Natural logarithm of the probability of each token; ``tokens``: which word each is, -1 an end; ``says``, ``log``: of ``words``."""
+        out = np.empty(len(tokens), np.float32)
+        self.tables(says)
+        x, r = windows(before(tokens), rows)
         for a in range(0, len(x), batch):
             part = x[a : a + batch]
-            *_, got = self.attend(part, r[a : a + batch])
-            now = part[:, CONTEXT:].reshape(-1)
-            z = np.maximum(self.p["E"][now] + got.reshape(-1, WIDTH) + self.p["B"], 0)
-            logits = z @ self.p["W"]
-            logits += self.bigrams[now]
-            lo, hi = a * SCORED, min(len(inputs), a * SCORED + len(now))
-            picked = logits[np.arange(hi - lo), targets[lo:hi]]
-            np.exp(logits, out=logits)
-            total = np.log(logits.sum(1))
-            out[lo:hi] = picked - total[: hi - lo]
-            start[lo:hi] = (np.log(logits @ starting) - total)[: hi - lo]
-        return out, start
-
-    def learn(self, inputs: np.ndarray, targets: np.ndarray, rows: np.ndarray, counted: np.ndarray, rate: float, batch: int = 64) -> None:
-        """One pass of Adam over the windows; only the places in ``counted`` have a loss."""
-        x, r = self.windows(inputs, rows)
-        fill = lambda y: np.concatenate((y, np.zeros(len(x) * SCORED - len(y), y.dtype))).reshape(-1, SCORED)
-        goal, counted = fill(targets), fill(counted.astype(np.float32))
+            _, got = self.attend(self.q[part[:, CONTEXT:]], self.k[part], self.v[part], r[a : a + batch])
+            lo, hi = a * SCORED, min(len(tokens), (a + len(part)) * SCORED)
+            mixed = (got.reshape(-1, EXPERTS) @ self.p["W"] + self.p["B"])[: hi - lo]
+            out[lo:hi] = sum_exp(mixed + log[tokens[lo:hi]]) - sum_exp(mixed)
+        return out
+
+    def learn(self, tokens: np.ndarray, rows: np.ndarray, says: np.ndarray, log: np.ndarray, rate: float, batch: int = 128) -> None:
+        """One pass of Adam over the windows of some texts."""
+        x, r = windows(before(tokens), rows)
+        goal = np.concatenate((tokens, np.full(len(x) * SCORED - len(tokens), -2))).reshape(-1, SCORED)
         m, v2 = {k: np.zeros_like(a) for k, a in self.p.items()}, {k: np.zeros_like(a) for k, a in self.p.items()}
-        back = (np.arange(SCORED)[:, None] + CONTEXT - np.arange(SCORED + CONTEXT)[None, :]).clip(0)
+        back = (np.arange(SCORED)[:, None] + CONTEXT - np.arange(SCORED + CONTEXT)[None, :]).clip(0).ravel()
         order = np.random.default_rng(11).permutation(len(x))
+        root = np.float32(math.sqrt(EXPERTS))
         for step, a in enumerate(range(0, len(x), batch), 1):
             at = order[a : a + batch]
-            self.tables()
-            p, part, near = self.p, x[at], r[at]
-            q, k, v, s, got = self.attend(part, near, whole=True)
-            now = part[:, CONTEXT:].reshape(-1)
-            e = p["E"][now]
-            z = np.maximum(e + got.reshape(-1, WIDTH) + p["B"], 0)
-            logits = z @ p["W"] + self.bigrams[now]
-            logits -= logits.max(1, keepdims=True)
-            d = np.exp(logits)
-            d /= d.sum(1, keepdims=True)
-            d[np.arange(len(d)), goal[at].reshape(-1)] -= 1
-            live = counted[at].reshape(-1)
-            d *= (live / max(live.sum(), 1))[:, None]
-            dz = (d @ p["W"].T) * (z > 0)
-            g = {"W": z.T @ d, "B": dz.sum(0)}
-            da = dz.reshape(got.shape)
-            dv = s.transpose(0, 2, 1) @ da
-            ds = da @ v.transpose(0, 2, 1)
-            ds = s * (ds - (ds * s).sum(2, keepdims=True))
-            g["R"] = np.bincount(back.ravel(), weights=ds.sum(0).ravel(), minlength=SCORED + CONTEXT).astype(np.float32)
-            dq, dk = (ds @ k).reshape(-1, WIDTH) / np.float32(math.sqrt(WIDTH)), (ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
-            dv, everyone = dv.reshape(-1, WIDTH), part.reshape(-1)
-            ek = p["E"][everyone]
-            g["Q"], g["K"], g["V"] = e.T @ dq, ek.T @ dk, ek.T @ dv
-            de = np.concatenate((dz + dq @ p["Q"].T, dk @ p["K"].T + dv @ p["V"].T))
-            where = np.concatenate((now, everyone))
-            g["E"] = np.stack([np.bincount(where, weights=de[:, j], minlength=INPUTS) for j in range(WIDTH)], 1).astype(np.float32)
+            p, part = self.p, x[at]
+            self.tables(np.zeros((1, EXPERTS), np.float32))  # the distances
+            e = says[part]
+            near = e[:, CONTEXT:]
+            q, k, v = near @ p["Q"] / root, e @ p["K"], e @ p["V"]
+            s, got = self.attend(q, k, v, r[at])
+            target = goal[at].reshape(-1)
+            live = target != -2
+            flat = got.reshape(-1, EXPERTS)
+            logits = flat @ p["W"] + p["B"]
+            gate = np.exp(logits - sum_exp(logits)[:, None])
+            after = logits + log[np.where(live, target, -1)]
+            d = gate - np.exp(after - sum_exp(after)[:, None])
+            d *= (live / np.float32(max(live.sum(), 1)))[:, None]
+            g = {"W": flat.T @ d, "B": d.sum(0)}
+            dg = (d @ p["W"].T).reshape(got.shape)
+            dv = s.transpose(0, 2, 1) @ dg
+            ds = dg @ v.transpose(0, 2, 1)
+            ds -= (ds * s).sum(2, keepdims=True)
+            ds *= s
+            g["R"] = np.bincount(back, weights=ds.sum(0).ravel(), minlength=SCORED + CONTEXT).astype(np.float32)
+            dq, dk = ds @ k / root, ds.transpose(0, 2, 1) @ q
+            wide = e.reshape(-1, EXPERTS)
+            g["Q"], g["K"], g["V"] = near.reshape(-1, EXPERTS).T @ dq.reshape(-1, EXPERTS), wide.T @ dk.reshape(-1, EXPERTS), wide.T @ dv.reshape(-1, EXPERTS)
             for name, grad in g.items():
                 m[name] = 0.9 * m[name] + 0.1 * grad
                 v2[name] = 0.98 * v2[name] + 0.02 * grad * grad
-                p[name] -= np.float32(rate) * (m[name] / (1 - 0.9**step)) / (np.sqrt(v2[name] / (1 - 0.98**step)) + np.float32(1e-6))
+                p[name] = p[name] - np.float32(rate) * (m[name] / (1 - 0.9**step)) / (np.sqrt(v2[name] / (1 - 0.98**step)) + np.float32(1e-6))
+
+
+def sum_exp(x: np.ndarray) -> np.ndarray:
+    """Logarithm of each row's sum of exponentials."""
+    high = x.max(1)
+    return high + np.log(np.exp(x - high[:, None]).sum(1))
+
+
+def before(tokens: np.ndarray) -> np.ndarray:
+    """The token before each; before a text's first stands the end of another, -1, which is its start."""
+    return np.concatenate((np.full(1, -1, tokens.dtype), tokens[:-1]))
+
 
+def windows(inputs: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Input and row of each place of each window; the first CONTEXT are seen only."""
+    n = -(-len(inputs) // SCORED)
+    pad = lambda x: np.concatenate((np.full(CONTEXT, -1, x.dtype), x, np.full(n * SCORED - len(x), -1, x.dtype)))
+    cut = lambda x: np.lib.stride_tricks.sliding_window_view(x, SCORED + CONTEXT)[::SCORED]
+    return cut(pad(inputs)), cut(pad(rows))
 
-def stream(h: np.ndarray, rows: np.ndarray, which: np.ndarray, ids: np.ndarray, at: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, id before it, row) of all texts end to end, each with its END; from the ids of the distinct words."""
-    size = np.diff(at)[which]
-    total = np.bincount(rows, weights=size, minlength=n_rows).astype(np.int64) + 1
-    ends = np.cumsum(total)
-    out = np.full(int(ends[-1]), END, np.int64)
-    row = np.repeat(np.arange(n_rows), total)
-    body = np.ones(len(out), bool)
+
+def lay(which: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which word each token is, -1 an end, its row) of all texts end to end."""
+    ends = np.cumsum(np.bincount(rows, minlength=n_rows) + 1)
+    out, body = np.full(int(ends[-1]), -1, np.int64), np.ones(int(ends[-1]), bool)
     body[ends - 1] = False
-    to = np.cumsum(size)
-    out[body] = ids[np.repeat(at[:-1][which] - (to - size), size) + np.arange(to[-1] if len(to) else 0)]
-    before = np.empty(len(out), np.int64)
-    before[1:] = out[:-1]
-    before[ends - total] = START
-    return out, before, row
+    out[body] = which
+    return out, np.repeat(np.arange(n_rows), np.diff(ends, prepend=0))
 
 
 def _trained(path: str, model: Model, rate: float):
@@ -322,13 +442,11 @@ def _trained(path: str, model: Model, rate: float):
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(0), SLICE):
                 h, rows, starts, stops = word_hashes(data, offsets, lower=True)
-                if not len(h):
-                    continue
                 unique, which, first = distinct(h)
-                ids, at = known_pieces(unique, first, data, starts, stops, path, cache)
-                now, before, row = stream(h, rows, which, ids, at, b - a)
-                model.learn(model.inputs[before], model.classes[now], row, np.ones(len(now), bool), rate)
-                seen += len(now)
+                says, log = model.words(*known_pieces(unique, first, data, starts, stops, path, cache), model.frequent(unique))
+                tokens, row = lay(which, rows, b - a)
+                model.learn(tokens, row, says, log, rate)
+                seen += len(tokens)
         if seen:
             flat = model.flat().astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))], names=["at", "value", "weight"])
@@ -336,42 +454,42 @@ def _trained(path: str, model: Model, rate: float):
     return run
 
 
-def fit(docs: DataFrame, counts: DataFrame, *, tokenizer: str = TOKENIZER, rate: float = 0.01) -> Model:
-    """The model of training texts ``docs`` (doc_id, text) with their ``counts``; pairs are counted in distinct words, the head learns from every place of every text."""
-    pairs = counts.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).select(F.expr("key div 65536").alias("u"), F.expr("key % 65536").alias("v"), "n")
-    one = np.zeros(IDS, np.int64)
-    for r in pairs.groupBy("v").agg(F.sum("n").alias("n")).collect():
-        one[r["v"]] = r["n"]
-    words, texts = int(one[END]), 1
-    one[END] = texts
-    model = Model(one, _starts(tokenizer))
-    # Of each input (of at most INPUTS) and class: how often the class follows, and how often a word ends there.
+def fit(docs: DataFrame, counts: DataFrame, texts: np.ndarray, *, tokenizer: str = TOKENIZER, rate: float = 0.02) -> Model:
+    """The model of training texts ``docs`` with their ``counts`` (of ``_typed``) and ends (``texts``, of all and of each expert)."""
+    sums = [F.sum(c).alias(c) for c in TIMES]
+    held = lambda t: np.stack([t[c].to_numpy() for c in TIMES], 1).astype(float) if t.num_rows else np.zeros((0, EXPERTS + 1))
+
+    def by_id(rows: DataFrame) -> np.ndarray:
+        got, out = rows.groupBy("v").agg(*sums).toArrow(), np.zeros((IDS, EXPERTS + 1))
+        out[got["v"].to_numpy()] = held(got)
+        return out
+
+    pairs = counts.where("kind = 1").select(F.expr("key div 65536").alias("u"), F.expr("key % 65536").alias("v"), *TIMES)
+    ids = by_id(pairs)
+    # Pairs are added up by input and class, of which there are INPUTS times CLASSES at most; any id of a class stands for it.
+    inputs, classes = Model.maps(ids[:, 0])
     spark = docs.sparkSession
-    known = spark.createDataFrame([(i, int(x)) for i, x in enumerate(model.inputs)], "u long, input int")
-    classes = spark.createDataFrame([(i, int(x) if i != END else -1) for i, x in enumerate(model.classes)], "v long, class int")
-    table, ends, first = np.zeros((INPUTS, CLASSES)), np.zeros(INPUTS), np.zeros(CLASSES)
-    for r in pairs.join(F.broadcast(known), "u").join(F.broadcast(classes), "v").groupBy("input", "class").agg(F.sum("n").alias("n")).collect():
-        if r["input"] == model.inputs[START]:
-            first[r["class"]] += r["n"]
-        elif r["class"] < 0:
-            ends[r["input"]] += r["n"]
-        else:
-            table[r["input"], r["class"]] += r["n"]
-    # A word's end is followed by another word's start, or, once a text, by the text's end.
-    after = first * max(0.0, 1 - texts / max(words, 1)) / max(first.sum(), 1)
-    after[model.classes[END]] += min(1.0, texts / max(words, 1))
-    table += ends[:, None] * after[None, :]
-    table[model.inputs[START]] = first
-    model.set_pairs(table)
+    stands = lambda x: {int(c): i for i, c in reversed(list(enumerate(x)))}
+    one_u, one_v = stands(inputs), stands(classes)
+    known = spark.createDataFrame([(i, one_u[int(x)]) for i, x in enumerate(inputs)], "u long, one_u long")
+    named = spark.createDataFrame([(i, one_v[int(x)]) for i, x in enumerate(classes)], "v long, one_v long")
+    got = pairs.join(F.broadcast(known), "u").join(F.broadcast(named), "v").groupBy("one_u", "one_v").agg(*sums).toArrow()
+    table = np.concatenate((np.stack([got["one_u"].to_numpy(), got["one_v"].to_numpy()], 1).astype(float), held(got)), 1)
+    words = counts.where("kind = 0")
+    total = words.agg(*sums, *[F.sum((F.col(c) > 0).cast("long")).alias(f"types_{c}") for c in TIMES]).first()
+    tokens, types = (np.array([total[prefix + c] or 0 for c in TIMES], float) for prefix in ("", "types_"))
+    model = Model(ids, table, by_id(counts.where("kind = 2").select(F.col("key").alias("v"), *TIMES)), tokens + texts, types + (texts > 0), texts)
+    top = words.orderBy(F.desc("n0"), "key").limit(FREQUENT).toArrow()
+    order = np.argsort(top["key"].to_numpy())
+    model.keys, model.known = top["key"].to_numpy()[order], held(top)[order]
     texts_read = docs.select("text")  # as the input is split: all texts, and no shuffle of them
     for k in range(ROUNDS):
-        got = texts_read.mapInArrow(_trained(tokenizer, model, rate / (k + 1)), "at long, value double, weight double").groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("value")).collect()
-        if not got:
-            break
-        flat = model.flat()
-        for r in got:
-            flat[r["at"]] = r["value"]
-        model.unflat(flat)
+        got = texts_read.mapInArrow(_trained(tokenizer, model, rate / (k + 1)), "at long, value double, weight double").groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow()
+        if got.num_rows:
+            flat = model.flat()
+            flat[got["at"].to_numpy()] = got["value"].to_numpy()
+            model.unflat(flat)
+    model.keys, model.known = model.keys[:0], model.known[:0]  # scoring is given all words
     return model
 
 
@@ -383,36 +501,25 @@ def _asked(key, table):
     return pa.table({"block": pa.array(np.full(len(unique), key[0].as_py(), np.int32)), "key": pa.array(unique.view(np.int64))})
 
 
-def _scored(path: str, model: Model, n_all: int, n_distinct: int, n_texts: int):
+def _scored(path: str, model: Model):
+    n_all, n_distinct, n_texts = int(model.tokens[0]), int(model.types[0]), int(model.texts[0])
+
     def run(left, right):
-        model.tables()
         order = np.argsort(right["key"].to_numpy())
-        known, times = right["key"].to_numpy()[order], right["n"].to_numpy()[order]
+        model.keys = right["key"].to_numpy()[order]
+        model.known = np.stack([right[c].to_numpy() for c in TIMES], 1).astype(float)[order] if len(order) else np.zeros((0, EXPERTS + 1))
         out, cache = [], _kept(path)
-        least = math.log10(n_all + n_distinct + 1)
-        texts = left["text"].combine_chunks()
-        for a, b, data, offsets in slices(texts):
+        least = math.log10(n_all + n_distinct + 1)  # n_distinct has the end, and so has n_all
+        for a, b, data, offsets in slices(left["text"].combine_chunks(), SLICE):
             h, rows, starts, stops = word_hashes(data, offsets, lower=True)
             unique, which, first = distinct(h)
-            ids, at = known_pieces(unique, first, data, starts, stops, path, cache)
-            now, before, row = stream(h, rows, which, ids, at, b - a)
-            log, start = (x.astype(np.float64) for x in model.score(model.inputs[before], model.classes[now], row))
-            c = np.zeros(len(unique), np.int64)
-            if len(known) and len(unique):
-                place = np.minimum(np.searchsorted(known, unique.view(np.int64)), len(known) - 1)
-                hit = known[place] == unique.view(np.int64)
-                c[hit] = times[place[hit]]
+            times = model.frequent(unique)
+            says, log = model.words(*known_pieces(unique, first, data, starts, stops, path, cache), times)
+            tokens, row = lay(which, rows, b - a)
+            score = np.bincount(row, weights=model.score(tokens, row, says, log).astype(float), minlength=b - a) / math.log(10)
             n = np.bincount(rows, minlength=b - a) + 1
+            c = times[:, 0]
             base = np.bincount(rows, weights=np.log10(c + 1.0)[which], minlength=b - a) + math.log10(n_texts + 1) - n * least
-            token = np.argsort(np.concatenate((rows, np.arange(b - a))), kind="stable")  # each row's words, then its end
-            is_end = token >= len(rows)
-            size = np.concatenate((np.diff(at)[which], np.ones(b - a, np.int64)))[token]
-            sub = by_word(log + model.shares[now], start, row, size, is_end)
-            times_of = np.concatenate((c[which], np.full(b - a, n_texts)))[token].astype(float)
-            left_over = DISCOUNT * n_distinct / n_all if n_all else 1.0
-            with np.errstate(divide="ignore"):
-                mixed = np.logaddexp(np.log(np.maximum(times_of - DISCOUNT, 0) / max(n_all, 1)), math.log(left_over) + sub) / math.log(10)
-            score = np.bincount(np.concatenate((rows, np.arange(b - a)))[token], weights=mixed, minlength=b - a)
             known_words = np.bincount(rows, weights=(c > 0)[which], minlength=b - a).astype(np.int64) + (n_texts > 0)
             out.append((n.astype(np.int64), known_words, base, score))
         n, known_words, base, score = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
@@ -421,24 +528,30 @@ def _scored(path: str, model: Model, n_all: int, n_distinct: int, n_texts: int):
     return run
 
 
+def train(docs: DataFrame, *, tokenizer: str = TOKENIZER) -> tuple[Model, DataFrame]:
+    """The model of training texts ``docs`` (doc_id, text), and the counts of their words by hash."""
+    experts = find_experts(docs)
+    words = docs.select("text").mapInArrow(_counted(experts), "word string, " + ", ".join(f"{c} long" for c in TIMES)).groupBy("word").agg(*[F.sum(c).alias(c) for c in TIMES])
+    words = checkpointed(words)
+    ends = words.where("word is null").first()
+    counts = checkpointed(words.where("word is not null").mapInArrow(_typed(tokenizer), "kind byte, key long, " + ", ".join(f"{c} double" for c in TIMES)))
+    model = fit(docs, counts, np.array([ends[c] if ends else 0 for c in TIMES], float), tokenizer=tokenizer)
+    return model, counts.where("kind = 0").select("key", *TIMES)
+
+
 def score(docs: DataFrame, *, held: int = 2, folds: int = 7, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs`` (doc_id, text)."""
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == held
     docs = pick(docs, "doc_id", "text").select("doc_id", "text", fold.alias("held_out"))
-    train = docs.where("not held_out")
-    words = train.select("text").mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = checkpointed(words.mapInArrow(_typed(tokenizer), "kind byte, key long, n long"))
-    words = counts.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("rows")).first()
-    texts = train.count()
-    model = fit(train, counts, tokenizer=tokenizer)
+    model, words = train(docs.where("not held_out").select("doc_id", "text"), tokenizer=tokenizer)
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(4, math.ceil(size / BLOCK_BYTES))
     # Both uses take all columns, so that the texts are shuffled once.
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int")).repartition("block")
     asked = dealt.groupBy("block").applyInArrow(_asked, "block int, key long")
-    given = asked.join(counts.where("kind = 0").select("key", "n"), "key").select("block", "key", "n")
+    given = asked.join(words, "key").select("block", "key", *TIMES)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_scored(tokenizer, model, int(words["n"]) + int(texts), int(words["rows"]) + (1 if texts else 0), int(texts)), schema)
+    return dealt.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_scored(tokenizer, model), schema)
 
 
 def op2_lm_scoring(spark, sf_dir: str) -> DataFrame:

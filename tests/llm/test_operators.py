@@ -129,69 +129,6 @@ def test_lm_scores_are_probabilities(spark, docs, rows):
         assert r["score"] < 0 and math.isfinite(r["score"])
 
 
-def test_attention_is_causal_and_windows_score_once():
-    draw = np.random.default_rng(0)
-    counts = draw.integers(1, 50, lm_scoring.IDS).astype(np.int64)
-    starts = np.zeros(lm_scoring.IDS, bool)
-    starts[::2] = True
-    starts[lm_scoring.END] = True
-    model = lm_scoring.Model(counts, starts)
-    model.p["W"] = draw.standard_normal(model.p["W"].shape).astype(np.float32)
-    model.tables()
-    n = 75
-    ids = draw.integers(0, lm_scoring.IDS, n)
-    rows = np.repeat([0, 1], [40, 35])
-    before = np.append(lm_scoring.START, ids[:-1])
-    one, _ = model.score(model.inputs[before], model.classes[ids], rows, batch=2)
-    assert len(one) == n
-    # What comes later changes nothing; nor does the other text.
-    ids2, before2 = ids.copy(), before.copy()
-    before2[60:] = draw.integers(0, lm_scoring.IDS, 15)
-    two, _ = model.score(model.inputs[before2], model.classes[ids2], rows)
-    assert np.allclose(one[:60], two[:60], atol=1e-5)
-    before3 = before.copy()
-    before3[:40] = 7
-    three, _ = model.score(model.inputs[before3], model.classes[ids], rows)
-    assert np.allclose(one[40:], three[40:], atol=1e-5)
-    # Classes add up to one, and shares to one in each class.
-    at = np.full(lm_scoring.CLASSES, before[0])
-    total = [np.exp(model.score(model.inputs[at[:1]], np.array([c], np.int32), rows[:1])[0][0]) for c in range(lm_scoring.CLASSES)]
-    assert sum(total) == pytest.approx(1, abs=1e-4)
-    assert np.bincount(model.classes, weights=np.exp(model.shares.astype(float)), minlength=lm_scoring.CLASSES) == pytest.approx(np.ones(lm_scoring.CLASSES), abs=1e-3)
-
-
-def test_training_lowers_the_loss():
-    draw = np.random.default_rng(1)
-    starts = np.zeros(lm_scoring.IDS, bool)
-    starts[[1, 3, lm_scoring.END]] = True
-    counts = np.zeros(lm_scoring.IDS, np.int64)
-    counts[:4] = 1000
-    model = lm_scoring.Model(counts, starts)
-    # Each id repeats the one of three places ago, which no pair can tell.
-    ids = np.empty(6000, np.int64)
-    ids[:3] = 0
-    for k in range(3, len(ids)):
-        ids[k] = ids[k - 3] if draw.random() < 0.95 else draw.integers(0, 4)
-    before, rows = np.append(lm_scoring.START, ids[:-1]), np.zeros(len(ids), np.int64)
-    args = model.inputs[before], model.classes[ids], rows
-    model.tables()
-    was = model.score(*args)[0].mean()
-    for _ in range(8):
-        model.learn(*args, np.ones(len(ids)), 0.03)
-    model.tables()
-    assert model.score(*args)[0].mean() > was + 0.1
-
-
-def test_each_training_text_reaches_the_head(spark):
-    draw = random.Random(5)
-    texts = [(i, prose(draw, 60)) for i in range(4)]
-    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).cache()
-    counts = docs.select("text").mapInArrow(lm_scoring._counted, "word string, n long").mapInArrow(lm_scoring._typed(lm_scoring.TOKENIZER), "kind byte, key long, n long").cache()
-    whole = lm_scoring.fit(docs, counts).flat()
-    for i, _ in texts:
-        assert not np.allclose(whole, lm_scoring.fit(docs.where(f"doc_id <> {i}"), counts).flat(), atol=1e-6)
-
-
 def test_decontamination(spark):
     draw = random.Random(5)
     items = [(k, prose(draw, 40)) for k in range(8)] + [(8, "too short to leak"), (9, None), (None, prose(draw, 30))]

@@ -5,7 +5,10 @@ length and punctuation are summed by path; a path's ratio of both to its nodes
 is smoothed with those of the paths around it (the subtrees of its ancestors),
 fused, and compared with a threshold; the nodes of the paths above it are the
 content. So are text elements between them, or beside them under the same parent,
-unless those beside are mostly links. Elements that never hold article text are left out beforehand.
+unless those beside are mostly links. Elements that hold no article text by their
+tag, or by a whole name of their class, id or role, are left out beforehand, but not
+one that holds nearly all of the page's text. Paths are numbers in a tree, and all
+sums are made in one pass, so that a page takes time in proportion to its length.
 
 Defined results: a null or empty page, or one without content, gives ''; pages
 are each extracted alone, so repeated rows give equal results; broken markup is
@@ -28,174 +31,264 @@ from tarnwell.llm.text import pick
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var label".split())
 RAW = frozenset("script style noscript template textarea iframe svg math select object canvas title head".split())
-OUTSIDE = frozenset("nav header footer aside form menu button dialog".split())
+OUTSIDE = frozenset("nav footer aside menu button dialog".split())
+#: Elements that hold no article text unless they hold nearly all text.
+DOUBTFUL = frozenset("header form".split())
 #: An element that opens one of these ends an open one of those.
-ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ARTICLE = frozenset("article main".split())
 #: Elements whose blocks follow content beside them, and those that hold such blocks within the parent.
 FOLLOWS = HEADINGS | frozenset("p li dt dd td th pre blockquote figcaption caption summary".split())
 HOLDERS = frozenset("ul ol dl li dt dd table thead tbody tfoot tr td th blockquote figure details".split())
-SCOPE = frozenset("ul ol dl table article section main div body".split())
-#: Parts of class, id or role that mark what is no article text.
-HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adsby\w*|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|side-?bar|side|widget\w*|footer|header|masthead|topbar|cookies?|consent|notices?|disclaimer|gdpr|popup|modal|overlay|newsletter|"
-    r"subscribe|signup|comment\w*|reply|replies|disqus|discussion|feedback|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|skip|login|search|complementary|navigation|contentinfo|alert)(?:$|[\s_-])",
-    re.I,
+SCOPE = ("ul", "ol", "dl", "table", "article", "section", "main", "div", "body")
+#: Words in names of what is no article text.
+STRONG = re.compile(
+    r"(?:ads?|adsby\w*|advert\w*|adbox|adslot|adunit|sponsor(?:s|ed)?|promos?|promotions?|promoted|banners?|nav|navbar|navi|topnav|subnav|navlinks|menus?|menubar|breadcrumbs?|sidebars?|widgets?|footer|header|masthead|topbar|"
+    r"cookies?|consent|gdpr|popup|modal|overlay|newsletters?|subscribe|signup|comment(?:s|ers?|list|form|area|box|section|thread)?|reply|replies|disqus|sharing|recommend(?:ed|ations?)?|pagination|pager|toolbar|skip|login|"
+    r"complementary|navigation|contentinfo)"
 )
-#: Of these, what the id of a section inside an article may be as well.
-SECTIONS = re.compile(r"(?:^|[\s_-])(?:notices?|disclaimer|discussion|feedback|share|sharing|social|related|recommend\w*|search|alert|side)(?=$|[\s_-])", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Words that say so alone, or with one that names a part of a page; in an article's own names they may say what it is about.
+WEAK = frozenset("notice notices disclaimer discussion feedback share social related search alert side".split())
+PARTS = frozenset("bar box links list button buttons widget block area container wrap wrapper icons posts articles stories form panel tools site top bottom page global left right column".split())
+#: Words by which a name tells how a page is laid out, and whose headers belong to the article.
+STATES = frozenset("no not has have with without is hide hidden show use enable enabled disable disabled open closed".split())
+OWN = frozenset("post entry article story content main title section chapter".split())
+#: An element that is left out by its name goes back if all that is left without it is less than one part of its text in so many.
+GUARD = 10
+SPECIAL = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|!\[CDATA\[|[!?])")
+VALUES = re.compile(r"[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+NAME_PARTS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])|[^\W_]+")
 PUNCTUATION = re.compile(r"[.,;:!?。，、！？…]")
 BLANK = re.compile(r"\s+")
 
 
-def _outside(tag: str, attributes: str) -> tuple[bool, str]:
-    """Whether the element can't hold article text, and its name in a path."""
-    name = tag
+def names_outside(name: str) -> bool:
+    """Whether one name of a class, an id or a role is of what holds no article text."""
+    parts = [x.lower() for x in NAME_PARTS.findall(name)]
+    if not parts or STATES.intersection(parts):
+        return False
+    if any(STRONG.fullmatch(x) and not (x == "header" and OWN.intersection(parts)) for x in (*parts, "".join(parts))):
+        return True
+    return any(x in WEAK and (len(parts) == 1 or any(y in PARTS or y in WEAK for y in parts if y != x)) for x in parts)
+
+
+def _outside(tag: str, attributes: str, in_article: bool) -> tuple[int, str]:
+    """0: the element may hold article text; 1: it does not by its name; 2: it can't. And its name in a path."""
+    name, found = tag, 2 if tag in OUTSIDE else 1 if tag in DOUBTFUL and not (tag == "header" and in_article) else 0
     if attributes:
         for key, *values in ATTRIBUTE.findall(attributes):
             value, key = "".join(values), key.lower()
             if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                return True, name
+                return 2, name
             if key in ("class", "id", "role"):
-                # Ids of headings and sections are made from what the article says there.
-                named = "" if key == "id" and tag in HEADINGS else SECTIONS.sub(" ", value) if key == "id" and tag == "section" else value
-                if HINTS.search(named) and tag not in ("html", "body", "article", "main"):
-                    return True, name
                 name += "." + value
-    return tag in OUTSIDE, name
-
-
-def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, bool]]:
-    """(path, text, whether it is mostly links) of each block of a page that may be content, in order."""
-    stack: list[tuple[str, str, bool]] = []  # tag, name, whether outside
-    pieces: list[str] = []
-    hidden, linked, at, end = 0, 0, 0, len(page)
-
-    def flush() -> tuple[tuple[str, ...], str, bool] | None:
-        nonlocal linked
-        text = BLANK.sub(" ", html.unescape("".join(pieces))).strip()
-        pieces.clear()
-        links, linked = 2 * linked > len(text), 0
-        return (tuple(name for tag, name, _ in stack if tag not in INLINE), text, links) if text else None
-
-    while at < end:
-        m = TOKEN.search(page, at)
-        stop = m.start() if m else end
-        if stop > at and not hidden:
-            pieces.append(page[at:stop])
-            if any(tag == "a" for tag, _, _ in stack):
-                linked += len(page[at:stop].strip())
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            if m[0].startswith("<![CDATA[") and not hidden:
-                pieces.append(html.escape(m[0][9:].removesuffix("]]>")))
-            continue
-        closing = bool(m[1])
-        if tag in RAW and not closing:
-            if not m[0].endswith("/>"):
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                if close:
-                    at = close.end()
-                elif tag != "head":
-                    at = end
-            continue
-        if tag in VOID or tag in RAW:
-            if tag in ("br", "hr", "img") and not hidden:
-                pieces.append(" ")
-            if tag == "hr" and not hidden and (got := flush()):
-                yield got
-            continue
-        if tag not in INLINE and not hidden and (got := flush()):
-            yield got
-        if closing:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is not None and not (tag in INLINE and any(t not in INLINE for t, _, _ in stack[depth:])):
-                hidden -= sum(x[2] for x in stack[depth:])
-                del stack[depth:]
-            continue
-        if tag not in INLINE:
-            while stack and stack[-1][0] in INLINE:
-                hidden -= stack.pop()[2]
-            if stack and stack[-1][0] == "p":
-                hidden -= stack.pop()[2]
-        if tag in ENDS:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ENDS[tag]:
-                    hidden -= sum(x[2] for x in stack[k:])
-                    del stack[k:]
-                    break
-                if stack[k][0] in SCOPE:
-                    break
-        outside, name = _outside(tag, m[3])
-        if not m[0].endswith("/>"):
-            stack.append((tag, name, outside))
-            hidden += outside
-    if not hidden and (got := flush()):
-        yield got
-
-
-def home(path: tuple[str, ...]) -> tuple[str, ...]:
-    """The path of the element in which a block stands, lists, tables and quotations left out."""
-    end = len(path) - 1
-    while end > 0 and path[end - 1].split(".")[0] in HOLDERS:
-        end -= 1
-    return path[: max(end, 0)]
-
-
-def followed(nodes: list[tuple[tuple[str, ...], str, bool]], sure: list[bool]) -> list[bool]:
+                # An id of a heading is made from what the article says there.
+                if not found and tag not in ("html", "body", "article", "main") and not (key == "id" and tag in HEADINGS) and any(map(names_outside, value.split())):
+                    found = 1
+    return found, name
+
+
+class Page:
+    """The blocks of a page, the elements they stand in, and the elements' paths, each as a tree."""
+
+    def __init__(self, page: str):
+        self.blocks: list[tuple[int, str, bool]] = []  # element, text, whether it is mostly links
+        self.parent, self.path, self.flag, self.plain = [-1], [0], [0], [0]  # of each element; plain: text besides links
+        self.above, self.tag, self.up, self.inside = [-1], [""], [0], [False]  # of each path; up: the nearest that is no holder
+        self._known: dict[tuple[int, str], int] = {}
+        self._read(page)
+
+    def _path(self, above: int, tag: str, name: str) -> int:
+        found = self._known.get((above, name))
+        if found is None:
+            found = self._known[above, name] = len(self.tag)
+            self.above.append(above)
+            self.tag.append(tag)
+            self.up.append(self.up[above] if tag in HOLDERS else found)
+            self.inside.append(self.inside[above] or tag in ARTICLE)
+        return found
+
+    def _read(self, page: str) -> None:
+        stack: list[tuple[str, int, bool]] = []  # tag, element, whether it can't hold article text
+        opened: dict[str, list[int]] = defaultdict(list)  # where in the stack each tag is open
+        bases: list[int] = []  # where in the stack elements are that are not inline
+        pieces: list[str] = []
+        unclosed: set[str] = set()
+        hidden, linked, at, end, quoted = 0, 0, 0, len(page), True
+
+        def flush() -> None:
+            nonlocal linked
+            text = BLANK.sub(" ", html.unescape("".join(pieces))).strip()
+            pieces.clear()
+            if text:
+                element = stack[bases[-1]][1] if bases else 0
+                self.blocks.append((element, text, 2 * linked > len(text)))
+                self.plain[element] += max(0, len(text) - linked)
+            linked = 0
+
+        def cut(depth: int) -> None:
+            nonlocal hidden
+            while len(stack) > depth:
+                tag, _, out = stack.pop()
+                opened[tag].pop()
+                hidden -= out
+                if tag not in INLINE:
+                    bases.pop()
+
+        last = lambda tag: opened[tag][-1] if opened.get(tag) else -1
+        while at < end:
+            m = SPECIAL.search(page, at)
+            stop = m.start() if m else end
+            if stop > at and not hidden:
+                pieces.append(page[at:stop])
+                if opened.get("a"):
+                    linked += len(page[at:stop].strip())
+            if not m:
+                break
+            at, tag = m.end(), (m[2] or "").lower()
+            if not tag:
+                kind = m[0]
+                close = "-->" if kind == "<!--" else "]]>" if kind == "<![CDATA[" else ">"
+                k = page.find(close, at)
+                if kind == "<![CDATA[" and not hidden:
+                    pieces.append(html.escape(page[at : k if k >= 0 else end]))
+                at = k + len(close) if k >= 0 else end
+                continue
+            k = VALUES.match(page, at).end() if quoted else page.find(">", at)
+            if quoted and k < end and page[k] != ">":  # a quote that nothing ends: from here on quotes count nothing
+                quoted, k = False, page.find(">", at)
+            k = end if k < 0 else k
+            attributes, at = page[at:k], min(k + 1, end)
+            single = attributes.endswith("/")
+            if tag in RAW and not m[1]:
+                if not single and tag not in unclosed:
+                    close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                    if close:
+                        at = close.end()
+                    elif tag != "head":
+                        at = end
+                    else:
+                        unclosed.add(tag)
+                continue
+            if tag in VOID or tag in RAW:
+                if tag in ("br", "hr", "img") and not hidden:
+                    pieces.append(" ")
+                if tag == "hr" and not hidden:
+                    flush()
+                continue
+            inline = tag in INLINE
+            if not inline and not hidden:
+                flush()
+            if m[1]:
+                depth = last(tag)
+                if depth >= 0 and not (inline and bases and bases[-1] > depth):
+                    cut(depth)
+                continue
+            if not inline:
+                while stack and stack[-1][0] in INLINE:
+                    cut(len(stack) - 1)
+                if stack and stack[-1][0] == "p":
+                    cut(len(stack) - 1)
+            if tag in ENDS:
+                depth = max(map(last, ENDS[tag]))
+                if depth > max(map(last, SCOPE)):
+                    cut(depth)
+            above = stack[bases[-1]][1] if bases else 0
+            flag, name = _outside(tag, attributes, self.inside[self.path[above]])
+            if single:
+                continue
+            element = above
+            if not inline or flag:
+                element = len(self.parent)
+                self.parent.append(above)
+                self.flag.append(flag)
+                self.plain.append(0)
+                self.path.append(self.path[above] if inline else self._path(self.path[above], tag, name))
+            opened[tag].append(len(stack))
+            if not inline:
+                bases.append(len(stack))
+            stack.append((tag, element, flag == 2 or inline and flag == 1))
+            hidden += stack[-1][2]
+        if not hidden:
+            flush()
+
+    def kept(self) -> list[tuple[int, str, bool]]:
+        """(path, text, whether it is mostly links) of the blocks that may be content, in order."""
+        n = len(self.parent)
+        while True:
+            out = [False] * n  # whether an element or one around it is left out
+            for e in range(1, n):
+                out[e] = out[self.parent[e]] or self.flag[e] > 0
+            clean = list(self.plain)  # of each element, its text without that of elements left out inside it
+            for e in range(n - 1, 0, -1):
+                if not self.flag[e]:
+                    clean[self.parent[e]] += clean[e]
+            named = [e for e in range(1, n) if self.flag[e] == 1]
+            most = max(named, key=lambda e: (clean[e], -e), default=0)
+            if not most or clean[most] <= GUARD * clean[0]:
+                return [(self.path[e], text, links) for e, text, links in self.blocks if not out[e]]
+            while most:  # it and those around it go back
+                self.flag[most] = 0 if self.flag[most] == 1 else self.flag[most]
+                most = self.parent[most]
+
+
+def followed(page: Page, nodes: list[tuple[int, str, bool]], sure: list[bool]) -> list[bool]:
     """``sure``, and the blocks that stand between such, or beside one."""
     out = list(sure)
     at = [i for i, x in enumerate(sure) if x]
-    tag = lambda i: nodes[i][0][-1].split(".")[0] if nodes[i][0] else ""
+    tag = lambda i: page.tag[nodes[i][0]]
+    # The path of the element in which a block stands, lists, tables and quotations left out.
+    home = lambda i: page.up[max(page.above[nodes[i][0]], 0)]
     for a, b in zip(at[:-1], at[1:], strict=True):
         for i in range(a + 1, b):
-            out[i] = tag(i) in FOLLOWS or bool({nodes[i][0], home(nodes[i][0])} & {home(nodes[a][0]), home(nodes[b][0])})
+            out[i] = tag(i) in FOLLOWS or bool({nodes[i][0], home(i)} & {home(a), home(b)})
     for start, step in ((at[0], -1), (at[-1], 1)):
-        to, i = home(nodes[start][0]), start + step
+        to, i = home(start), start + step
         while 0 <= i < len(nodes) and tag(i) in FOLLOWS and not nodes[i][2]:
-            here = home(nodes[i][0])
+            here = home(i)
             # A heading before the content may have a wrapper of its own, or the content may.
-            if not (here == to or step < 0 and tag(i) in HEADINGS and (here[:-1] == to or here == to[:-1] or here[:-1] == to[:-1])):
+            if not (here == to or step < 0 and tag(i) in HEADINGS and (page.above[here] == to or here == page.above[to] or page.above[here] == page.above[to])):
                 break
             out[i] = True
             i += step
     return out
 
 
+def path_values(page: Page, nodes: list[tuple[int, str, bool]]) -> dict[int, float]:
+    """The ratio of each path that has nodes, smoothed with its ancestors inside the body, each of which stands for the paths around this one."""
+    n = len(page.tag)
+    text, marks, count = [0] * n, [0] * n, [0] * n
+    for path, body, _ in nodes:
+        text[path] += len(body)
+        marks[path] += len(PUNCTUATION.findall(body))
+        count[path] += 1
+    ratio = lambda p: (text[p] / count[p]) * (1 + marks[p] / count[p]) ** 0.5 if count[p] else 0.0
+    own = {p: ratio(p) for p in range(n) if count[p]}
+    for p in range(n - 1, 0, -1):  # from here on, of all that lies below a path
+        above = page.above[p]
+        text[above] += text[p]
+        marks[above] += marks[p]
+        count[above] += count[p]
+    around = [0.0] * n
+    for p in range(1, n):
+        around[p] = max(around[page.above[p]], 0.0 if page.tag[p] in ("html", "body") else ratio(p))
+    return {p: max(x, around[p]) for p, x in own.items()}
+
+
 def extract(page: str | None, share: float = 0.2) -> str:
     """The main text of a page."""
-    nodes = list(blocks(page or ""))
+    tree = Page(page or "")
+    nodes = tree.kept()
     if not nodes:
         return ""
-    # Text, punctuation and nodes of each path, and of all that lies below it.
-    own: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0])
-    below: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0])
-    for path, text, _ in nodes:
-        marks = len(PUNCTUATION.findall(text))
-        for sums in (own[path], *(below[path[:k]] for k in range(1, len(path) + 1))):
-            sums[0] += len(text)
-            sums[1] += marks
-            sums[2] += 1
-    ratio = lambda s: (s[0] / s[2]) * (1 + s[1] / s[2]) ** 0.5
-
-    def fused(path: tuple) -> float:
-        # Smoothed with the ancestors inside the body, each of which stands for the paths around this one.
-        inner = [k for k in range(1, len(path) + 1) if path[k - 1].split(".")[0] not in ("html", "body")]
-        return max([ratio(own[path]), *(ratio(below[path[:k]]) for k in inner)])
-
-    value = {path: fused(path) for path in own}
-    articles = [p for p in own if any(x.split(".")[0] in ("article", "main") for x in p)]
-    if articles and sum(own[p][0] for p in articles) * 5 >= sum(s[0] for s in own.values()):
-        inside = set(articles)
-        value = {p: v for p, v in value.items() if p in inside}
-        nodes = [x for x in nodes if x[0] in inside]
-    least = share * max(value.values())
-    content = followed(nodes, [value[path] >= least for path, _, _ in nodes])
+    value = path_values(tree, nodes)
+    inside = sum(len(text) for path, text, _ in nodes if tree.inside[path])
+    if inside and inside * 5 >= sum(len(text) for _, text, _ in nodes):
+        nodes = [x for x in nodes if tree.inside[x[0]]]
+    least = share * max(value[path] for path, _, _ in nodes)
+    content = followed(tree, nodes, [value[path] >= least for path, _, _ in nodes])
     return "\n".join(text for (_, text, _), is_content in zip(nodes, content, strict=True) if is_content)
 
 

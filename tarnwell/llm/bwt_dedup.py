@@ -11,9 +11,8 @@ still hold two suffixes after ``window`` bytes' rounds are the repeats: their
 common prefix is that long.
 
 Defined results: a null text has no bytes; matches never cross texts; each row is
-a text of its own, so that all of repeated rows goes; a null doc_id neither
-removes nor loses bytes. A doc_id names one text: rows that share one and differ
-in text don't fail, but what is found in one may be cut from the other.
+a text of its own, whatever its doc_id (also null, or shared with other rows), so
+that all of repeated rows goes; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -304,8 +303,9 @@ def _removed(window: int):
 
 def remove_repeats(docs: DataFrame, *, window: int = 200) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs`` (doc_id, text)."""
-    docs = pick(docs, "doc_id", "text")
-    keyed = docs.where("doc_id is not null")
+    # A row is known by its id and text, so that rows without an id, or that share one, are texts of their own.
+    docs = pick(docs, "doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
+    keyed = docs.select(F.col("key").alias("doc_id"), "text")
     place = F.shiftrightunsigned("anchor", 24)
     found = keyed.mapInArrow(_found(window, True), "anchor long, sig long, low long, spot long, n long")
     index = found.repartition(place).groupBy(place.alias("place"), "anchor", "sig").agg(F.min(F.struct("low", "spot")).alias("low"), F.sum("n").alias("n"))
@@ -316,13 +316,29 @@ def remove_repeats(docs: DataFrame, *, window: int = 200) -> DataFrame:
     whole = F.collect_list(F.when(F.col("n") > 1, F.col("place"))).alias("whole")
     open_ = F.collect_list(F.when(F.col("more") & (F.col("doc_id") == F.col("low")) & (F.col("place") == F.col("spot")), F.struct(place.alias("group"), "place"))).alias("open")
     parsed = checkpointed(parsed.groupBy("doc_id").agg(whole, open_))
-    dealt = docs.repartition("doc_id").join(parsed, "doc_id", "left").select("doc_id", "text", "open", "whole")
+    dealt = docs.repartition("key").join(parsed.withColumnRenamed("doc_id", "key"), "key", "left").select("key", "text", "open", "whole", "doc_id")
     parts = dealt.mapInArrow(_snippets(window), "group long, doc_id long, begin long, n long, body binary")
     some = parts.repartition("group").sortWithinPartitions("group").mapInArrow(_merges(window), "doc_id long, begin long, n long")
     spans = some.groupBy("doc_id").agg(F.collect_list(F.shiftleft("begin", 16).bitwiseOR(F.col("n"))).alias("some"))
-    out = dealt.join(spans, "doc_id", "left").select("doc_id", "text", "whole", "some")
+    out = dealt.join(spans.withColumnRenamed("doc_id", "key"), "key", "left").select("doc_id", "text", "whole", "some")
     return out.mapInArrow(_removed(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op5_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP5_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS MATERIALIZED (SELECT r, j, substr(x, 1000 * j + 1, 1398) AS part FROM d, generate_series(0, (len(x) - 400) // 1000) AS t(j) WHERE len(x) >= 400),
+g AS MATERIALIZED (SELECT r, 500 * j + i AS i, hash(substr(part, 2 * i - 1, 400)) AS h FROM p, generate_series(1, least(500, len(part) // 2 - 199)) AS t(i)),
+m AS (SELECT r, i FROM g SEMI JOIN (SELECT h FROM g GROUP BY h HAVING count(*) > 1) USING (h)),
+z AS (SELECT r, i, i - coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -1000) > 200 AS fresh FROM m),
+s AS (SELECT r, i, sum(CAST(fresh AS INT)) OVER (PARTITION BY r ORDER BY i) AS span FROM z),
+v AS MATERIALIZED (SELECT r, span, min(i) AS a, max(i) + 200 AS b, row_number() OVER (PARTITION BY r ORDER BY min(i)) AS k FROM s GROUP BY r, span),
+c AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM v GROUP BY r)
+SELECT d.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN starts IS NULL THEN x ELSE array_to_string(list_transform(generate_series(1, len(starts) + 1),
+    lambda q: substr(x, CASE WHEN q = 1 THEN 1 ELSE 2 * ends[q - 1] - 1 END, CASE WHEN q > len(starts) THEN len(x) ELSE 2 * (starts[q] - 1) END - CASE WHEN q = 1 THEN 0 ELSE 2 * (ends[q - 1] - 1) END)), '') END)) AS kept_sha256
+FROM d LEFT JOIN c USING (r)
+"""

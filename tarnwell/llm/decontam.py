@@ -108,3 +108,19 @@ def op3_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     found = found.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.count(F.lit(1)).alias("n_hits"), F.max("matched").alias("matched"))
     out = docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     return out.select("doc_id", F.col("n_hits").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("n_hits", F.lit(0)).cast("long").alias("n_hits"), F.coalesce("matched", F.lit(0)).cast("long").alias("matched"))
+
+
+OP3_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+b AS MATERIALIZED (SELECT item_id, w FROM (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) >= 13),
+m(k, offsets, width) AS (VALUES (0, [0, 1, 3, 4, 5, 8, 9], 10), (1, [0, 3, 4, 5, 6, 7, 9], 10), (2, [0, 1, 3, 6, 8, 9, 10], 11)),
+x AS MATERIALIZED (SELECT DISTINCT item_id, k, i, hash(array_to_string(list_transform(offsets, lambda o: w[i + o]), ' ')) AS h FROM b, m, generate_series(1, len(w) - width + 1) AS t(i)),
+y AS MATERIALIZED (SELECT doc_id, k, i, hash(array_to_string(list_transform(offsets, lambda o: w[i + o]), ' ')) AS h FROM d, m, generate_series(1, len(w) - width + 1) AS t(i)),
+j AS (SELECT y.doc_id, x.item_id, y.i AS pos, x.i AS item_pos FROM x JOIN y USING (k, h)),
+q AS (SELECT j.doc_id, j.item_id, list_max(list_transform(generate_series(-3, 0), lambda s: list_sum(list_transform(generate_series(0, 12),
+  lambda o: CASE WHEN pos + s + o >= 1 AND item_pos + s + o >= 1 AND d.w[pos + s + o] = b.w[item_pos + s + o] THEN 1 ELSE 0 END)))) AS matched
+  FROM j JOIN d USING (doc_id) JOIN b USING (item_id)),
+f AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS items, count(*) AS n_hits, max(matched) AS matched FROM q WHERE 100 * matched >= 80 * 13 GROUP BY doc_id)
+SELECT doc_id, n_hits IS NOT NULL AS contaminated, coalesce(items, []) AS items, CAST(coalesce(n_hits, 0) AS BIGINT) AS n_hits, CAST(coalesce(matched, 0) AS BIGINT) AS matched
+FROM d LEFT JOIN f USING (doc_id)
+"""

@@ -285,3 +285,18 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
 
 def op7_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4)
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(generate_series(1, len(w) - 3), lambda i: hash(array_to_string(w[i:i+3], ' '))))
+  WHEN len(w) > 0 THEN [hash(array_to_string(w, ' ') || ' short')] ELSE [] END AS g FROM w),
+k AS MATERIALIZED (SELECT min(doc_id) AS rep, len(g) AS n, g FROM (SELECT doc_id, list_sort(g) AS g FROM s WHERE len(g) > 0) GROUP BY g),
+e AS MATERIALIZED (SELECT rep, n, unnest(g) AS h FROM k),
+p AS MATERIALIZED (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.h = b.h AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+l AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(id, node) AS (SELECT rep, rep FROM k UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.node),
+c AS (SELECT id, min(node) AS comp FROM r GROUP BY id)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(c.comp, s.doc_id) AS component_id, coalesce(coalesce(c.comp, s.doc_id) = s.doc_id, true) AS kept
+FROM s LEFT JOIN k ON list_sort(s.g) = k.g AND len(s.g) > 0 LEFT JOIN c ON c.id = k.rep
+"""

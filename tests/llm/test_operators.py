@@ -219,6 +219,12 @@ def test_byte_repeats_against_brute_force(docs, rows, window):
     assert sorted(map(tuple, bwt_dedup.remove_repeats(docs, window=window).collect())) == sorted(brute_bytes(rows, window))
 
 
+def test_byte_repeats_of_rows_that_share_an_id_or_have_none(spark):
+    rows = [*ODD, (None, "the same six hundred bytes, " * 22), (7, "the same six hundred bytes, " * 22), (None, "z" * 150 + "a text of its own, unlike all others " * 4)]
+    got = sorted(map(repr, map(tuple, bwt_dedup.remove_repeats(frame(spark, rows)).collect())))
+    assert got == sorted(map(repr, brute_bytes(rows, 200)))
+
+
 def test_merged_transforms_find_repeats():
     draw = random.Random(2)
     for depth in (1, 3, 8, 16):

@@ -4,12 +4,20 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df``, written to spark.checkpoint.dir; to a folder of our own only where the session names none, as in tests."""
-    context = df.sparkSession.sparkContext
+def ready(spark: SparkSession) -> None:
+    """Sets the checkpoint folder that the session names; one of our own only on a single machine, as in tests."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if place is None and not context.master.startswith("local"):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all machines see")
+        context.setCheckpointDir(place or tempfile.mkdtemp(prefix="checkpoint-"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df``, written to the checkpoint folder."""
+    ready(df.sparkSession)
     return df.checkpoint()

@@ -74,19 +74,6 @@ def turn_window(spark, d):
     return views.turn_window(rows).select("session_id", "prev_uuid", "curr_uuid", "prev_role", "curr_role", "gap_ms", "window_idx")
 
 
-@query(
-    f"""WITH {CALLS} SELECT session_id, epoch_us(min(ts)) AS started_at, epoch_us(max(ts)) AS ended_at,
-  count(*) FILTER (WHERE tool_name = 'click') AS clicks, count(*) AS record_count FROM c GROUP BY session_id"""
-)
-def sessions_rollup(spark, d):
-    return calls(spark, d).groupBy("session_id").agg(micros(F.min("ts")).alias("started_at"), micros(F.max("ts")).alias("ended_at"), F.count_if(F.col("tool_name") == "click").alias("clicks"), F.count(F.lit(1)).alias("record_count"))
-
-
-@query(f"WITH {MESSAGES} SELECT uuid, session_id, role, CAST(length(text_content) AS BIGINT) AS n_chars FROM m WHERE length(text_content) >= 32")
-def messages_text_floor(spark, d):
-    return messages(spark, d).where(F.length("text_content") >= 32).select("uuid", "session_id", "role", F.length("text_content").cast("long").alias("n_chars"))
-
-
 @query(
     """WITH g AS (SELECT user_id, date_diff('millisecond', lag(ts) OVER w, ts) AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT user_id, count(gap) AS gaps, round(avg(gap), 3) AS avg_gap_ms, max(gap) AS max_gap_ms FROM g GROUP BY user_id"""
@@ -103,37 +90,6 @@ def json_extract_props(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.sum(k).alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    f"""WITH {MESSAGES}, b AS (SELECT uuid, unnest(string_split(text_content, chr(10))) AS body, generate_subscripts(string_split(text_content, chr(10)), 1) AS i FROM m)
-SELECT uuid, CAST(i - 1 AS BIGINT) AS pos, CAST(length(body) AS BIGINT) AS n_chars FROM b WHERE body <> ''"""
-)
-def content_explode(spark, d):
-    content = F.to_json(F.transform(F.split("text_content", "\n"), lambda x: F.struct(F.lit("text").alias("type"), x.alias("text"))))
-    rows = messages(spark, d).select("uuid", F.posexplode(json_items(content)).alias("pos", "block"))
-    body = F.get_json_object("block", "$.text")
-    return rows.where(body != "").select("uuid", F.col("pos").cast("long").alias("pos"), F.length(body).cast("long").alias("n_chars"))
-
-
-@query(
-    f"""WITH {CALLS} SELECT session_id, tool_name AS subject, event_id, round(v, 4) AS value FROM (SELECT session_id, tool_name, CAST(uuid AS BIGINT) AS event_id, value AS v,
-  row_number() OVER (PARTITION BY session_id, tool_name ORDER BY ts DESC, CAST(uuid AS BIGINT) DESC) AS rn FROM c) WHERE rn = 1"""
-)
-def state_current_last_wins(spark, d):
-    rows = calls(spark, d).withColumn("event_id", F.col("uuid").cast("long"))
-    last = F.max_by(F.struct("event_id", "value"), F.struct("ts", "event_id")).alias("last")
-    return rows.groupBy("session_id", F.col("tool_name").alias("subject")).agg(last).select("session_id", "subject", "last.event_id", F.round("last.value", 4).alias("value"))
-
-
-@query(
-    """WITH l AS (SELECT l_orderkey, l_linestatus, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC) AS rn FROM lineitem)
-SELECT o_orderkey, coalesce(l_linestatus, 'pending') AS status FROM orders LEFT JOIN l ON l_orderkey = o_orderkey AND rn = 1"""
-)
-def latest_status_join(spark, d):
-    last = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max_by("l_linestatus", F.struct("l_shipdate", "l_linenumber", "l_partkey")).alias("last"))
-    orders = table(spark, d, "orders").select("o_orderkey")
-    return orders.join(last, orders["o_orderkey"] == last["l_orderkey"], "left").select("o_orderkey", F.coalesce("last", F.lit("pending")).alias("status"))
-
-
 @query(
     f"""WITH {MESSAGES} SELECT a.uuid, (SELECT u.uuid FROM m u WHERE u.session_id = a.session_id AND u.role = 'user' AND u.ts <= a.ts ORDER BY u.ts DESC, u.uuid DESC LIMIT 1) AS context_uuid
 FROM m a WHERE a.role = 'assistant'"""
@@ -151,16 +107,6 @@ def union_all_sources(spark, d):
     return a.unionByName(b).groupBy("source", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    """SELECT coalesce(c_mktsegment, 'none') AS segment, count(*) AS n, round(sum(o_totalprice), 2) AS total, count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS n_builtin
-FROM orders LEFT JOIN customer ON c_custkey = o_custkey GROUP BY 1"""
-)
-def usage_enriched_left_join(spark, d):
-    cat = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
-    rows = table(spark, d, "orders").join(cat, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return rows.groupBy(F.coalesce("c_mktsegment", F.lit("none")).alias("segment")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("n_builtin"))
-
-
 @query("SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC NULLS LAST, event_id DESC) = 1")
 def dedup_latest_qualify(spark, d):
     rows = table(spark, d, "events").select("user_id", "event_type", "event_id", "ts")
@@ -512,17 +458,6 @@ def transcript_render(spark, d):
     return transcript.collapse(rows).select("session_id", F.md5("transcript").alias("digest"))
 
 
-@query(
-    f"""WITH {MESSAGES} SELECT session_id, count(*) AS total, count(*) FILTER (WHERE role = 'user') AS n_user, min_by(uuid, ts) FILTER (WHERE role = 'user') AS first_user,
-  max_by(uuid, ts) FILTER (WHERE role = 'user') AS last_user, min_by(left(text_content, 40), ts) FILTER (WHERE role = 'assistant') AS first_assistant FROM m GROUP BY session_id"""
-)
-def peek_session(spark, d):
-    of = lambda role, c: F.when(F.col("role") == role, c)
-    at = lambda role: of(role, F.struct("ts", "uuid"))
-    rows = messages(spark, d)
-    return rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("role") == "user").alias("n_user"), F.min(at("user"))["uuid"].alias("first_user"), F.max(at("user"))["uuid"].alias("last_user"), F.min(of("assistant", F.struct("ts", F.substring("text_content", 1, 40).alias("x"))))["x"].alias("first_assistant"))
-
-
 @query(
     """WITH r AS (SELECT user_id, event_type, epoch_us(ts) AS t, lead(event_type) OVER w AS n, lead(epoch_us(ts)) OVER w AS nt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT user_id, count(*) AS pairs, sum(nt - t)::BIGINT AS total_us FROM r WHERE event_type = 'view' AND n = 'click' GROUP BY user_id"""
@@ -628,13 +563,6 @@ def checkpoint_pending(spark, d):
     return state.pending_sessions(bounds, state.mark_completed(none, old, "classify"), "classify").select("session_id")
 
 
-@query(f"WITH {CALLS}, n AS (SELECT session_id AS unit_id, count(*) AS k FROM c WHERE tool_name = 'purchase' GROUP BY 1) SELECT unit_id, CAST(k AS INTEGER) AS attempts, least(power(2.0, least(k, 30)), 60.0) AS minutes FROM n WHERE k < 5")
-def retry_backoff(spark, d):
-    rows = calls(spark, d).where("tool_name = 'purchase'").groupBy(F.col("session_id").alias("unit_id")).agg(F.count(F.lit(1)).cast("int").alias("attempts"))
-    queue = rows.select(F.lit("classify").alias("pipeline"), "unit_id", F.lit(None).cast("string").alias("error"), "attempts", F.lit(NOW).cast("timestamp").alias("next_attempt_at"), F.lit(NOW).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("completed_at"))
-    return state.due(queue, "classify", F.lit(NOW).cast("timestamp")).select("unit_id", "attempts", state.wait_minutes(F.col("attempts")).alias("minutes"))
-
-
 @query("SELECT r_name, n_name, count(*) AS suppliers, round(sum(s_acctbal), 2) AS balance FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL")
 def inner_join_chain(spark, d):
     rows = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob as globs
 import os
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tarnwell import schemas
 
-PART = r"/([^/]+)/part-[^/]*\.jsonl$"
+#: Part files as sessions or Spark's writers leave them; a folder's name may be a partition's, like ``session=7``.
+PART = r"/(?:[^/=]+=)?([^/]+)/part-[^/]*\.(?:jsonl|json|txt)$"
 FLAT = r"([^/]+)\.jsonl$"
 SUBAGENT = r"/([0-9a-f-]{36})/subagents/agent-([a-f0-9]+)\.(?:jsonl|meta\.json)$"
 REMOTE = ("s3://", "s3a://", "gs://", "abfs://", "hdfs://", "viewfs://")
@@ -38,7 +40,7 @@ def expand(pattern: str | Iterable[str]) -> list[str]:
     """Files of a local pattern; other places are left to Spark to list."""
     patterns = [pattern] if isinstance(pattern, str) else list(pattern)
     out: list[str] = []
-    for p in map(check_glob, patterns):
+    for p in (re.sub(r"^file:/+", "/", check_glob(p)) for p in patterns):
         out += sorted(x for x in globs.glob(p, recursive=True) if os.path.isfile(x)) if local(p) else [p]
     return out
 
@@ -105,9 +107,9 @@ def modified(pattern: str | Iterable[str]) -> dict[str, int] | None:
     return out
 
 
-def session_mtimes(spark: SparkSession, pattern: str) -> DataFrame:
-    """Time of change of each session's newest file, as Spark lists it."""
-    df = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(expand(pattern))
+def session_mtimes(spark: SparkSession, pattern: str, names: str = "*.jsonl") -> DataFrame:
+    """Time of change of each session's newest file with such a name, as Spark lists it."""
+    df = spark.read.format("binaryFile").option("pathGlobFilter", names).load(expand(pattern))
     path = F.regexp_replace("path", r"^file:/+", "/")
     part = F.regexp_extract(path, PART, 1)
     sid = F.when(part != "", part).otherwise(F.regexp_extract(path, FLAT, 1))

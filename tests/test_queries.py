@@ -5,7 +5,7 @@ import decimal
 import duckdb
 import pytest
 
-from tarnwell.plans import queries
+from tarnwell.plans import queries, transcript_queries  # noqa: F401  the second registers its queries with the first
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

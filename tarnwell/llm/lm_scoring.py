@@ -42,17 +42,15 @@ IDS, END, START = 50_257, 50_256, 50_257
 #: Unigram models that the attention mixes, besides the one of all texts; kinds of words that they are found by.
 EXPERTS, BINS = 8, 1024
 #: Texts that expectation maximization begins with, and rounds of it over all training texts.
-SEEDS, EM_ROUNDS = 2000, 2
+SEEDS, EM_ROUNDS = 2000, 1
 #: Subwords that are told apart as what comes before, and classes of subwords that come after.
 INPUTS, CLASSES = 1024, 128
 #: Words that a window scores, words that it sees before them, words that training knows the experts' counts of.
-SCORED, CONTEXT, FREQUENT = 16, 32, 4096
+SCORED, CONTEXT, FREQUENT = 16, 32, 65_536
 #: Rounds of averaging, each over all training texts; bytes of text of a block.
-ROUNDS, BLOCK_BYTES = 1, 20 << 20
-#: Words whose subwords a process keeps.
-CACHED = 150_000
+ROUNDS, BLOCK_BYTES = 1, 8 << 20
 #: Bytes of text that are arrays at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: What each known word's count gives up for the subwords.
 DISCOUNT = 0.75
 #: Columns of counts: all texts, then each expert's.
@@ -78,10 +76,30 @@ def _tokenizer(path: str):
     return found[path]
 
 
-def flat_lists(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(all ids end to end, where each list begins and the last ends)."""
-    at = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int64)
-    return np.fromiter(chain.from_iterable(found), np.int64, int(at[-1])), at
+def pieces(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words end to end, where each one's begin and the last end).
+
+    All words are one text for the tokenizer, which starts a new id at each space;
+    words have none, so that an id that starts with one starts a word.
+    """
+    tokenizer, n = _tokenizer(path), len(words)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    ids = np.array(tokenizer.encode_ordinary(" " + " ".join(words)), np.int64)
+    at = np.flatnonzero(_starting(path)[ids])
+    if len(at) != n:  # not with this vocabulary: a word at a time
+        found = [tokenizer.encode_ordinary(" " + w) for w in words]
+        at = np.concatenate(([0], np.cumsum([len(x) for x in found])))[:-1]
+        ids = np.fromiter(chain.from_iterable(found), np.int64)
+    return ids, np.append(at, len(ids)).astype(np.int64)
+
+
+def _starting(path: str) -> np.ndarray:
+    """Whether each id's bytes start with a space."""
+    found = _kept("starting")
+    if path not in found:
+        found[path] = np.array([_tokenizer(path).decode_single_token_bytes(i)[:1] == b" " for i in range(END)] + [False])
+    return found[path]
 
 
 def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,21 +117,6 @@ def spelled(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[str
     return [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
 
 
-def known_pieces(unique: np.ndarray, first: np.ndarray, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, path: str, cache: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all distinct words, where each one's begin and the last end); those of words met before come from ``cache``, which holds CACHED at most."""
-    keys = unique.tolist()
-    found = [cache.get(k) for k in keys]
-    new = [i for i, x in enumerate(found) if x is None]
-    if new:
-        encode = _tokenizer(path).encode_ordinary
-        at = first[new]
-        for i, word in zip(new, spelled(data, starts[at], stops[at]), strict=True):
-            found[i] = encode(" " + word)
-        room = CACHED - len(cache)
-        cache.update((keys[i], found[i]) for i in new[: max(0, room)])
-    return flat_lists(found)
-
-
 def words_of(h: np.ndarray) -> np.ndarray:
     return (h % U(BINS)).astype(np.int64)
 
@@ -225,7 +228,7 @@ def _counted(experts: Experts):
 
 
 def _typed(path: str):
-    """kind 0: words by hash with their counts; 1: pairs of ids in distinct words, START before and END after each; 2: ids.
+    """kind 0: words by hash with their counts and ids (16 bits each); 1: pairs of ids in distinct words, START before and END after each; 2: ids.
 
     A distinct word counts as one, in parts for the experts whose texts have it; ids of kind 2 count as often as their words.
     """
@@ -236,8 +239,7 @@ def _typed(path: str):
                 continue
             h = np.concatenate([word_hashes(data, offsets)[0] for _, _, data, offsets in slices(batch.column(0))])
             times = np.stack([batch.column(1 + k).to_numpy() for k in range(EXPERTS + 1)], 1).astype(float)
-            encode = _tokenizer(path).encode_ordinary
-            ids, at = flat_lists([encode(" " + w) for w in batch.column(0).to_pylist()])
+            ids, at = pieces(batch.column(0).to_pylist(), path)
             owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
             before = np.empty(len(ids), np.int64)
             before[1:] = ids[:-1]
@@ -250,11 +252,52 @@ def _typed(path: str):
             often = [np.bincount(which, weights=times[owner, k], minlength=len(each)) for k in range(EXPERTS + 1)]
             kind = np.repeat(np.array([0, 1, 2], np.int8), [len(h), len(pair), len(each)])
             key = np.concatenate((h.view(np.int64), pair, each))
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), *(pa.array(np.concatenate((times[:, k], pairs[k], often[k]))) for k in range(EXPERTS + 1))], names=["kind", "key", *TIMES])
+            ends = np.concatenate((at * 2, np.full(len(kind) - len(h), 2 * at[-1]))).astype(np.int32)
+            spelling = pa.Array.from_buffers(pa.binary(), len(kind), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(ids.astype("<u2").tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), *(pa.array(np.concatenate((times[:, k], pairs[k], often[k]))) for k in range(EXPERTS + 1)), spelling], names=["kind", "key", *TIMES, "ids"])
 
     return run
 
 
+class Lexicon:
+    """Counts and ids of words by their hash."""
+
+    def __init__(self, table: pa.Table | None = None):
+        """``table``: key, TIMES and ids."""
+        if table is None or not table.num_rows:
+            self.keys, self.times, self.begin, self.size, self.ids = np.zeros(0, np.int64), np.zeros((0, EXPERTS + 1), np.float32), *[np.zeros(0, np.int64)] * 3
+            return
+        keys, spelled_as = table["key"].to_numpy(), table["ids"].combine_chunks()
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.times = np.stack([table[c].to_numpy()[order] for c in TIMES], 1).astype(np.float32 if table.num_rows > 1 << 24 else np.float64)
+        _, ends, data = spelled_as.buffers()
+        ends = np.frombuffer(ends, np.int32)[spelled_as.offset : spelled_as.offset + len(spelled_as) + 1].astype(np.int64) // 2
+        self.begin, self.size = ends[:-1][order], np.diff(ends)[order]
+        self.ids = np.frombuffer(data, "<u2")
+
+    def spell(self, unique: np.ndarray, text_of, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of the words end to end, where each one's begin and the last end, counts) of distinct hashes; ``text_of``: the words at some places."""
+        n = len(unique)
+        place, times = np.zeros(n, np.int64), np.zeros((n, EXPERTS + 1))
+        hit = np.zeros(n, bool)
+        if len(self.keys) and n:
+            place = np.minimum(np.searchsorted(self.keys, unique.view(np.int64)), len(self.keys) - 1)
+            hit = self.keys[place] == unique.view(np.int64)
+            place = place[hit]
+            times[hit] = self.times[place]
+        else:
+            place = place[:0]
+        other, at = pieces(text_of(np.flatnonzero(~hit)), path)
+        size = np.empty(n, np.int64)
+        size[hit], size[~hit] = self.size[place], np.diff(at)
+        out, known = np.empty(int(size.sum()), np.int64), np.repeat(hit, size)
+        to = np.cumsum(size[hit])
+        out[known] = self.ids[np.repeat(self.begin[place] - (to - size[hit]), size[hit]) + np.arange(to[-1] if len(to) else 0)]
+        out[~known] = other
+        return out, np.append(0, np.cumsum(size)), times
+
+
 class Model:
     """Tables from counts, and the weights of the attention."""
 
@@ -284,7 +327,7 @@ class Model:
         self.p = {"Q": small(EXPERTS, EXPERTS), "K": small(EXPERTS, EXPERTS), "V": np.eye(EXPERTS, dtype=np.float32), "R": np.zeros(SCORED + CONTEXT, np.float32)}
         self.p["W"] = np.concatenate((np.zeros((EXPERTS, 1)), 4 * np.eye(EXPERTS)), 1).astype(np.float32)
         self.p["B"] = np.log((tokens + 1) / (tokens + 1).sum()).astype(np.float32)
-        self.keys, self.known = np.zeros(0, np.int64), np.zeros((0, EXPERTS + 1))
+        self.lexicon = Lexicon()
 
     @staticmethod
     def maps(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -309,11 +352,11 @@ class Model:
             self.p[k] = np.asarray(values[at : at + n], np.float32).reshape(shape)
             at += n
 
-    def words(self, ids: np.ndarray, at: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(what each word says for each expert, natural logarithm of its probability under each), both with a row more: a
-        text's start, an end. ``times``: how often all texts and each expert's have the word."""
+    def words(self, ids: np.ndarray, at: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(what each word says for each expert, its probability under each over the greatest of them, that one's natural logarithm),
+        all with a row more: a text's start, an end. ``times``: how often all texts and each expert's have the word."""
         n = len(at) - 1
-        says, log = np.zeros((n + 1, EXPERTS), np.float32), np.empty((n + 1, EXPERTS + 1), np.float32)
+        says, part, top = np.zeros((n + 1, EXPERTS), np.float32), np.empty((n + 1, EXPERTS + 1), np.float32), np.empty(n + 1, np.float32)
         left = np.maximum(self.tokens, 1)
         more = np.where(self.tokens > 0, DISCOUNT * self.types / left, 1.0)
         if n:
@@ -321,86 +364,112 @@ class Model:
             before[1:] = ids[:-1]
             before[at[:-1]] = START
             sub = np.add.reduceat(self.follows[self.inputs[before], self.classes[ids]] + self.shares[ids], at[:-1])
-            sub += self.follows[self.inputs[ids[at[1:] - 1]], CLASSES - 1]
-            says[:n] = np.add.reduceat(self.says[ids], at[:-1]) / np.diff(at)[:, None]
-            log[:n] = np.logaddexp(np.log(np.maximum(times - DISCOUNT, 1e-30) / left), np.log(more) + sub)
-        log[n] = np.log((self.texts + 0.01) / (left + 0.01))
-        return says, log
-
-    def frequent(self, unique: np.ndarray) -> np.ndarray:
-        """The counts of those words that training knows; none of the others."""
-        out = np.zeros((len(unique), EXPERTS + 1))
-        if len(self.keys) and len(unique):
-            at = np.minimum(np.searchsorted(self.keys, unique.view(np.int64)), len(self.keys) - 1)
-            hit = self.keys[at] == unique.view(np.int64)
-            out[hit] = self.known[at[hit]]
-        return out
+            sub += self.follows[self.inputs[ids[at[1:] - 1]], CLASSES - 1] + np.log(more).astype(np.float32)
+            says[:n] = np.add.reduceat(self.says[ids], at[:-1]) / np.diff(at)[:, None].astype(np.float32)
+            top[:n] = sub.max(1)
+            part[:n] = np.exp(sub - top[:n, None])
+            hit = np.flatnonzero(times[:, 0])  # of the others no text has the word
+            both = np.maximum(times[hit] - DISCOUNT, 0) / left + part[hit] * np.exp(top[hit].astype(float))[:, None]
+            high = both.max(1)
+            part[hit], top[hit] = both / high[:, None], np.log(high)
+        ends = (self.texts + 0.01) / (left + 0.01)
+        part[n], top[n] = ends / ends.max(), math.log(ends.max())
+        return says, part, top
+
+    def read(self, data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, tuple[np.ndarray, ...], np.ndarray, np.ndarray, np.ndarray]:
+        """Of some texts: (tokens and rows as ``lay`` gives them), (``words`` of their distinct words), counts of these, which word each is, its row."""
+        h, rows, starts, stops = word_hashes(data, offsets, lower=True)
+        unique, which, first = distinct(h)
+        ids, at, times = self.lexicon.spell(unique, lambda some: spelled(data, starts[first[some]], stops[first[some]]), path)
+        return lay(which, rows, len(offsets) - 1), self.words(ids, at, times), times, which, rows
 
     def tables(self, says: np.ndarray) -> None:
-        """Queries, keys and values of distinct words, looked up instead of multiplied anew."""
+        """Queries, and keys, values and a 1, of distinct words, looked up instead of multiplied anew."""
+        p = self.p
+        self.q = says @ p["Q"] / np.float32(math.sqrt(EXPERTS))
+        self.kv = np.concatenate((says @ p["K"], says @ p["V"], np.ones((len(says), 1), np.float32)), 1)
+        self.distances(float((says * says).sum(1).max()))
+
+    def distances(self, longest: float) -> None:
+        """What each distance adds; ``bounded``: no weight over- or underflows, ``longest`` being the greatest square of what a word says."""
         p = self.p
-        self.q, self.k, self.v = says @ p["Q"] / np.float32(math.sqrt(EXPERTS)), says @ p["K"], says @ p["V"]
         back = np.arange(SCORED)[:, None] + CONTEXT - np.arange(SCORED + CONTEXT)[None, :]
         self.bias = np.where(back >= 0, p["R"][np.clip(back, 0, None)], np.float32(-1e9)).astype(np.float32)
+        self.bounded = longest * float(np.linalg.norm(p["Q"], 2) * np.linalg.norm(p["K"], 2)) / math.sqrt(EXPERTS) + float(np.abs(p["R"]).max()) < 60
 
-    def attend(self, q: np.ndarray, k: np.ndarray, v: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weights and results of the masked attention of each window's last SCORED places, which see their own text up to themselves."""
+    def weigh(self, q: np.ndarray, k: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """Unscaled weights of the masked attention of each window's last SCORED places, which see their own text up to themselves."""
         s = q @ k.transpose(0, 2, 1)
         s += self.bias
         mixed = np.flatnonzero(r[:, 0] != r[:, -1])
         if len(mixed):
             s[mixed] += np.where(r[mixed][:, CONTEXT:, None] == r[mixed][:, None, :], np.float32(0), np.float32(-1e9))
-        s -= s.max(2, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(2, keepdims=True)
-        return s, s @ v
-
-    def score(self, tokens: np.ndarray, rows: np.ndarray, says: np.ndarray, log: np.ndarray, batch: int = 512) -> np.ndarray:
-        """Natural logarithm of the probability of each token; ``tokens``: which word each is, -1 an end; ``says``, ``log``: of ``words``."""
+        if not self.bounded:
+            s -= s.max(2, keepdims=True)
+        return np.exp(s, out=s)
+
+    def gates(self, got: np.ndarray) -> np.ndarray:
+        """Unscaled shares of the experts."""
+        logits = got @ self.p["W"] + self.p["B"]
+        if np.abs(logits).max() > 60:
+            logits -= logits.max(1, keepdims=True)
+        return np.exp(logits, out=logits)
+
+    def score(self, tokens: np.ndarray, rows: np.ndarray, says: np.ndarray, part: np.ndarray, top: np.ndarray, batch: int = 128) -> np.ndarray:
+        """Natural logarithm of the probability of each token; ``tokens``: which word each is, -1 an end; the others of ``words``."""
         out = np.empty(len(tokens), np.float32)
         self.tables(says)
         x, r = windows(before(tokens), rows)
         for a in range(0, len(x), batch):
-            part = x[a : a + batch]
-            _, got = self.attend(self.q[part[:, CONTEXT:]], self.k[part], self.v[part], r[a : a + batch])
-            lo, hi = a * SCORED, min(len(tokens), (a + len(part)) * SCORED)
-            mixed = (got.reshape(-1, EXPERTS) @ self.p["W"] + self.p["B"])[: hi - lo]
-            out[lo:hi] = sum_exp(mixed + log[tokens[lo:hi]]) - sum_exp(mixed)
-        return out
-
-    def learn(self, tokens: np.ndarray, rows: np.ndarray, says: np.ndarray, log: np.ndarray, rate: float, batch: int = 128) -> None:
+            here = x[a : a + batch]
+            kv = self.kv[here]
+            got = self.weigh(self.q[here[:, CONTEXT:]], kv[:, :, :EXPERTS], r[a : a + batch]) @ kv[:, :, EXPERTS:]
+            lo, hi = a * SCORED, min(len(tokens), (a + len(here)) * SCORED)
+            got = got.reshape(-1, EXPERTS + 1)[: hi - lo]
+            gate = self.gates(got[:, :EXPERTS] / got[:, EXPERTS:])
+            out[lo:hi] = np.einsum("ij,ij->i", gate, part[tokens[lo:hi]]) / gate.sum(1)
+        return np.log(out) + top[tokens]
+
+    def learn(self, tokens: np.ndarray, rows: np.ndarray, says: np.ndarray, part: np.ndarray, rate: float, batch: int = 192) -> None:
         """One pass of Adam over the windows of some texts."""
         x, r = windows(before(tokens), rows)
         goal = np.concatenate((tokens, np.full(len(x) * SCORED - len(tokens), -2))).reshape(-1, SCORED)
         m, v2 = {k: np.zeros_like(a) for k, a in self.p.items()}, {k: np.zeros_like(a) for k, a in self.p.items()}
         back = (np.arange(SCORED)[:, None] + CONTEXT - np.arange(SCORED + CONTEXT)[None, :]).clip(0).ravel()
         order = np.random.default_rng(11).permutation(len(x))
-        root = np.float32(math.sqrt(EXPERTS))
+        root, longest = np.float32(math.sqrt(EXPERTS)), float((says * says).sum(1).max())
         for step, a in enumerate(range(0, len(x), batch), 1):
             at = order[a : a + batch]
-            p, part = self.p, x[at]
-            self.tables(np.zeros((1, EXPERTS), np.float32))  # the distances
-            e = says[part]
-            near = e[:, CONTEXT:]
-            q, k, v = near @ p["Q"] / root, e @ p["K"], e @ p["V"]
-            s, got = self.attend(q, k, v, r[at])
+            p, here = self.p, x[at]
+            e = says[here]
+            near, wide = e[:, CONTEXT:], e.reshape(-1, EXPERTS)
+            self.distances(longest)
+            kv = np.ones((len(wide), 2 * EXPERTS + 1), np.float32)
+            kv[:, : 2 * EXPERTS] = wide @ np.concatenate((p["K"], p["V"]), 1)
+            kv = kv.reshape(*here.shape, -1)
+            q, k, v = near @ (p["Q"] / root), kv[:, :, :EXPERTS], kv[:, :, EXPERTS : 2 * EXPERTS]
+            s = self.weigh(q, k, r[at])
+            got = s @ kv[:, :, EXPERTS:]
+            total = got[:, :, EXPERTS:]
+            s /= total
+            got = got[:, :, :EXPERTS] / total
             target = goal[at].reshape(-1)
             live = target != -2
             flat = got.reshape(-1, EXPERTS)
-            logits = flat @ p["W"] + p["B"]
-            gate = np.exp(logits - sum_exp(logits)[:, None])
-            after = logits + log[np.where(live, target, -1)]
-            d = gate - np.exp(after - sum_exp(after)[:, None])
+            gate = self.gates(flat)
+            after = gate * part[np.where(live, target, -1)]
+            gate /= gate.sum(1, keepdims=True)
+            after /= after.sum(1, keepdims=True)
+            d = gate - after
             d *= (live / np.float32(max(live.sum(), 1)))[:, None]
             g = {"W": flat.T @ d, "B": d.sum(0)}
             dg = (d @ p["W"].T).reshape(got.shape)
             dv = s.transpose(0, 2, 1) @ dg
             ds = dg @ v.transpose(0, 2, 1)
-            ds -= (ds * s).sum(2, keepdims=True)
+            ds -= (dg * got).sum(2, keepdims=True)
             ds *= s
             g["R"] = np.bincount(back, weights=ds.sum(0).ravel(), minlength=SCORED + CONTEXT).astype(np.float32)
             dq, dk = ds @ k / root, ds.transpose(0, 2, 1) @ q
-            wide = e.reshape(-1, EXPERTS)
             g["Q"], g["K"], g["V"] = near.reshape(-1, EXPERTS).T @ dq.reshape(-1, EXPERTS), wide.T @ dk.reshape(-1, EXPERTS), wide.T @ dv.reshape(-1, EXPERTS)
             for name, grad in g.items():
                 m[name] = 0.9 * m[name] + 0.1 * grad
@@ -408,12 +477,6 @@ class Model:
                 p[name] = p[name] - np.float32(rate) * (m[name] / (1 - 0.9**step)) / (np.sqrt(v2[name] / (1 - 0.98**step)) + np.float32(1e-6))
 
 
-def sum_exp(x: np.ndarray) -> np.ndarray:
-    """Logarithm of each row's sum of exponentials."""
-    high = x.max(1)
-    return high + np.log(np.exp(x - high[:, None]).sum(1))
-
-
 def before(tokens: np.ndarray) -> np.ndarray:
     """The token before each; before a text's first stands the end of another, -1, which is its start."""
     return np.concatenate((np.full(1, -1, tokens.dtype), tokens[:-1]))
@@ -438,14 +501,11 @@ def lay(which: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, n
 
 def _trained(path: str, model: Model, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, cache = 0, _kept(path)
+        seen = 0
         for batch in batches:
-            for a, b, data, offsets in slices(batch.column(0), SLICE):
-                h, rows, starts, stops = word_hashes(data, offsets, lower=True)
-                unique, which, first = distinct(h)
-                says, log = model.words(*known_pieces(unique, first, data, starts, stops, path, cache), model.frequent(unique))
-                tokens, row = lay(which, rows, b - a)
-                model.learn(tokens, row, says, log, rate)
+            for _, _, data, offsets in slices(batch.column(0), SLICE):
+                (tokens, row), (says, part, _), *_ = model.read(data, offsets, path)
+                model.learn(tokens, row, says, part, rate)
                 seen += len(tokens)
         if seen:
             flat = model.flat().astype(np.float64)
@@ -479,9 +539,7 @@ def fit(docs: DataFrame, counts: DataFrame, texts: np.ndarray, *, tokenizer: str
     total = words.agg(*sums, *[F.sum((F.col(c) > 0).cast("long")).alias(f"types_{c}") for c in TIMES]).first()
     tokens, types = (np.array([total[prefix + c] or 0 for c in TIMES], float) for prefix in ("", "types_"))
     model = Model(ids, table, by_id(counts.where("kind = 2").select(F.col("key").alias("v"), *TIMES)), tokens + texts, types + (texts > 0), texts)
-    top = words.orderBy(F.desc("n0"), "key").limit(FREQUENT).toArrow()
-    order = np.argsort(top["key"].to_numpy())
-    model.keys, model.known = top["key"].to_numpy()[order], held(top)[order]
+    model.lexicon = Lexicon(words.orderBy(F.desc("n0"), "key").limit(FREQUENT).select("key", *TIMES, "ids").toArrow())
     texts_read = docs.select("text")  # as the input is split: all texts, and no shuffle of them
     for k in range(ROUNDS):
         got = texts_read.mapInArrow(_trained(tokenizer, model, rate / (k + 1)), "at long, value double, weight double").groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow()
@@ -489,7 +547,7 @@ def fit(docs: DataFrame, counts: DataFrame, texts: np.ndarray, *, tokenizer: str
             flat = model.flat()
             flat[got["at"].to_numpy()] = got["value"].to_numpy()
             model.unflat(flat)
-    model.keys, model.known = model.keys[:0], model.known[:0]  # scoring is given all words
+    model.lexicon = Lexicon()  # scoring is given all words
     return model
 
 
@@ -505,18 +563,12 @@ def _scored(path: str, model: Model):
     n_all, n_distinct, n_texts = int(model.tokens[0]), int(model.types[0]), int(model.texts[0])
 
     def run(left, right):
-        order = np.argsort(right["key"].to_numpy())
-        model.keys = right["key"].to_numpy()[order]
-        model.known = np.stack([right[c].to_numpy() for c in TIMES], 1).astype(float)[order] if len(order) else np.zeros((0, EXPERTS + 1))
-        out, cache = [], _kept(path)
+        model.lexicon = Lexicon(right)
+        out = []
         least = math.log10(n_all + n_distinct + 1)  # n_distinct has the end, and so has n_all
         for a, b, data, offsets in slices(left["text"].combine_chunks(), SLICE):
-            h, rows, starts, stops = word_hashes(data, offsets, lower=True)
-            unique, which, first = distinct(h)
-            times = model.frequent(unique)
-            says, log = model.words(*known_pieces(unique, first, data, starts, stops, path, cache), times)
-            tokens, row = lay(which, rows, b - a)
-            score = np.bincount(row, weights=model.score(tokens, row, says, log).astype(float), minlength=b - a) / math.log(10)
+            (tokens, row), tables, times, which, rows = model.read(data, offsets, path)
+            score = np.bincount(row, weights=model.score(tokens, row, *tables).astype(float), minlength=b - a) / math.log(10)
             n = np.bincount(rows, minlength=b - a) + 1
             c = times[:, 0]
             base = np.bincount(rows, weights=np.log10(c + 1.0)[which], minlength=b - a) + math.log10(n_texts + 1) - n * least
@@ -534,9 +586,9 @@ def train(docs: DataFrame, *, tokenizer: str = TOKENIZER) -> tuple[Model, DataFr
     words = docs.select("text").mapInArrow(_counted(experts), "word string, " + ", ".join(f"{c} long" for c in TIMES)).groupBy("word").agg(*[F.sum(c).alias(c) for c in TIMES])
     words = checkpointed(words)
     ends = words.where("word is null").first()
-    counts = checkpointed(words.where("word is not null").mapInArrow(_typed(tokenizer), "kind byte, key long, " + ", ".join(f"{c} double" for c in TIMES)))
+    counts = checkpointed(words.where("word is not null").mapInArrow(_typed(tokenizer), "kind byte, key long, " + ", ".join(f"{c} double" for c in TIMES) + ", ids binary"))
     model = fit(docs, counts, np.array([ends[c] if ends else 0 for c in TIMES], float), tokenizer=tokenizer)
-    return model, counts.where("kind = 0").select("key", *TIMES)
+    return model, counts.where("kind = 0").select("key", *TIMES, "ids")
 
 
 def score(docs: DataFrame, *, held: int = 2, folds: int = 7, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -549,7 +601,7 @@ def score(docs: DataFrame, *, held: int = 2, folds: int = 7, tokenizer: str = TO
     # Both uses take all columns, so that the texts are shuffled once.
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int")).repartition("block")
     asked = dealt.groupBy("block").applyInArrow(_asked, "block int, key long")
-    given = asked.join(words, "key").select("block", "key", *TIMES)
+    given = asked.join(words, "key").select("block", "key", "n0", *[F.col(c).cast("float").alias(c) for c in TIMES[1:]], "ids")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_scored(tokenizer, model), schema)
 

@@ -26,31 +26,25 @@ def texts():
 def trained(spark, texts):
     docs = spark.createDataFrame(texts[:200], "doc_id long, text string").repartition(2).cache()
     model, words = lm.train(docs)
-    table = words.toArrow()
-    order = np.argsort(table["key"].to_numpy())
-    model.keys = table["key"].to_numpy()[order]
-    model.known = np.stack([table[c].to_numpy() for c in lm.TIMES], 1).astype(float)[order]
+    model.lexicon = lm.Lexicon(words.toArrow())
     return model
 
 
 def laid(model, texts):
     import pyarrow as pa
 
-    for a, b, data, offsets in lm.slices(pa.array(texts), 1 << 24):
-        h, rows, starts, stops = lm.word_hashes(data, offsets, lower=True)
-        unique, which, first = lm.distinct(h)
-        says, log = model.words(*lm.known_pieces(unique, first, data, starts, stops, lm.TOKENIZER, {}), model.frequent(unique))
-        return *lm.lay(which, rows, b - a), says, log
+    (_, _, data, offsets), = lm.slices(pa.array(texts), 1 << 24)
+    laid, tables, *_ = model.read(data, offsets, lm.TOKENIZER)
+    return *laid, *tables
 
 
 def per_token(model, texts):
-    tokens, rows, says, log = laid(model, texts)
-    return float(model.score(tokens, rows, says, log).mean()) / math.log(10)
+    return float(model.score(*laid(model, texts)).mean()) / math.log(10)
 
 
 def test_scores_against_a_loop(trained, texts):
-    tokens, rows, says, log = laid(trained, [t for _, t in texts[200:206]] + ["", "one"])
-    got = trained.score(tokens, rows, says, log)
+    tokens, rows, says, part, top = laid(trained, [t for _, t in texts[200:206]] + ["", "one"])
+    got = trained.score(tokens, rows, says, part, top)
     p = {k: v.astype(float) for k, v in trained.p.items()}
     seen = [-1, *tokens[:-1]]  # what stands before each token; -1 is a text's start
     for t in range(len(tokens)):
@@ -60,7 +54,7 @@ def test_scores_against_a_loop(trained, texts):
         weight = np.exp([q @ (says[seen[j]] @ p["K"]) + p["R"][t - j] for j in places])
         got_values = sum(w * (says[seen[j]] @ p["V"]) for w, j in zip(weight / weight.sum(), places, strict=True))
         mix = np.exp(got_values @ p["W"] + p["B"])
-        want = math.log((mix / mix.sum()) @ np.exp(log[tokens[t]].astype(float)))
+        want = math.log((mix / mix.sum()) @ (part[tokens[t]] * math.exp(top[tokens[t]])))
         assert got[t] == pytest.approx(want, abs=2e-4)
 
 
@@ -69,13 +63,12 @@ def test_later_words_change_nothing_before_them(trained, texts):
     other = [*words[:50], *("zzz" for _ in words[50:])]
     scores = []
     for w in (words, other):
-        tokens, rows, says, log = laid(trained, [" ".join(w)])
-        scores.append(trained.score(tokens, rows, says, log))
+        scores.append(trained.score(*laid(trained, [" ".join(w)])))
     assert scores[0][:50] == pytest.approx(scores[1][:50], abs=1e-4)
 
 
 def test_probabilities_add_up(trained):
-    known = np.maximum(trained.known - lm.DISCOUNT, 0).sum(0) + np.maximum(trained.texts - lm.DISCOUNT, 0)
+    known = np.maximum(trained.lexicon.times - lm.DISCOUNT, 0).sum(0) + np.maximum(trained.texts - lm.DISCOUNT, 0)
     assert known / trained.tokens + lm.DISCOUNT * trained.types / trained.tokens == pytest.approx(np.ones(lm.EXPERTS + 1), abs=1e-6)
     for u in (lm.START, 0, 500, 40_000):
         total = np.exp(trained.follows[trained.inputs[u], trained.classes] + trained.shares).sum(0)
@@ -92,13 +85,13 @@ def test_without_attention_held_out_texts_score_worse(trained, texts):
 
 
 def test_training_raises_the_score(trained, texts):
-    tokens, rows, says, log = laid(trained, [t for _, t in texts[:100]])
+    tokens, rows, says, part, top = laid(trained, [t for _, t in texts[:100]])
     kept = trained.flat()
     trained.p["W"], trained.p["V"] = np.zeros_like(trained.p["W"]), np.eye(lm.EXPERTS, dtype=np.float32)
-    was = trained.score(tokens, rows, says, log).mean()
+    was = trained.score(tokens, rows, says, part, top).mean()
     for _ in range(4):
-        trained.learn(tokens, rows, says, log, 0.05, batch=8)
-    now = trained.score(tokens, rows, says, log).mean()
+        trained.learn(tokens, rows, says, part, 0.05, batch=8)
+    now = trained.score(tokens, rows, says, part, top).mean()
     trained.unflat(kept)
     assert now > was + 0.2
 
@@ -109,7 +102,7 @@ def test_each_training_text_reaches_the_head(spark):
     docs = spark.createDataFrame(few, "doc_id long, text string").coalesce(1).cache()
     columns = ", ".join(f"{c} {{}}" for c in lm.TIMES)
     experts = lm.find_experts(docs)
-    counts = docs.select("text").mapInArrow(lm._counted(experts), "word string, " + columns.replace("{}", "long")).where("word is not null").mapInArrow(lm._typed(lm.TOKENIZER), "kind byte, key long, " + columns.replace("{}", "double")).cache()
+    counts = docs.select("text").mapInArrow(lm._counted(experts), "word string, " + columns.replace("{}", "long")).where("word is not null").mapInArrow(lm._typed(lm.TOKENIZER), "kind byte, key long, " + columns.replace("{}", "double") + ", ids binary").cache()
     ends = np.full(lm.EXPERTS + 1, 4.0)
     whole = lm.fit(docs, counts, ends).flat()
     for i, _ in few:
@@ -128,3 +121,10 @@ def test_experts_tell_kinds_of_text_apart(spark, texts):
         for (i, _), k in zip(long[a:b], experts.of(h, rows, b - a).argmax(1), strict=True):
             found.setdefault(int(k), []).append(i % 4)
     assert sum(max(map(x.count, set(x))) for x in found.values()) > 0.95 * len(long)
+
+
+def test_pieces_of_many_words_are_those_of_each():
+    words = ["the", "Anané,", "\u00a0abc", "abc\u00a0", "x\u2003y", "don't", "漢字", "12ab", "'s", "\u3000", "a\u0085b", "!?", "\ufffd", "é" * 50]
+    ids, at = lm.pieces(words, lm.TOKENIZER)
+    one = [lm._tokenizer(lm.TOKENIZER).encode_ordinary(" " + w) for w in words]
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == one

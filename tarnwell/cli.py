@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import csv
 import json
 import sys
 from typing import Any, TextIO
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tarnwell.plans import catalog
 
@@ -16,19 +18,33 @@ STAGES = ("skills", "ingest", "embed", "cluster", "terms", "community", "classif
 FORMATS = ("auto", "table", "json", "ndjson", "csv")
 
 
-def emit(df: DataFrame, form: str = "auto", out: TextIO | None = None, rows: int = 10_000) -> None:
-    """Rows to a stream: a table for people, else JSON lines."""
+def emit(df: DataFrame, form: str = "auto", out: TextIO | None = None) -> None:
+    """All rows to a stream, a partition at a time: a table for people, else JSON lines."""
     out = out or sys.stdout
     if form == "auto":
         form = "table" if out.isatty() else "ndjson"
-    found = df.limit(rows).toPandas()
-    if form == "table":
-        out.write(found.to_string(index=False) + "\n")
-    elif form == "csv":
-        found.to_csv(out, index=False)
-    else:
-        plain = json.loads(found.to_json(orient="records", date_format="iso"))
-        out.write(json.dumps(plain, ensure_ascii=False) + "\n" if form == "json" else "".join(json.dumps(r, ensure_ascii=False) + "\n" for r in plain))
+    if form in ("json", "ndjson"):
+        lines = (r[0] for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator())
+        if form == "ndjson":
+            out.writelines(f"{line}\n" for line in lines)
+            return
+        some = False
+        for line in lines:
+            out.write(("[" if not some else ", ") + line)
+            some = True
+        out.write("]\n" if some else "[]\n")
+        return
+    rows = df.select(*[F.coalesce((F.to_json(c) if kind.startswith(("array", "struct", "map")) else F.col(f"`{c}`").cast("string")), F.lit("")).alias(f"c{i}") for i, (c, kind) in enumerate(df.dtypes)])
+    if form == "csv":
+        sheet = csv.writer(out, lineterminator="\n")
+        sheet.writerow(df.columns)
+        sheet.writerows(map(tuple, rows.toLocalIterator()))
+        return
+    widest = rows.agg(*[F.max(F.length(c)).alias(c) for c in rows.columns]).first()
+    widths = [max(len(name), w or 0) for name, w in zip(df.columns, widest, strict=True)]
+    line = lambda cells: "  ".join(str(x).rjust(w) for x, w in zip(cells, widths, strict=True)) + "\n"
+    out.write(line(df.columns))
+    out.writelines(map(line, rows.toLocalIterator()))
 
 
 def parser() -> argparse.ArgumentParser:
@@ -56,6 +72,7 @@ def parser() -> argparse.ArgumentParser:
     command("analyze", "--apply", "--days", "--limit", "--skip", apply={"action": "store_true"}, days=whole, limit=whole, skip={"default": ""})
     for stage in STAGES:
         command(stage, "--apply", "--days", "--limit", apply={"action": "store_true"}, days=whole, limit=whole)
+    command("skills-ls", "--kind", "--plugin")
     command("shell")
     command("watch", "--flushes", flushes=whole)
     return top
@@ -64,7 +81,7 @@ def parser() -> argparse.ArgumentParser:
 def run(args: argparse.Namespace) -> int:
     from pathlib import Path
 
-    from tarnwell.operators import transcript, vectors
+    from tarnwell.operators import transcript
     from tarnwell.session import session
     from tarnwell.sources import store
 
@@ -93,13 +110,12 @@ def run(args: argparse.Namespace) -> int:
             raise KeyError(args.session)
         put(found)
     elif args.command == "search":
-        table = store.read(spark, Path(args.tables) / "message_embeddings", name="message_embeddings")
-        known = store.identity(table)
-        if known is None:
+        found = corpus.search(args.text, args.k, args.session)
+        if found is None:
             return catalog.NO_EMBEDDINGS
-        embedder = vectors.HashingEmbedder(known[1])
-        store.guard(known, embedder.model, embedder.dim)
-        emit(vectors.search(table, corpus.views["messages_text"], embedder.query(args.text), args.k, args.session), args.format)
+        emit(found, args.format)
+    elif args.command == "skills-ls":
+        emit(corpus.skills(args.kind, args.plugin), args.format)
     elif args.command == "compact":
         put(store.compact(spark, Path(args.tables) / args.table, dry_run=not args.apply))
     elif args.command in STAGES:

@@ -115,33 +115,58 @@ def communities_by_component(edges: DataFrame, nodes: DataFrame, gamma: float, s
     return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
 
 
-def resolution_profile(nodes: list, edges: list[tuple], low: float = 0.05, high: float = 0.95, steps: int = 19, seed: int = 42) -> list[dict]:
-    """Number of communities and quality by resolution, equal partitions merged; how long each lasts, in 10^-4."""
-    grid = [low + (high - low) * i / (steps - 1) for i in range(steps)]
+def resolution_profile(edges: DataFrame, nodes: DataFrame, low: float = 0.05, high: float = 0.95, steps: int = 19, halvings: int = 4, seed: int = 42) -> list[dict]:
+    """Number of communities and quality by resolution, equal partitions merged; how long each lasts, in 10^-4.
+
+    Every resolution is a partition of every connected component on its own, so
+    that a task holds one component's edges at one resolution; only two numbers
+    a resolution reach the driver. Where the number changes between two
+    resolutions, the interval is halved ``halvings`` times to find where.
+    """
+    parts = connected(edges, nodes)
+    held = checkpointed(edges.join(parts.withColumnRenamed("id", "src"), "src").select("component", "src", "dst", "weight"))
+    alone = nodes.count() - held.select("src").union(held.select("dst")).distinct().count()
+
+    def run(key, pdf):
+        import pandas as pd
+
+        names = sorted({*pdf["src"], *pdf["dst"]})
+        labels, quality = cpm(names, list(zip(pdf["src"], pdf["dst"], pdf["weight"], strict=True)), float(key[0]), seed)
+        return pd.DataFrame({"gamma": [float(key[0])], "n": [len(set(labels.values()))], "quality": [float(quality)]})
+
+    def at(gammas: list[float]) -> dict[float, tuple[int, float]]:
+        if not gammas:
+            return {}
+        rows = held.withColumn("gamma", F.explode(F.lit([float(g) for g in gammas])))
+        found = rows.groupBy("gamma", "component").applyInPandas(run, "gamma double, n long, quality double").groupBy("gamma").agg(F.sum("n").alias("n"), F.sum("quality").alias("quality")).collect()
+        told = {r["gamma"]: (int(r["n"]) + alone, float(r["quality"])) for r in found}
+        return {float(g): told.get(float(g), (alone, 0.0)) for g in gammas}
+
+    known = at([round(low + (high - low) * i / (steps - 1), 4) for i in range(steps)])
+    for _ in range(halvings):
+        grid = sorted(known)
+        known |= at([round((a + b) / 2, 4) for a, b in zip(grid[:-1], grid[1:], strict=True) if known[a][0] != known[b][0]])
     runs: list[dict] = []
-    for g in grid:
-        labels, quality = cpm(nodes, edges, g, seed)
-        n = len(set(labels.values()))
+    for g in sorted(known):
+        n, quality = known[g]
         if not runs or runs[-1]["n_communities"] != n:
             runs.append({"gamma": g, "n_communities": n, "quality": quality})
     ends = [r["gamma"] for r in runs[1:]] + [high]
     return [r | {"plateau_length": round((e - r["gamma"]) * 1e4)} for r, e in zip(runs, ends, strict=True)]
 
 
+#: What each zoom puts first in an order of the profile: (what a resolution is worth, whether single communities count).
+ZOOMS = {"medium": (lambda r: r["plateau_length"], True), "fine": (lambda r: r["n_communities"], True), "coarse": (lambda r: -r["n_communities"], False)}
+
+
 def pick_zoom(profile: list[dict], zoom: str = "medium") -> float:
-    """medium: the longest plateau (smallest resolution first); coarse: the fewest communities of two or more; fine: the most."""
-    if not profile:
-        raise ValueError("an empty profile")
-    if zoom == "medium":
-        return max(profile, key=lambda r: (r["plateau_length"], -r["gamma"]))["gamma"]
-    if zoom == "fine":
-        return max(profile, key=lambda r: (r["n_communities"], -r["gamma"]))["gamma"]
-    if zoom != "coarse":
-        raise ValueError(zoom)
-    real = [r for r in profile if r["n_communities"] >= 2]
-    if real:
-        return min(real, key=lambda r: (r["n_communities"], r["gamma"]))["gamma"]
-    return sorted(profile, key=lambda r: r["gamma"])[len(profile) // 2]["gamma"]
+    """The resolution of the longest plateau (medium), of the most communities (fine), or of the fewest that are two or more
+    (coarse; the middle one if there is none); ties to the smallest resolution."""
+    if not profile or zoom not in ZOOMS:
+        raise ValueError("an empty profile" if not profile else zoom)
+    worth, single = ZOOMS[zoom]
+    table = sorted((-worth(r), r["gamma"]) for r in profile if single or r["n_communities"] > 1)
+    return table[0][1] if table else sorted(r["gamma"] for r in profile)[len(profile) // 2]
 
 
 def disconnected(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -168,10 +193,19 @@ def medoids(vectors: DataFrame, members: DataFrame, key: str = "session_id", vec
     return scored.groupBy("community").agg(F.min_by("id", F.struct(-F.col("others"), F.col("id"))).alias("medoid"), F.avg("others").alias("coherence"), F.max("n").alias("size"))
 
 
+def numbered(rows: DataFrame, *order, name: str = "nr") -> DataFrame:
+    """``rows`` with their place from 0 in an order of all, without one task that has to hold them: places within sorted parts, plus what is before each part."""
+    held = checkpointed(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    sizes = held.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))  # a row for each part
+    return held.join(F.broadcast(before), "_part").withColumn(name, within + F.col("_before")).drop("_part", "_before")
+
+
 def relabel(members: DataFrame, min_size: int = 2) -> DataFrame:
     """id, community_id (0 for the largest, ties to the smallest member; -1 below ``min_size``) and size (0 below)."""
     sizes = members.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    real = sizes.where(F.col("n") >= min_size).withColumn("community_id", F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1)
+    real = numbered(sizes.where(F.col("n") >= min_size), F.desc("n"), F.asc("first"), name="community_id")
     out = members.join(real.select("community", "n", "community_id"), "community", "left")
     return out.select("id", F.coalesce("community_id", F.lit(-1)).cast("int").alias("community_id"), F.coalesce("n", F.lit(0)).cast("int").alias("size"))
 
@@ -182,8 +216,7 @@ def session_communities(centroids: DataFrame, *, gamma: float | None = None, zoo
     edges = checkpointed(mutual_knn(centroids, "session_id", "centroid", k, floor))
     profile: list[dict] = []
     if gamma is None:
-        found = [tuple(r) for r in edges.orderBy("src", "dst").collect()]  # k edges a session at most; give gamma for more sessions than a driver holds
-        profile = resolution_profile(sorted(r["id"] for r in nodes.collect()), found, seed=seed)
+        profile = resolution_profile(edges, nodes, seed=seed)
         gamma = pick_zoom(profile, zoom)
     members = checkpointed(communities_by_component(edges, nodes, gamma, seed))
     labelled = relabel(members, min_size)

@@ -7,6 +7,7 @@ partition a caller, so that ``callers`` bounds how many ask at once.
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -81,6 +82,89 @@ Model = Callable[[str], dict]
 ASKED = "session_id string, answer string, error string, refused boolean"
 
 
+#: Tries of one question, and seconds of the first and the longest wait between two.
+TRIES, FIRST_WAIT, LONGEST_WAIT = 10, 2.0, 60.0
+
+
+class Unavailable(Exception):
+    """A provider can't be used here; what needs it is left out, and the rest goes on."""
+
+
+def patient(model: Model, tries: int = TRIES, first: float = FIRST_WAIT, longest: float = LONGEST_WAIT, sleep: Callable[[float], None] = time.sleep, final: tuple[type[Exception], ...] = (Refused, Unavailable)) -> Model:
+    """``model`` asked again after doubling waits, up to ``tries`` times; what is in ``final`` is raised at once."""
+
+    def run(text: str) -> dict:
+        wait = first
+        for left in reversed(range(tries)):
+            try:
+                return model(text)
+            except final:
+                raise
+            except Exception:  # noqa: BLE001  any other failure may pass
+                if not left:
+                    raise
+                sleep(wait)
+                wait = min(2 * wait, longest)
+        raise ValueError("no tries")
+
+    return run
+
+
+#: Makers of models by name; a maker imports what it needs when it is called.
+PROVIDERS: dict[str, Callable[..., Model]] = {}
+
+
+def provider(name: str):
+    """Registers a maker of models."""
+
+    def add(make: Callable[..., Model]) -> Callable[..., Model]:
+        PROVIDERS[name] = make
+        return make
+
+    return add
+
+
+@provider("echo")
+def _echo(answer: dict | None = None) -> Model:
+    """A model that gives one answer to everything; stands in where there is none."""
+    return lambda text: dict(answer or {})
+
+
+@provider("replies")
+def _replies(call: Callable[[str], dict] | None = None, **options: Any) -> Model:
+    """A model from a call that returns whole replies: the object in each, asked for patiently."""
+    if call is None:
+        raise Unavailable("this provider needs a call")
+    return patient(lambda text: answer_of(call(text)), **options)
+
+
+def model_of(name: str, **options: Any) -> Model:
+    """The model of a provider by its name."""
+    if name not in PROVIDERS:
+        raise ValueError(f"unknown provider {name}; there are {', '.join(sorted(PROVIDERS))}")
+    return PROVIDERS[name](**options)
+
+
+def model_or_none(name: str, **options: Any) -> Model | None:
+    """The same, or None where the provider can't be used here, so that a run goes on without it."""
+    try:
+        return model_of(name, **options)
+    except (Unavailable, ImportError):
+        return None
+
+
+#: Tokens in and out of one question of each pipeline, the share of candidates that reach the model, and dollars for a million tokens. Fixed values.
+QUESTIONS = {"classify": (8000, 300, 1.0), "conflicts": (6000, 400, 1.0), "friction": (200, 60, 0.5)}
+PRICE = (3.0, 15.0)
+
+
+def estimate(pipeline: str, candidates: int, price: tuple[float, float] = PRICE) -> dict:
+    """What a run over so many candidates would ask and cost."""
+    into, out, share = QUESTIONS[pipeline]
+    calls = int(candidates * share)
+    return {"pending": candidates, "calls": calls, "tokens_in": into, "tokens_out": out, "usd": round(calls * (into * price[0] + out * price[1]) / 1e6, 4)}
+
+
 def ask(texts: DataFrame, model: Model, callers: int = 8) -> DataFrame:
     """session_id and the answer to each transcript, or its error; a refusal is one that is final."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Callable
@@ -32,12 +33,38 @@ def simhash64(text: str | None) -> int:
     return int.from_bytes(np.packbits(set_bits).tobytes(), "big", signed=True)
 
 
+def simhashes(texts: list[str | None]) -> np.ndarray:
+    """``simhash64`` of each text: every distinct 3-gram of the batch is hashed once, and bits are summed for all texts together."""
+    seen: dict[str, int] = {}
+    rows, grams = [], []
+    for i, text in enumerate(texts):
+        words = WORD.findall((text or "").lower())
+        if words:
+            own = {" ".join(g) for g in zip(words, words[1:], words[2:], strict=False)} if len(words) > 2 else {" ".join(words)}
+            grams.extend([seen.setdefault(g, len(seen)) for g in own])
+            rows.extend([i] * len(own))
+    out = np.zeros(len(texts), np.int64)
+    if not rows:
+        return out
+    hashed = hashlib.blake2b
+    raw = np.frombuffer(b"".join([hashed(g.encode(), digest_size=8).digest() for g in seen]), np.uint8).reshape(-1, 8)
+    row, gram = np.array(rows), np.array(grams)
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    count = np.diff(np.append(first, len(row)))
+    bits = np.empty((len(first), 64), bool)
+    for k in range(8):  # eight bits at a time, so that a batch takes little room
+        bits[:, 8 * k : 8 * k + 8] = 2 * np.add.reduceat(np.unpackbits(raw[gram, k : k + 1], axis=1).astype(np.int32), first) > count[:, None]
+    out[row[first]] = np.packbits(bits, axis=1).view(">i8").ravel()
+    return out
+
+
 def simhash(column: str | Column) -> Column:
     """``simhash64`` of a column, a batch at a time."""
 
     @F.pandas_udf("long")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(simhash64)
+        told = texts.tolist()
+        return pd.Series(np.concatenate([simhashes(told[a : a + 256]) for a in range(0, len(told), 256)]) if told else np.zeros(0, np.int64))
 
     return run(column)
 
@@ -51,6 +78,22 @@ def count_pieces(text: str) -> int:
     return len(PIECE.findall(text))
 
 
+def tokenizer_counter(path: str, pattern: str = r"\s?\w+|\s?[^\w\s]+|\s+") -> Callable[[str], int]:
+    """A counter of the tokens of a vocabulary: a file of ranks that each executor has at ``path``, read once a process."""
+
+    def count(text: str) -> int:
+        import tiktoken
+
+        kept = vars(tiktoken).setdefault("_kept_counters", {})
+        if path not in kept:
+            with open(path, "rb") as file:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+            kept[path] = tiktoken.Encoding("counter", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return len(kept[path].encode_ordinary(text))
+
+    return count
+
+
 def approx_tokens(column: str | Column, counter: Callable[[str], int] = count_pieces) -> Column:
     @F.pandas_udf("int")
     def run(texts: pd.Series) -> pd.Series:

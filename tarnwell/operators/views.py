@@ -211,10 +211,11 @@ def subagent_messages(subagents: DataFrame) -> DataFrame:
     )
 
 
-def thread_walk(messages: DataFrame, root: str | None = None, max_depth: int = 4096) -> DataFrame:
+def thread_walk(messages: DataFrame, root: str | None = None) -> DataFrame:
     """uuid, root_uuid and depth of each message, by pointer doubling: as many joins as the depth's logarithm.
 
     ``root``: only this message's descendants. A parent that is missing makes a root.
+    Messages that are their own ancestors, and those below them, have no root and are left out.
     """
     from tarnwell.plans.checkpoints import checkpointed
 
@@ -224,8 +225,8 @@ def thread_walk(messages: DataFrame, root: str | None = None, max_depth: int = 4
     if root is not None:
         up = up.withColumn("up", F.when(F.col("uuid") != root, F.col("up")))
     state = checkpointed(up.select("uuid", F.coalesce("up", "uuid").alias("top"), F.when(F.col("up").isNotNull(), 1).otherwise(0).alias("depth"), F.col("up").isNull().alias("done")))
-    step = 1
-    while step < max_depth and state.where("not done").limit(1).count():
+    most, step = state.count(), 1  # no walk to a root is longer than there are messages
+    while step < 2 * most and state.where("not done").limit(1).count():
         to = state.select(F.col("uuid").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"), F.col("done").alias("over"))
         state = checkpointed(state.join(to, "top").select("uuid", F.col("next").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("done") | F.col("over")).alias("done")))
         step *= 2

@@ -85,7 +85,7 @@ def run_analyze(corpus: Corpus, *, embedder: vectors.Embedder | None = None, fri
         todo = waiting(pipeline)
         model = (session_models or {}).get(pipeline)
         if dry_run or model is None:
-            return {"pending": todo.count()}
+            return models.estimate(pipeline, todo.count())
         events = transcript.timeline(text, corpus.views["tool_calls"], corpus.views["tool_results"]).join(todo, "session_id", "left_semi")
         asked = checkpointed(models.ask(transcript.assemble(events, uuids=pipeline == "conflicts"), model))
         answered = todo.join(asked.where("answer is not null or refused").select("session_id"), "session_id", "left_semi")
@@ -106,7 +106,7 @@ def run_analyze(corpus: Corpus, *, embedder: vectors.Embedder | None = None, fri
         done = read("user_friction").select("uuid")
         todo = short.join(done, "uuid", "left_anti")
         if dry_run:
-            return {"pending": friction.candidates(todo, days).count()}
+            return models.estimate("friction", friction.candidates(todo, days).count())
         # Rules look at whole conversations; only new messages are written.
         found = friction.friction(short, corpus.views["messages"], friction_model, days).join(done, "uuid", "left_anti")
         store.append(found.select(*[c.split()[0] for c in schemas.TABLES["user_friction"].split(", ")]), at("user_friction"))

@@ -10,9 +10,10 @@ from pathlib import Path
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarnwell import schemas
-from tarnwell.operators import analytics, macros, stamps, views
+from tarnwell.operators import analytics, macros, stamps, vectors, views
 from tarnwell.sources import store, transcripts
 
 #: Exit codes. Fixed values.
@@ -133,6 +134,25 @@ class Corpus:
     def explain(self, text: str, mode: str = "formatted") -> str:
         return self.spark._jvm.PythonSQLUtils.explainString(self.sql(text)._jdf.queryExecution(), mode)
 
+    def search(self, text: str, k: int = 10, session_id: str | None = None, embedder: vectors.Embedder | None = None) -> DataFrame | None:
+        """The k messages nearest to a text; None where there are no vectors. Without ``embedder`` the hashing one of their size."""
+        table = store.read(self.spark, Path(self.tables) / "message_embeddings", name="message_embeddings")
+        known = store.identity(table)
+        if known is None:
+            return None
+        embedder = embedder or vectors.HashingEmbedder(known[1])
+        store.guard(known, embedder.model, embedder.dim)
+        return vectors.search(table, self.views["messages_text"], embedder.query(text), k, session_id)
+
+    def skills(self, kind: str | None = None, plugin: str | None = None) -> DataFrame:
+        """The skills catalog, of one kind or plugin if given."""
+        if not self.ready("skills_catalog"):
+            raise FileNotFoundError("there is no skills catalog; run the skills stage first")
+        rows = store.read(self.spark, Path(self.tables) / "skills_catalog")
+        for column, value in (("source_kind", kind), ("plugin", plugin)):
+            rows = rows if value is None else rows.where(F.col(column) == value)
+        return rows.orderBy("skill_id", "source_kind")
+
     def canonical(self, mode: str = "earliest") -> DataFrame:
         return stamps.canonical(self.table("ingest_stamps"), mode)
 

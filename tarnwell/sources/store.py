@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import shutil
@@ -21,10 +22,20 @@ EMPTY = 16
 def parts(target: str | Path) -> list[Path]:
     """The parquet files of a table that hold something."""
     p = Path(target)
+    recover(p)
     found = [p] if p.is_file() else sorted(x for x in p.rglob("*.parquet") if not any(y.startswith((".", "_")) for y in x.relative_to(p).parts)) if p.is_dir() else []
     return [x for x in found if x.stat().st_size > EMPTY]
 
 
+def recover(target: Path) -> None:
+    """Puts back the table that a writer had moved away when it ended between its two renames."""
+    if not target.exists() and target.parent.is_dir():
+        old = sorted(target.parent.glob(f".{target.name}-old-*"), key=lambda x: x.stat().st_mtime_ns)
+        if old:
+            with contextlib.suppress(FileNotFoundError):  # the writer was only about to put the new one there
+                os.rename(old[-1], target)
+
+
 def ready(target: str | Path) -> bool:
     return bool(parts(target))
 

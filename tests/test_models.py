@@ -40,7 +40,7 @@ def test_session_models(spark, tmp_path):
 
     skip = tuple(s for s in analyze.STAGES if s not in ("classify", "conflicts", "trajectory"))
     run = lambda: analyze.run_analyze(corpus, days=None, dry_run=False, skip=skip, session_models={"classify": classify, "conflicts": conflicts}, trajectory_model=arcs)
-    assert analyze.run_analyze(corpus, days=None, skip=skip)["classify"] == {"pending": 3}
+    assert analyze.run_analyze(corpus, days=None, skip=skip)["classify"] == {"pending": 3, "calls": 3, "tokens_in": 8000, "tokens_out": 300, "usd": 0.0855}
     done = run()
     assert done["classify"] == {"sessions": 2, "rows": 1} and done["conflicts"] == {"sessions": 3, "rows": 1}
     row = corpus.analytics["session_classifications"].first()

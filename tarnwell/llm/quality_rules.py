@@ -214,8 +214,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = 20_000, base: bo
     """
     chosen = pick(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "quality").limit(max_train)
     # No filter or sort follows: a filter on the statistics would be pushed below the join, and a sort would run them twice.
-    rows = with_statistics(pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id"))
-    got = sorted(r for r in rows.select("doc_id", "quality", *FEATURES, base_failed().alias("base_failed")).collect() if not (base and r["base_failed"]))
+    # Of rows that share an id one is learned from, the least, so that no more rows are collected than labels are chosen.
+    stats = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", statistics(F.col("text")).alias("s"))
+    told = stats.groupBy("doc_id", "quality").agg(F.min("s").alias("s")).select("doc_id", "quality", *[F.col(f"s.{k}").alias(k) for k in FEATURES], base_failed(at=lambda k: F.col(f"s.{k}")).alias("base_failed"))
+    got = sorted(r for r in told.collect() if not (base and r["base_failed"]))
     x = {k: np.array([r[k] for r in got], float) for k in FEATURES}
     y = np.array([r["quality"] == 0 for r in got], bool)
     held = np.random.default_rng(0).random(len(got)) < 1 / 3

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwell.operators.graph import connected, numbered
+from tarnwell.plans.checkpoints import checkpointed
 
 def reduce_dimensions(vectors: DataFrame, key: str = "uuid", vector: str = "embedding", dims: int = 50) -> DataFrame:
     """``key`` and the first principal components of the unit vectors, computed by Spark."""
@@ -37,14 +39,13 @@ def spanning_tree(points: np.ndarray, core: np.ndarray) -> list[tuple[float, int
     return sorted(out)
 
 
-def hdbscan(points: np.ndarray, min_size: int = 20, min_samples: int = 5) -> np.ndarray:
-    """Labels from 0 by size of the smallest member; -1 is noise."""
-    n = len(points)
+def labels_of_tree(n: int, edges: list[tuple[float, int, int]], min_size: int) -> np.ndarray:
+    """Labels of places 0 to n - 1 from the edges (weight, place, place) of their least spanning tree, by weight: stable clusters
+    by their smallest member, -1 is noise. Time and memory grow with n alone."""
     if n < max(2, min_size):
         return np.full(n, -1)
-    core = np.array([np.partition(np.sqrt(((points - p) ** 2).sum(1)), min(min_samples, n - 1))[min(min_samples, n - 1)] for p in points])
     # The single-linkage tree: node n + k joins two at the k-th edge.
-    parent = list(range(2 * n - 1))
+    parent, low = list(range(2 * n - 1)), [*range(n), *[0] * (n - 1)]
     size, left, right, height = [1] * n + [0] * (n - 1), {}, {}, {}
 
     def find(x: int) -> int:
@@ -53,10 +54,10 @@ def hdbscan(points: np.ndarray, min_size: int = 20, min_samples: int = 5) -> np.
             x = parent[x]
         return x
 
-    for k, (d, a, b) in enumerate(spanning_tree(points, core)):
+    for k, (d, a, b) in enumerate(edges):
         a, b, new = find(a), find(b), n + k
         parent[a] = parent[b] = new
-        left[new], right[new], height[new], size[new] = a, b, d, size[a] + size[b]
+        left[new], right[new], height[new], size[new], low[new] = a, b, d, size[a] + size[b], min(low[a], low[b])
 
     def leaves(node: int) -> list[int]:
         stack, out = [node], []
@@ -70,73 +71,152 @@ def hdbscan(points: np.ndarray, min_size: int = 20, min_samples: int = 5) -> np.
 
     # Condensed: a cluster lives until it splits into two of min_size or more.
     clusters: list[dict] = []
-
-    def grow(node: int, birth: float, above: int | None) -> None:
-        todo = [(node, birth, above)]
-        while todo:
-            node, birth, above = todo.pop()
-            me = len(clusters)
-            clusters.append({"above": above, "stability": 0.0, "members": leaves(node), "below": []})
-            if above is not None:
-                clusters[above]["below"].append(me)
-            while node >= n:
-                density = 1 / max(height[node], 1e-12)
-                a, b = left[node], right[node]
-                big = [x for x in (a, b) if size[x] >= min_size]
-                if len(big) == 2:
-                    clusters[me]["stability"] += (density - birth) * size[node]
-                    todo += [(a, density, me), (b, density, me)]
-                    break
-                lost = size[node] - (size[big[0]] if big else 0)
-                clusters[me]["stability"] += (density - birth) * lost
-                if not big:
-                    break
-                node = big[0]
-
-    grow(2 * n - 2, 0.0, None)
-    chosen: set[int] = set()
-    value = {}
+    todo = [(2 * n - 2, 0.0, None)]
+    while todo:
+        node, birth, above = todo.pop()
+        me = len(clusters)
+        clusters.append({"node": node, "stability": 0.0, "below": []})
+        if above is not None:
+            clusters[above]["below"].append(me)
+        while node >= n:
+            density = 1 / max(height[node], 1e-12)
+            a, b = left[node], right[node]
+            big = [x for x in (a, b) if size[x] >= min_size]
+            if len(big) == 2:
+                clusters[me]["stability"] += (density - birth) * size[node]
+                todo += [(a, density, me), (b, density, me)]
+                break
+            lost = size[node] - (size[big[0]] if big else 0)
+            clusters[me]["stability"] += (density - birth) * lost
+            if not big:
+                break
+            node = big[0]
+    value, better = {}, {}
     for k in reversed(range(len(clusters))):
         below = sum(value[x] for x in clusters[k]["below"])
         own = clusters[k]["stability"] if k else -1.0  # all points are no cluster
-        if clusters[k]["below"] and below >= own:
-            value[k] = below
+        better[k] = bool(clusters[k]["below"]) and below >= own
+        value[k] = below if better[k] else max(own, 0.0)
+    chosen, todo = [], [0]
+    while todo:
+        k = todo.pop()
+        if better[k] or not k:
+            todo += clusters[k]["below"]
         else:
-            value[k] = max(own, 0.0)
-            stack = list(clusters[k]["below"])
-            while stack:
-                x = stack.pop()
-                chosen.discard(x)
-                stack += clusters[x]["below"]
-            if k:
-                chosen.add(k)
+            chosen.append(clusters[k]["node"])
     labels = np.full(n, -1)
-    for label, k in enumerate(sorted(chosen, key=lambda c: min(clusters[c]["members"]))):
-        labels[clusters[k]["members"]] = label
+    for label, node in enumerate(sorted(chosen, key=low.__getitem__)):
+        labels[leaves(node)] = label
     return labels
 
 
-def message_clusters(embeddings: DataFrame, *, dims: int = 50, min_size: int = 20, min_samples: int = 5, plane: bool = False, most: int = 50_000) -> DataFrame:
-    """uuid, cluster_id, x, y and is_noise. Labels are learned in one task from ``most`` vectors at most, chosen by hash;
-    the others take the label of their nearest learned one if it is as near as its cluster is dense, else they are noise."""
-    points = reduce_dimensions(embeddings, dims=dims).withColumn("nr", F.xxhash64("uuid"))
-    learned = points.orderBy("nr", "uuid").limit(most).select("uuid", "point", F.lit(0).alias("g"))
-
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("uuid", kind="stable")
-        x = np.stack([np.asarray(p) for p in pdf["point"]])
-        return pd.DataFrame({"uuid": pdf["uuid"], "cluster_id": hdbscan(x, min_size, min_samples).astype("int32"), "point": pdf["point"]})
-
-    known = learned.groupBy("g").applyInPandas(learn, "uuid string, cluster_id int, point array<double>")
-    rest = points.join(learned.select("uuid"), "uuid", "left_anti")
-    centres = known.where("cluster_id >= 0").groupBy("cluster_id")
-    from tarnwell.functions import l2
-    from tarnwell.operators.vectors import mean_vector
-
-    means = centres.agg(mean_vector("point").alias("mean"))
-    radius = known.join(means, "cluster_id").groupBy("cluster_id").agg(F.max(l2(F.col("point"), F.col("mean"))).alias("radius"), F.first("mean").alias("mean"))
-    near = rest.join(F.broadcast(radius), l2(F.col("point"), F.col("mean")) <= F.col("radius"), "left")  # a row a cluster, of ``most / min_size`` at most
-    placed = near.groupBy("uuid").agg(F.min_by("cluster_id", F.struct(l2(F.col("point"), F.col("mean")), "cluster_id")).alias("cluster_id"), F.first("point").alias("point"))
-    both = known.select("uuid", "cluster_id", "point").unionByName(placed.select("uuid", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"), "point"))
+def hdbscan(points: np.ndarray, min_size: int = 20, min_samples: int = 5) -> np.ndarray:
+    """Labels from 0 by size of the smallest member; -1 is noise."""
+    n = len(points)
+    if n < max(2, min_size):
+        return np.full(n, -1)
+    core = np.array([np.partition(np.sqrt(((points - p) ** 2).sum(1)), min(min_samples, n - 1))[min(min_samples, n - 1)] for p in points])
+    return labels_of_tree(n, spanning_tree(points, core), min_size)
+
+
+def _beside(points: DataFrame, blocks: int, run, schema: str) -> DataFrame:
+    """``run`` of each pair of blocks of ``points`` (nr, ...), each an executor's: no rows are made for pairs of points."""
+    held = points.withColumn("i", F.pmod(F.xxhash64("nr"), F.lit(blocks)).cast("int"))
+    all_blocks = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = held.withColumn("j", all_blocks)
+    right = held.withColumnRenamed("i", "j").withColumn("i", all_blocks)
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, schema)
+
+
+def _distances(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+    x, y = (np.stack([np.asarray(p, float) for p in t["point"]]) for t in (a, b))
+    return np.sqrt(np.maximum(np.stack([((y - p) ** 2).sum(1) for p in x]), 0))
+
+
+def reachability_tree(points: DataFrame, min_samples: int = 5, block: int = 1024) -> DataFrame:
+    """weight, low and high of the least spanning tree of ``points`` (nr, point) under mutual reachability: exact, on executors.
+
+    Every round each component takes its least edge to another one (Boruvka),
+    found by blocks of points beside blocks of points; equal edges are told apart
+    by their ends, so that no circle closes. The work of a round is that of all
+    pairs; what is kept is one edge a component, of which there are half as many
+    each round at most.
+    """
+    n = points.count()
+    if n < 2:
+        return points.sparkSession.createDataFrame([], "weight double, low long, high long")
+    blocks, near = max(1, -(-n // block)), min(min_samples, n - 1)
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"nr": [], "d": []})
+        d = _distances(a, b)
+        d[a["nr"].to_numpy()[:, None] == b["nr"].to_numpy()[None, :]] = np.inf
+        k = min(near, d.shape[1])
+        best = np.partition(d, k - 1, axis=1)[:, :k]
+        out = pd.DataFrame({"nr": np.repeat(a["nr"].to_numpy(), k), "d": best.ravel()})
+        return out[np.isfinite(out["d"])]
+
+    told = _beside(points.select("nr", "point"), blocks, nearest, "nr long, d double")
+    core = told.groupBy("nr").agg(F.get(F.sort_array(F.collect_list("d")), F.lit(near - 1)).alias("core"))  # a few values a block
+    state = checkpointed(points.select("nr", "point").join(core, "nr").withColumn("component", F.col("nr")))
+
+    def least(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"component": [], "weight": [], "low": [], "high": []})
+        if not len(a) or not len(b):
+            return none
+        mine, other = a["component"].to_numpy(), b["component"].to_numpy()
+        if mine.min() == mine.max() == other.min() == other.max():
+            return none
+        weight = np.maximum(np.maximum(_distances(a, b), a["core"].to_numpy()[:, None]), b["core"].to_numpy()[None, :])
+        weight[mine[:, None] == other[None, :]] = np.inf
+        u, v = a["nr"].to_numpy()[:, None], b["nr"].to_numpy()[None, :]
+        low, high = np.minimum(u, v), np.maximum(u, v)
+        least_of = weight.min(1)
+        tied = weight == least_of[:, None]
+        low_of = np.where(tied, low, np.iinfo(np.int64).max).min(1)
+        high_of = np.where(tied & (low == low_of[:, None]), high, np.iinfo(np.int64).max).min(1)
+        rows = pd.DataFrame({"component": mine, "weight": least_of, "low": low_of, "high": high_of})
+        return rows[np.isfinite(least_of)].sort_values(["component", "weight", "low", "high"]).drop_duplicates("component")
+
+    tree = None
+    while True:
+        found = _beside(state, blocks, least, "component long, weight double, low long, high long")
+        best = found.groupBy("component").agg(F.min(F.struct("weight", "low", "high")).alias("e")).select("e.weight", "e.low", "e.high").distinct()
+        best = checkpointed(best)
+        if not best.limit(1).count():
+            return tree if tree is not None else best
+        tree = checkpointed(best if tree is None else tree.unionByName(best))
+        of = state.select("nr", "component")
+        joined = best.join(of.select(F.col("nr").alias("low"), F.col("component").alias("src")), "low").join(of.select(F.col("nr").alias("high"), F.col("component").alias("dst")), "high")
+        merged = connected(joined.select("src", "dst"), of.select(F.col("component").alias("id")).distinct()).select(F.col("id").alias("component"), F.col("component").alias("to"))
+        state = checkpointed(state.join(merged, "component").select("nr", "point", "core", F.col("to").alias("component")))
+
+
+def message_clusters(embeddings: DataFrame, *, dims: int = 50, min_size: int = 20, min_samples: int = 5, plane: bool = False, in_one_task: int = 20_000) -> DataFrame:
+    """uuid, cluster_id, x, y and is_noise, of all vectors.
+
+    Up to ``in_one_task`` vectors the spanning tree is found in one task, beyond
+    by ``reachability_tree``; it is the same tree but for equal edges. Labels are read off its edges,
+    three numbers a vector, in one task.
+    """
+    points = checkpointed(numbered(reduce_dimensions(embeddings, dims=dims), F.asc("uuid")))
+    n = points.count()
+    if n <= in_one_task:
+
+        def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("nr", kind="stable")
+            x = np.stack([np.asarray(p) for p in pdf["point"]])
+            return pd.DataFrame({"nr": pdf["nr"], "cluster_id": hdbscan(x, min_size, min_samples).astype("int32")})
+
+        labels = points.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(learn, "nr long, cluster_id int")
+    else:
+
+        def read(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["weight", "low", "high"])
+            found = labels_of_tree(n, list(zip(pdf["weight"].tolist(), pdf["low"].tolist(), pdf["high"].tolist(), strict=True)), min_size)
+            return pd.DataFrame({"nr": np.arange(n), "cluster_id": found.astype("int32")})
+
+        labels = reachability_tree(points, min_samples).withColumn("g", F.lit(0)).groupBy("g").applyInPandas(read, "nr long, cluster_id int")
     at = lambda k: (F.get("point", F.lit(k)) if plane else F.lit(None)).cast("float")
-    return both.select("uuid", "cluster_id", at(0).alias("x"), at(1).alias("y"), (F.col("cluster_id") == -1).alias("is_noise"))
+    return points.join(labels, "nr").select("uuid", "cluster_id", at(0).alias("x"), at(1).alias("y"), (F.col("cluster_id") == -1).alias("is_noise"))

@@ -135,8 +135,20 @@ def test_message_clusters(spark):
     df = spark.createDataFrame(rows, "uuid string, embedding array<double>")
     got = {r["uuid"]: r["cluster_id"] for r in clusters.message_clusters(df, dims=3, min_size=10).collect()}
     assert len(got) == 80 and len({got[f"u{k:03d}"] for k in range(0, 80, 2)} - {-1}) == 1
-    some = clusters.message_clusters(df, dims=3, min_size=10, most=50, plane=True)
-    assert some.count() == 80 and some.where("x is not null").count() == 80
+    many = clusters.message_clusters(df, dims=3, min_size=10, in_one_task=10, plane=True).cache()
+    assert {r["uuid"]: r["cluster_id"] for r in many.collect()} == got and many.where("x is not null").count() == 80
+
+
+def test_spanning_tree_on_executors(spark):
+    draw = np.random.default_rng(9)
+    x = np.round(draw.normal(0, 1, (70, 2)), 1)
+    x[60:] = x[:10]  # equal points and equal distances
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    core = np.sort(d, axis=1)[:, 3]
+    want = sorted(w for w, _, _ in clusters.spanning_tree(x, core))
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)], "nr long, point array<double>")
+    got = clusters.reachability_tree(df, 3, block=20).collect()
+    assert sorted(r["weight"] for r in got) == pytest.approx(want) and len({n for r in got for n in (r["low"], r["high"])}) == 70
 
 
 def text_rows(spark, rows):

@@ -48,7 +48,7 @@ INPUTS, CLASSES = 1024, 128
 #: Words that a window scores, words that it sees before them, words that training knows the experts' counts of.
 SCORED, CONTEXT, FREQUENT = 16, 32, 65_536
 #: Rounds of averaging, each over all training texts; bytes of text of a block.
-ROUNDS, BLOCK_BYTES = 1, 8 << 20
+ROUNDS, BLOCK_BYTES = 1, 16 << 20
 #: Bytes of text that are arrays at once.
 SLICE = 1 << 20
 #: What each known word's count gives up for the subwords.
@@ -228,7 +228,7 @@ def _counted(experts: Experts):
 
 
 def _typed(path: str):
-    """kind 0: words by hash with their counts and ids (16 bits each); 1: pairs of ids in distinct words, START before and END after each; 2: ids.
+    """kind 0: words by hash with their counts, which ``told`` has as well, with their ids; 1: pairs of ids in distinct words, START before and END after each; 2: ids.
 
     A distinct word counts as one, in parts for the experts whose texts have it; ids of kind 2 count as often as their words.
     """
@@ -252,29 +252,57 @@ def _typed(path: str):
             often = [np.bincount(which, weights=times[owner, k], minlength=len(each)) for k in range(EXPERTS + 1)]
             kind = np.repeat(np.array([0, 1, 2], np.int8), [len(h), len(pair), len(each)])
             key = np.concatenate((h.view(np.int64), pair, each))
-            ends = np.concatenate((at * 2, np.full(len(kind) - len(h), 2 * at[-1]))).astype(np.int32)
-            spelling = pa.Array.from_buffers(pa.binary(), len(kind), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(ids.astype("<u2").tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), *(pa.array(np.concatenate((times[:, k], pairs[k], often[k]))) for k in range(EXPERTS + 1)), spelling], names=["kind", "key", *TIMES, "ids"])
+            data, ends = packed(times[:, 1:], ids, at)
+            ends = np.concatenate((ends, np.full(len(kind) - len(h), ends[-1]))).astype(np.int32)
+            told = pa.Array.from_buffers(pa.binary(), len(kind), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), *(pa.array(np.concatenate((times[:, k], pairs[k], often[k]))) for k in range(EXPERTS + 1)), told], names=["kind", "key", *TIMES, "told"])
 
     return run
 
 
+def _spread(first: np.ndarray, size: np.ndarray, wide: int) -> np.ndarray:
+    """Places of ``size`` values of ``wide`` bytes each from ``first`` on, value by value."""
+    to = np.cumsum(size)
+    at = np.repeat(first, size) + wide * (np.arange(to[-1] if len(to) else 0) - np.repeat(to - size, size))
+    return at[:, None] + np.arange(wide)
+
+
+def packed(times: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, where each word's begin and the last end): of each word a byte that says which experts have it, their counts
+    (8 bytes each), and its ids (2 bytes each). ``times``: a column an expert."""
+    has = times > 0
+    n, size = has.sum(1), np.diff(at)
+    ends = np.append(0, np.cumsum(1 + 8 * n + 2 * size))
+    out = np.zeros(int(ends[-1]), np.uint8)
+    out[ends[:-1]] = np.packbits(has, axis=1, bitorder="little")[:, 0] if len(has) else 0
+    out[_spread(ends[:-1] + 1, n, 8)] = times[has].astype("<u8").view(np.uint8).reshape(-1, 8)
+    out[_spread(ends[:-1] + 1 + 8 * n, size, 2)] = ids.astype("<u2").view(np.uint8).reshape(-1, 2)
+    return out, ends
+
+
 class Lexicon:
     """Counts and ids of words by their hash."""
 
     def __init__(self, table: pa.Table | None = None):
-        """``table``: key, TIMES and ids."""
+        """``table``: key and told."""
+        self.keys, self.times, self.begin, self.size, self.ids = np.zeros(0, np.int64), np.zeros((0, EXPERTS + 1)), *[np.zeros(0, np.int64)] * 3
         if table is None or not table.num_rows:
-            self.keys, self.times, self.begin, self.size, self.ids = np.zeros(0, np.int64), np.zeros((0, EXPERTS + 1), np.float32), *[np.zeros(0, np.int64)] * 3
             return
-        keys, spelled_as = table["key"].to_numpy(), table["ids"].combine_chunks()
+        told = table["told"].combine_chunks()
+        told = told.chunk(0) if isinstance(told, pa.ChunkedArray) else told
+        _, ends, data = told.buffers()
+        ends = np.frombuffer(ends, np.int32)[told.offset : told.offset + len(told) + 1].astype(np.int64)
+        data = np.frombuffer(data, np.uint8)
+        has = np.unpackbits(data[ends[:-1]][:, None], axis=1, count=EXPERTS, bitorder="little").astype(bool)
+        n = has.sum(1)
+        times = np.zeros((len(told), EXPERTS + 1))
+        times[:, 1:][has] = data[_spread(ends[:-1] + 1, n, 8)].view("<u8")[:, 0]
+        times[:, 0] = times.sum(1)
+        keys = table["key"].to_numpy()
         order = np.argsort(keys)
-        self.keys = keys[order]
-        self.times = np.stack([table[c].to_numpy()[order] for c in TIMES], 1).astype(np.float32 if table.num_rows > 1 << 24 else np.float64)
-        _, ends, data = spelled_as.buffers()
-        ends = np.frombuffer(ends, np.int32)[spelled_as.offset : spelled_as.offset + len(spelled_as) + 1].astype(np.int64) // 2
-        self.begin, self.size = ends[:-1][order], np.diff(ends)[order]
-        self.ids = np.frombuffer(data, "<u2")
+        size = (np.diff(ends) - 1 - 8 * n) // 2
+        self.ids = data[_spread(ends[:-1] + 1 + 8 * n, size, 2)].view("<u2")[:, 0]
+        self.keys, self.times, self.begin, self.size = keys[order], times[order], (np.cumsum(size) - size)[order], size[order]
 
     def spell(self, unique: np.ndarray, text_of, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of the words end to end, where each one's begin and the last end, counts) of distinct hashes; ``text_of``: the words at some places."""
@@ -539,7 +567,7 @@ def fit(docs: DataFrame, counts: DataFrame, texts: np.ndarray, *, tokenizer: str
     total = words.agg(*sums, *[F.sum((F.col(c) > 0).cast("long")).alias(f"types_{c}") for c in TIMES]).first()
     tokens, types = (np.array([total[prefix + c] or 0 for c in TIMES], float) for prefix in ("", "types_"))
     model = Model(ids, table, by_id(counts.where("kind = 2").select(F.col("key").alias("v"), *TIMES)), tokens + texts, types + (texts > 0), texts)
-    model.lexicon = Lexicon(words.orderBy(F.desc("n0"), "key").limit(FREQUENT).select("key", *TIMES, "ids").toArrow())
+    model.lexicon = Lexicon(words.orderBy(F.desc("n0"), "key").limit(FREQUENT).select("key", "told").toArrow())
     texts_read = docs.select("text")  # as the input is split: all texts, and no shuffle of them
     for k in range(ROUNDS):
         got = texts_read.mapInArrow(_trained(tokenizer, model, rate / (k + 1)), "at long, value double, weight double").groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow()
@@ -581,14 +609,14 @@ def _scored(path: str, model: Model):
 
 
 def train(docs: DataFrame, *, tokenizer: str = TOKENIZER) -> tuple[Model, DataFrame]:
-    """The model of training texts ``docs`` (doc_id, text), and the counts of their words by hash."""
+    """The model of training texts ``docs`` (doc_id, text), and what is told of their words by hash: counts and ids."""
     experts = find_experts(docs)
     words = docs.select("text").mapInArrow(_counted(experts), "word string, " + ", ".join(f"{c} long" for c in TIMES)).groupBy("word").agg(*[F.sum(c).alias(c) for c in TIMES])
     words = checkpointed(words)
     ends = words.where("word is null").first()
-    counts = checkpointed(words.where("word is not null").mapInArrow(_typed(tokenizer), "kind byte, key long, " + ", ".join(f"{c} double" for c in TIMES) + ", ids binary"))
+    counts = checkpointed(words.where("word is not null").mapInArrow(_typed(tokenizer), "kind byte, key long, " + ", ".join(f"{c} double" for c in TIMES) + ", told binary"))
     model = fit(docs, counts, np.array([ends[c] if ends else 0 for c in TIMES], float), tokenizer=tokenizer)
-    return model, counts.where("kind = 0").select("key", *TIMES, "ids")
+    return model, counts.where("kind = 0").select("key", "told")
 
 
 def score(docs: DataFrame, *, held: int = 2, folds: int = 7, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -601,7 +629,7 @@ def score(docs: DataFrame, *, held: int = 2, folds: int = 7, tokenizer: str = TO
     # Both uses take all columns, so that the texts are shuffled once.
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int")).repartition("block")
     asked = dealt.groupBy("block").applyInArrow(_asked, "block int, key long")
-    given = asked.join(words, "key").select("block", "key", "n0", *[F.col(c).cast("float").alias(c) for c in TIMES[1:]], "ids")
+    given = asked.join(words, "key").select("block", "key", "told")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_scored(tokenizer, model), schema)
 

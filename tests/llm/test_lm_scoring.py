@@ -102,7 +102,7 @@ def test_each_training_text_reaches_the_head(spark):
     docs = spark.createDataFrame(few, "doc_id long, text string").coalesce(1).cache()
     columns = ", ".join(f"{c} {{}}" for c in lm.TIMES)
     experts = lm.find_experts(docs)
-    counts = docs.select("text").mapInArrow(lm._counted(experts), "word string, " + columns.replace("{}", "long")).where("word is not null").mapInArrow(lm._typed(lm.TOKENIZER), "kind byte, key long, " + columns.replace("{}", "double") + ", ids binary").cache()
+    counts = docs.select("text").mapInArrow(lm._counted(experts), "word string, " + columns.replace("{}", "long")).where("word is not null").mapInArrow(lm._typed(lm.TOKENIZER), "kind byte, key long, " + columns.replace("{}", "double") + ", told binary").cache()
     ends = np.full(lm.EXPERTS + 1, 4.0)
     whole = lm.fit(docs, counts, ends).flat()
     for i, _ in few:
@@ -128,3 +128,20 @@ def test_pieces_of_many_words_are_those_of_each():
     ids, at = lm.pieces(words, lm.TOKENIZER)
     one = [lm._tokenizer(lm.TOKENIZER).encode_ordinary(" " + w) for w in words]
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == one
+
+
+def test_packed_words_come_back():
+    import pyarrow as pa
+
+    draw = np.random.default_rng(6)
+    times = draw.integers(0, 3, (50, lm.EXPERTS)) * draw.integers(0, 1 << 40, (50, lm.EXPERTS))
+    size = draw.integers(0, 6, 50)
+    at = np.append(0, np.cumsum(size))
+    ids = draw.integers(0, lm.IDS, at[-1])
+    data, ends = lm.packed(times, ids, at)
+    told = pa.array([data[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+    keys = draw.permutation(50) - 25
+    words = lm.Lexicon(pa.table({"key": pa.array(keys), "told": told}))
+    for k, key in enumerate(keys):
+        i = int(np.searchsorted(words.keys, key))
+        assert words.times[i].tolist() == [times[k].sum(), *times[k]] and words.ids[words.begin[i] : words.begin[i] + words.size[i]].tolist() == ids[at[k] : at[k + 1]].tolist()

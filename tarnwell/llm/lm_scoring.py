@@ -353,7 +353,8 @@ class Model:
         self.says[:IDS] = one
         small = lambda *shape: (np.random.default_rng(7).standard_normal(shape) * 0.1).astype(np.float32)
         self.p = {"Q": small(EXPERTS, EXPERTS), "K": small(EXPERTS, EXPERTS), "V": np.eye(EXPERTS, dtype=np.float32), "R": np.zeros(SCORED + CONTEXT, np.float32)}
-        self.p["W"] = np.concatenate((np.zeros((EXPERTS, 1)), 4 * np.eye(EXPERTS)), 1).astype(np.float32)
+        # At first, what half of the words in sight say adds up; training goes on from there.
+        self.p["W"] = np.concatenate((np.zeros((EXPERTS, 1)), CONTEXT / 2 * np.eye(EXPERTS)), 1).astype(np.float32)
         self.p["B"] = np.log((tokens + 1) / (tokens + 1).sum()).astype(np.float32)
         self.lexicon = Lexicon()
 

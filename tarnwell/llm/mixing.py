@@ -115,7 +115,7 @@ def _flight(level: int, last: bool):
 def mix(docs: DataFrame, *, percent: int = 150, weights: tuple[int, ...] = WEIGHTS, most: int = 2) -> DataFrame:
     """doc_id, source, size, source_size, target and taken (words, repeats counted) of every row of ``docs``."""
     spark = docs.sparkSession
-    sized = pick(docs, "doc_id", "source", "text").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    sized = pick(docs, "doc_id", "source", "text").select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("deal"))
     found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     each = [weights[i % len(weights)] for i in range(len(found))]
@@ -125,7 +125,7 @@ def mix(docs: DataFrame, *, percent: int = 150, weights: tuple[int, ...] = WEIGH
     table = F.broadcast(table) if len(rows) <= MAX_BROADCAST_SOURCES else table
     joined = sized.join(table, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    kept = joined.withColumn("rate", rate).select("doc_id", "source", "size", "source_size", "target", F.floor("rate").cast("long").alias("whole"), (F.col("rate") - F.floor("rate")).alias("chance"), "source_no", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block"))
+    kept = joined.withColumn("rate", rate).select("doc_id", "source", "size", "source_size", "target", F.floor("rate").cast("long").alias("whole"), (F.col("rate") - F.floor("rate")).alias("chance"), "source_no", F.pmod(F.col("deal"), F.col("blocks")).cast("int").alias("block"))  # by text too, as many rows may share an id or have none
     schema, blocks, level, done = kept.schema, max([1, *(r[4] for r in rows)]), 0, None
     flying = kept
     while True:

@@ -470,3 +470,44 @@ def test_cases_that_must_not_crash(spark):
         assert run(none).count() == 0
     near = minhash.near_duplicates(df).collect()
     assert all(r["kept"] == (r["doc_id"] != 6) for r in near) and {r["component_id"] for r in near} == {1, 2, 3, 4, 5, None}
+
+
+def test_callers_columns_stay(spark):
+    df = frame(spark, ODD)
+    out = quality_rules.with_statistics(df.withColumns({"_l": F.lit("mine"), "n_words": F.lit(-1)}))
+    assert out.where("_w = 'clash' and _l = 'mine' and kept = 'clash'").count() == len(ODD) and out.where("n_words = -1").count() == 0
+    kept = quality_rules.keep(df, quality_rules.DecisionList(((quality_rules.Literal("n_words", False, 1.0),),)), base=False)
+    assert set(kept.columns) == set(df.columns) and sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "3", "5", "6", "None"]
+
+
+def test_symbols_and_base_tests(spark):
+    texts = ["#*$ % & | < > no more", "a b c " * 30, "a b c d e f g " * 3, " ".join(f"w{i}" for i in range(50)), " ".join(f"w{i}" for i in range(49)), None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_symbols"], r["base_failed"], r["kept"]) for r in quality_rules.judge(df, quality_rules.DecisionList()).collect()}
+    assert got == {0: (8, True, False), 1: (0, True, False), 2: (0, True, False), 3: (0, False, True), 4: (0, True, False), 5: (0, True, False)}
+
+
+def test_decontamination_of_long_and_repeated_rows(spark):
+    item = " ".join(f"Item{i}" for i in range(20))
+    long = prose(random.Random(1), 30_000)
+    docs = spark.createDataFrame([(1, f"{long} {item} {long}"), (2, item), (2, item), (3, long), (4, None), (5, "")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (7, item), (8, None), (9, "too short to leak"), (None, item)], "item_id long, text string")
+    got = sorted((r["doc_id"], r["contaminated"], r["items"]) for r in decontam.decontaminate(docs.withColumn("hash", F.lit("clash")), bench.withColumn("at", F.lit("clash"))).collect())
+    assert got == [(1, True, [7]), (2, True, [7]), (2, True, [7]), (3, False, []), (4, False, []), (5, False, [])]
+
+
+def test_mix_of_rows_that_share_an_id(spark):
+    draw = random.Random(3)
+    rows = [(None if i % 2 else 7, prose(draw, draw.randint(1, 40)), "one" if i % 4 else None) for i in range(600)] + [(8, prose(draw, 20_000), "one"), (9, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept, mixing.BLOCK = mixing.BLOCK, 40
+    try:
+        out = mixing.mix(df).collect()
+        again = mixing.mix(df.repartition(7)).collect()
+    finally:
+        mixing.BLOCK = kept
+    assert sorted(map(repr, out)) == sorted(map(repr, again)) and len(out) == len(rows)
+    for source in ("one", None):
+        own = [r for r in out if r["source"] == source]
+        longest = max(r["size"] for r in own)
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= longest and all(0 <= r["taken"] <= 2 * r["size"] for r in own)

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_same_rows(spark, name):
     con = duckdb.connect()
-    for t in ("benchmark", "documents", "pages"):
+    for t in ("benchmark", "documents", "embeddings", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     rel = con.sql(queries.SQL[name])

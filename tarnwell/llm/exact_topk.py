@@ -2,8 +2,8 @@
 
 Vectors are dealt to blocks. A block's task sorts it once by each dimension. A query
 reads all lists in step, the largest contribution first (from the other end where
-its weight is negative), looks up the whole vector of every new entry, and keeps its
-k best. What no list has shown yet scores at most the sum of the contributions the
+its weight is negative), twice as many entries each time, looks up the whole vector
+of every new one, and keeps its k best. What no list has shown yet scores at most the sum of the contributions the
 lists stand at; the query stops when that bound is below its kth result or below
 ``floor``, a score that k vectors of the first block are known to reach. A bound
 equal to the kth score goes on, as a tie may have a smaller id.
@@ -12,7 +12,7 @@ Every query meets every block, in blocks of queries; a block hands on k rows a q
 at most, and only such as reach the floor; a window ranks them.
 
 Components become whole numbers, so scores are exact: products are summed as doubles
-where they stay below 2^53, else as 64-bit integers.
+where they stay below 2^53, else as Python's integers; a score must fit a long.
 
 Defined results: vectors that are null, or hold a null or a number that isn't finite,
 take no part; vectors of another length than the query's are no candidates; an empty
@@ -32,50 +32,61 @@ from pyspark.sql import functions as F
 from tarnwell.llm.flat import checkpointed
 from tarnwell.llm.text import pick
 
-#: Rows and queries of a task's blocks, and entries of each list that a query reads first (then twice as many each time).
-BLOCK, QUERIES, STEP = 1024, 1024, 8
+#: Rows and queries of a task's blocks.
+BLOCK, QUERIES = 4096, 1024
 #: Stands for a missing id, behind all others; for no bound, below all scores.
 NO_ID, NO_FLOOR = 2**63 - 1, -(2**63)
+#: Whole numbers below are exact as doubles.
 SAFE = 2.0**53
 
 
 class Lists:
-    """A block's vectors, and for each dimension its rows by rising value."""
+    """A block's vectors by id, and for each dimension its rows by rising value."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         by_id = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[by_id], vectors[by_id]
-        self.order = np.argsort(self.vectors, axis=0, kind="stable").T.copy()
+        self.order = np.argsort(self.vectors, axis=0, kind="stable")
         self.most = float(np.abs(self.vectors).max(initial=0))
 
-    def top(self, query: np.ndarray, own: int, k: int, floor: int = NO_FLOOR) -> tuple[np.ndarray, np.ndarray, int]:
-        """(ids, scores, entries read of each list) of the k best rows with another id than ``own``; ties to the smaller id."""
-        n, vectors = len(self.ids), self.vectors
-        if self.most * float(np.abs(query).max(initial=0)) * len(query) >= SAFE:
-            vectors, query = vectors.astype(np.int64), query.astype(np.int64)
-        used = np.flatnonzero(query)
-        weight = query[used]
-        best, score = np.zeros(0, int), np.zeros(0, query.dtype)
-        seen, depth, step = np.zeros(n, bool), 0, STEP
-        while depth < n:
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int, floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(places in ``queries``, ids, scores) of each one's k best rows with another id than its own, ties to the smaller id; and how many entries of each list it read.
+
+        Queries read on together: a row that one end of a list shows is looked up for
+        all that have not stopped. A query's bound takes the upper end of a dimension
+        where its weight is positive, else the lower one. A score and a row are one
+        whole number, so that the largest are the best and ties are settled.
+        """
+        n, m = len(self.ids), len(queries)
+        wide = self.most * float(np.abs(queries).max(initial=0)) * max(1, queries.shape[1]) * n >= SAFE
+        vectors, queries = (x.astype(np.int64).astype(object) if wide else x for x in (self.vectors, queries))
+        kind, none = (object, -(1 << 200)) if wide else (np.int64, -(1 << 62))
+        floors = np.full(m, NO_FLOOR) if floors is None else floors
+        best, read = np.full((m, k), none, kind), np.full(m, n)
+        up, down = np.where(queries > 0, queries, 0), np.where(queries < 0, queries, 0)
+        seen, live, depth, step = np.zeros(n, bool), np.arange(m), 0, 1
+        while depth < n and len(live):
             end = min(n, depth + step)
-            down = np.where(weight[:, None] > 0, self.order[used, n - end : n - depth][:, ::-1], self.order[used, depth:end]) if len(used) else np.arange(depth, end)[None, :]
-            new = np.unique(down)
-            new = new[~seen[new]]
-            seen[new] = True
-            new = new[self.ids[new] != own]
-            best, score = np.concatenate([best, new]), np.concatenate([score, vectors[new] @ query])
-            if len(best) > k:
-                chosen = np.lexsort((best, -score))[:k]  # rows stand by id
-                best, score = best[chosen], score[chosen]
-            depth, step = end, step * 2
-            bound = (vectors[down[:, -1], used] * weight).sum() if len(used) else 0
-            if bound < floor or (len(best) == k and bound < score.min()):
-                break
-        keep = score >= floor
-        best, score = best[keep], score[keep]
-        chosen = np.lexsort((best, -score))
-        return self.ids[best[chosen]], score[chosen], depth
+            shown = np.zeros(n, bool)
+            shown[self.order[depth:end]] = shown[self.order[n - end : n - depth]] = True
+            if not queries.shape[1]:
+                shown[depth:end] = True
+            new = np.flatnonzero(shown & ~seen)
+            seen |= shown
+            keys = (queries[live] @ vectors[new].T).astype(kind) * n + (n - 1 - new)
+            keys[own[live][:, None] == self.ids[new][None, :]] = none
+            keys = np.concatenate([best[live], keys], axis=1)
+            best[live] = np.sort(keys, axis=1)[:, -k:] if wide else np.partition(keys, -k, axis=1)[:, -k:]
+            dims = np.arange(queries.shape[1])
+            bound = up[live] @ vectors[self.order[n - end], dims] + down[live] @ vectors[self.order[end - 1], dims]
+            kth = best[live].min(axis=1) // n
+            stops = (bound < floors[live]) | (bound < kth)
+            read[live[stops]] = end
+            live, depth, step = live[~stops], end, step * 2
+        best = np.sort(best, axis=1)[:, ::-1]
+        score = best // n
+        place, at = np.nonzero((best != none) & (score >= floors[:, None]))
+        return place, self.ids[(n - 1 - best[place, at] % n).astype(int)], score[place, at], read
 
 
 def whole(vector: Column, scale: float = 256) -> Column:
@@ -96,11 +107,8 @@ def _met(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
         if not len(asked) or not len(held):
             return pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "score": []})
         lists = Lists(held["id"].to_numpy(), _matrix(held["v"]))
-        out = []
-        for query, own, v, floor in zip(asked["query"], asked["id"], asked["v"], asked["floor"], strict=True):
-            ids, scores, _ = lists.top(np.asarray(v, float), own, k, floor)
-            out.append((np.full(len(ids), query), np.full(len(ids), own), ids, scores.astype(np.int64)))
-        return pd.DataFrame({name: np.concatenate(x) for name, x in zip(("query", "query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
+        place, ids, scores, _ = lists.top(_matrix(asked["v"]), asked["id"].to_numpy(), k, asked["floor"].to_numpy())
+        return pd.DataFrame({"query": asked["query"].to_numpy()[place], "query_id": asked["id"].to_numpy()[place], "vec_id": ids, "score": scores.astype(np.int64)})
 
     rows = rows.select(*[F.col(c).alias(c) for c in ("dim", "i", "j", "id", "v")])  # columns of their own, as both sides come from one frame
     return queries.groupBy("dim", "i", "j").cogroup(rows.groupBy("dim", "i", "j")).applyInPandas(run, "query long, query_id long, vec_id long, score long")

@@ -55,17 +55,17 @@ def test_lists_stop_early_and_only_when_they_may():
     draw = np.random.default_rng(1)
     vectors = np.floor(draw.standard_normal((2000, 4)) * 256)
     lists = exact_topk.Lists(np.arange(2000), vectors)
+    place, ids, scores, read = lists.top(vectors[:20], np.arange(20), 5)
     for q in range(20):
-        ids, scores, depth = lists.top(vectors[q], q, 5)
         all_ = vectors @ vectors[q]
         all_[q] = -np.inf
         best = np.lexsort((np.arange(2000), -all_))[:5]
-        assert ids.tolist() == best.tolist() and scores.tolist() == all_[best].tolist()
-        assert depth < 2000  # the bound stopped it
-        assert lists.top(vectors[q], q, 5, int(scores[0]) + 1)[0].tolist() == []
+        assert ids[place == q].tolist() == best.tolist() and scores[place == q].tolist() == all_[best].tolist()
+    assert (read < 2000).all()  # the bound stopped all
+    assert not len(lists.top(vectors[:20], np.arange(20), 5, scores[place.searchsorted(np.arange(20))] + 1)[0])
     # equal to the bound is not below it: the smaller id stands last in the list
     same = exact_topk.Lists(np.arange(100), np.ones((100, 3)))
-    assert same.top(np.ones(3), 0, 5)[0].tolist() == [1, 2, 3, 4, 5]
+    assert same.top(np.ones((1, 3)), np.array([0]), 5)[1].tolist() == [1, 2, 3, 4, 5]
 
 
 # The manifest

@@ -24,7 +24,6 @@ smaller word by code points.
 
 from __future__ import annotations
 
-import os
 import re
 import zlib
 from collections import Counter
@@ -42,7 +41,9 @@ from tarnwell.llm.text import LOWER, UPPER, pick
 WORD = re.compile("[A-Za-zÀ-ÿ]+")
 TO_LOWER = str.maketrans(UPPER, LOWER)
 #: Words of a block at most; distinct words that a task keeps counts of before it hands them on.
-BLOCK, HELD = 4096, 200_000
+BLOCK, HELD = 4096, 50_000
+#: Levels of the trie that are counted at once.
+DEPTH = 6
 #: How often a form stands for each time its variant does; prefixes whose table is broadcast.
 RATIO, FEW = 5, 200_000
 
@@ -124,37 +125,41 @@ class Trie:
                 todo.append((child, reached))
 
 
-def _shared(a: str, b: str) -> Column:
+def _shared(a: Column, b: Column) -> Column:
     """How many letters two words begin with together."""
+    most = F.least(F.length(a), F.length(b))
+    return F.when(most > 0, F.size(F.filter(F.sequence(F.lit(1), most), lambda k: F.substr(a, F.lit(1), k) == F.substr(b, F.lit(1), k)))).otherwise(0)
 
-    @F.pandas_udf("int")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([len(os.path.commonprefix(z)) for z in zip(x, y, strict=True)], dtype="int32")
 
-    return run(a, b)
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= FEW else df
 
 
 def _upper(words: DataFrame, block: int) -> tuple[DataFrame, DataFrame | None]:
-    """(word, prefix of its block) and (word, depth) for each node of the upper trie at which a word and others part.
+    """(word, prefix of its block) and (word, depth) for each node of the upper trie that a word passes.
 
-    All words below a prefix begin like its first and last one, so that a chain of
-    nodes with one child, at which no pair is born, is one step.
+    The first ``DEPTH`` levels are counted at once. Below, all words of a prefix begin
+    like its first and last one, so that a chain of nodes with one child, at which no
+    pair is born, is one step.
     """
-    open_ = checkpointed(words.select("word", F.lit("").alias("prefix")))
-    blocks, passed = None, None
-    while True:
+    levels = F.sequence(F.lit(0), F.least(F.length("word"), F.lit(DEPTH)))
+    prefixes = words.select("word", F.explode(levels).alias("depth")).withColumn("prefix", F.substring("word", F.lit(1), F.col("depth")))
+    large = checkpointed(prefixes.groupBy("prefix").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block).select("prefix"))
+    if not large.limit(1).count():
+        return words.select("word", F.lit("").alias("prefix")), None
+    passed = checkpointed(prefixes.join(_small(large), "prefix").select("word", "depth"))
+    last = passed.groupBy("word").agg(F.max("depth").alias("depth"))
+    below = checkpointed(last.where(F.length("word") > F.col("depth")).select("word", F.substring("word", F.lit(1), F.col("depth") + 1).alias("prefix"), (F.col("depth") == DEPTH).alias("deep")))
+    # A word that ends at a node of the upper trie is a block of its own, which has no pairs.
+    blocks, open_ = below.where("not deep").select("word", "prefix"), below.where("deep").select("word", "prefix")
+    while open_.limit(1).count():
         sizes = open_.groupBy("prefix").agg(F.count(F.lit(1)).alias("size"), F.min("word").alias("low"), F.max("word").alias("high"))
-        sizes = checkpointed(sizes.select("prefix", "size", _shared("low", "high").alias("depth")))
-        sizes = F.broadcast(sizes) if sizes.count() <= FEW else sizes
-        sized = open_.join(sizes, "prefix")
-        small = sized.where(F.col("size") <= block).select("word", "prefix")
-        blocks = small if blocks is None else blocks.unionByName(small)
-        large = checkpointed(sized.where(F.col("size") > block).select("word", "depth"))
-        if not large.limit(1).count():
-            return blocks, passed
-        passed = large if passed is None else passed.unionByName(large)
-        # A word that ends at the node is a block of its own, which has no pairs.
-        open_ = large.select("word", F.substring("word", F.lit(1), F.col("depth") + 1).alias("prefix")).where(F.length("word") > F.col("depth"))
+        sized = open_.join(_small(checkpointed(sizes.select("prefix", "size", _shared(F.col("low"), F.col("high")).alias("depth")))), "prefix")
+        blocks = blocks.unionByName(sized.where(F.col("size") <= block).select("word", "prefix"))
+        here = checkpointed(sized.where(F.col("size") > block).select("word", "depth"))
+        passed = passed.unionByName(here)
+        open_ = here.where(F.length("word") > F.col("depth")).select("word", F.substring("word", F.lit(1), F.col("depth") + 1).alias("prefix"))
+    return blocks, passed
 
 
 def near_words(words: DataFrame, block: int = BLOCK) -> DataFrame:

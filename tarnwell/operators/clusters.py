@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.operators.graph import connected, numbered
-from tarnwell.plans.checkpoints import checkpointed
+from tarnwell.plans.checkpoints import Scratch, checkpointed
 
 def reduce_dimensions(vectors: DataFrame, key: str = "uuid", vector: str = "embedding", dims: int = 50) -> DataFrame:
     """``key`` and the first principal components of the unit vectors, computed by Spark."""
@@ -193,30 +193,116 @@ def reachability_tree(points: DataFrame, min_samples: int = 5, block: int = 1024
         state = checkpointed(state.join(merged, "component").select("nr", "point", "core", F.col("to").alias("component")))
 
 
-def message_clusters(embeddings: DataFrame, *, dims: int = 50, min_size: int = 20, min_samples: int = 5, plane: bool = False, in_one_task: int = 20_000) -> DataFrame:
-    """uuid, cluster_id, x, y and is_noise, of all vectors.
-
-    Up to ``in_one_task`` vectors the spanning tree is found in one task, beyond
-    by ``reachability_tree``; it is the same tree but for equal edges. Labels are read off its edges,
-    three numbers a vector, in one task.
+#: Edges of a band of the tree. A task holds a connected piece of one band at most.
+BAND = 100_000
+_JOINED = "kind string, a long, b long, size long, cluster long, mass double, below double, split boolean"
+
+
+def _joined(min_size: int):
+    """A piece of a band: its edges join components, in order. ``map`` rows say where a component (a) went (b) and which cluster its
+    points joined there, ``comp`` rows what is left, ``node`` rows which clusters (a) ended in which other (b), and whether what is
+    below them is worth more."""
+
+    def run(edges: pd.DataFrame, comps: pd.DataFrame) -> pd.DataFrame:
+        names = comps["comp"].tolist()
+        at = {c: k for k, c in enumerate(names)}
+        size, mass, below = comps["size"].tolist(), comps["mass"].tolist(), comps["below"].tolist()
+        cluster = [None if pd.isna(c) else int(c) for c in comps["cluster"]]
+        split, low, parent = comps["split"].tolist(), list(names), list(range(len(names)))
+        loose: list[list[int]] = [[k] if cluster[k] is None else [] for k in range(len(names))]  # components that are in no cluster yet
+        entered: dict[int, int] = {}
+        nodes = []
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for edge, u, v, weight in edges.sort_values("edge")[["edge", "u", "v", "weight"]].itertuples(index=False):
+            x, y = find(at[u]), find(at[v])
+            if len(loose[x]) < len(loose[y]):
+                x, y = y, x
+            density, both = 1 / max(weight, 1e-12), size[x] + size[y]
+            inside = [z for z in (x, y) if cluster[z] is not None]
+            loose[x] += loose[y]
+            if len(inside) == 2:
+                value = 0.0
+                for z in inside:
+                    own = mass[z] - density * size[z]
+                    better = split[z] and below[z] >= own
+                    value += below[z] if better else max(own, 0.0)
+                    nodes.append((cluster[z], edge, better))
+                cluster[x], mass[x], below[x], split[x] = edge, density * both, value, True
+            elif inside:
+                z, other = inside[0], y if inside[0] == x else x
+                cluster[x], mass[x], below[x], split[x] = cluster[z], mass[z] + density * size[other], below[z], split[z]
+            elif both >= min_size:
+                cluster[x], mass[x], below[x], split[x] = edge, density * both, 0.0, False
+            if cluster[x] is not None and loose[x]:
+                entered |= dict.fromkeys(loose[x], cluster[x])
+                loose[x] = []
+            parent[y], size[x], low[x] = x, both, min(low[x], low[y])
+        roots = {find(k) for k in range(len(names))}
+        rows = [("map", names[k], low[find(k)], None, entered.get(k), None, None, None) for k in range(len(names))]
+        rows += [("comp", low[r], None, size[r], cluster[r], mass[r], below[r], bool(split[r])) for r in roots]
+        rows += [("node", a, b, None, None, None, None, better) for a, b, better in nodes]
+        out = pd.DataFrame(rows, columns=["kind", "a", "b", "size", "cluster", "mass", "below", "split"])
+        return out.astype({"b": "Int64", "size": "Int64", "cluster": "Int64", "split": "boolean"})
+
+    return run
+
+
+def tree_labels(tree: DataFrame, points: DataFrame, min_size: int, band: int = BAND) -> DataFrame:
+    """nr and cluster_id, as ``labels_of_tree`` gives them, of ``points`` (nr) from the edges (weight, low, high) of their spanning tree.
+
+    Edges are taken in bands of rising weight. What a band connects is a piece, and
+    pieces are independent: each is joined edge by edge in a task of its own, upwards,
+    so that a cluster's stability is known when it ends in another one. Between bands
+    only components (size, cluster, sums) and each point's component are kept. Which
+    clusters are chosen is then seen from above, twice as far in each round.
     """
+    keep = Scratch(points.sparkSession)
+    edges = keep(numbered(tree, F.asc("weight"), F.asc("low"), F.asc("high"), name="edge"))
+    n = edges.count()
+    place = keep(points.select("nr", F.col("nr").alias("comp"), F.lit(None).cast("long").alias("cluster")))
+    fresh = (F.lit(1).cast("long").alias("size"), F.lit(None).cast("long").alias("cluster"), F.lit(0.0).alias("mass"), F.lit(0.0).alias("below"), F.lit(False).alias("split"))
+    comps = keep(points.select(F.col("nr").alias("comp"), *fresh))
+    nodes = None
+    for first in range(0, n, band):
+        mark = keep.mark()
+        at = lambda side, name: place.select(F.col("nr").alias(side), F.col("comp").alias(name))  # noqa: B023, E731
+        here = keep(edges.where((F.col("edge") >= first) & (F.col("edge") < first + band)).join(at("low", "u"), "low").join(at("high", "v"), "high").select("edge", "u", "v", "weight"))
+        ends = here.select(F.col("u").alias("id")).union(here.select(F.col("v").alias("id"))).distinct()
+        pieces = keep(connected(here.select(F.col("u").alias("src"), F.col("v").alias("dst")), ends))
+        lines = here.join(pieces.select(F.col("id").alias("u"), F.col("component").alias("piece")), "u").select("piece", "edge", "u", "v", "weight")
+        held = comps.join(pieces.select(F.col("id").alias("comp"), F.col("component").alias("piece")), "comp").select("piece", "comp", "size", "cluster", "mass", "below", "split")
+        made = keep(lines.groupBy("piece").cogroup(held.groupBy("piece")).applyInPandas(_joined(min_size), _JOINED))
+        went = made.where("kind = 'map'").select(F.col("a").alias("comp"), F.col("b").alias("to"), F.col("cluster").alias("entered"))
+        place = keep(place.join(went, "comp", "left").select("nr", F.coalesce("to", "comp").alias("comp"), F.coalesce("cluster", "entered").alias("cluster")))
+        left = made.where("kind = 'comp'").select(F.col("a").alias("comp"), "size", "cluster", "mass", "below", "split")
+        comps = keep(comps.join(went.select("comp"), "comp", "left_anti").unionByName(left))
+        ended = made.where("kind = 'node'").select(F.col("a").alias("id"), F.col("b").alias("up"), F.col("split").alias("better"))
+        nodes = keep(ended if nodes is None else nodes.unionByName(ended))
+        keep.forget(mark, place, comps, nodes)
+    if nodes is None:
+        return points.select("nr", F.lit(-1).alias("cluster_id"))
+    # The topmost cluster on the way up that is worth more than what is below it; the last one, of all points, is none.
+    seen = keep(nodes.select("id", F.col("up").alias("to"), F.when(~F.col("better"), F.col("id")).alias("pick")))
+    while True:
+        up = seen.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("pick").alias("above"))
+        seen = keep(seen.join(up, "to", "left").select("id", F.col("next").alias("to"), F.coalesce("above", "pick").alias("pick")))
+        if not seen.where("to is not null").limit(1).count():
+            break
+    picked = keep(place.join(seen.select(F.col("id").alias("cluster"), "pick"), "cluster", "left").select("nr", "pick"))
+    firsts = picked.where("pick is not null").groupBy("pick").agg(F.min("nr").alias("first"))
+    named = numbered(firsts, F.asc("first"), name="cluster_id").select("pick", "cluster_id")
+    return picked.join(named, "pick", "left").select("nr", F.coalesce("cluster_id", F.lit(-1)).cast("int").alias("cluster_id"))
+
+
+def message_clusters(embeddings: DataFrame, *, dims: int = 50, min_size: int = 20, min_samples: int = 5, plane: bool = False, band: int = BAND, block: int = 1024) -> DataFrame:
+    """uuid, cluster_id, x, y and is_noise, of all vectors: the spanning tree of all, and what ``tree_labels`` reads off it."""
     points = checkpointed(numbered(reduce_dimensions(embeddings, dims=dims), F.asc("uuid")))
-    n = points.count()
-    if n <= in_one_task:
-
-        def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("nr", kind="stable")
-            x = np.stack([np.asarray(p) for p in pdf["point"]])
-            return pd.DataFrame({"nr": pdf["nr"], "cluster_id": hdbscan(x, min_size, min_samples).astype("int32")})
-
-        labels = points.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(learn, "nr long, cluster_id int")
-    else:
-
-        def read(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["weight", "low", "high"])
-            found = labels_of_tree(n, list(zip(pdf["weight"].tolist(), pdf["low"].tolist(), pdf["high"].tolist(), strict=True)), min_size)
-            return pd.DataFrame({"nr": np.arange(n), "cluster_id": found.astype("int32")})
-
-        labels = reachability_tree(points, min_samples).withColumn("g", F.lit(0)).groupBy("g").applyInPandas(read, "nr long, cluster_id int")
+    labels = tree_labels(reachability_tree(points, min_samples, block), points, min_size, band)
     at = lambda k: (F.get("point", F.lit(k)) if plane else F.lit(None)).cast("float")
     return points.join(labels, "nr").select("uuid", "cluster_id", at(0).alias("x"), at(1).alias("y"), (F.col("cluster_id") == -1).alias("is_noise"))

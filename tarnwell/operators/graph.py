@@ -40,7 +40,7 @@ def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         state = new.select("id", "component")
 
 
-def _refined(group: list[int], links: list[dict[int, float]]) -> list[int]:
+def _pieces(group: list[int], links: list[dict[int, float]]) -> list[int]:
     """Communities split into the pieces that their own edges connect, named by their first nodes: a piece on its own never has less quality."""
     out = [-1] * len(group)
     for start in range(len(group)):
@@ -55,113 +55,138 @@ def _refined(group: list[int], links: list[dict[int, float]]) -> list[int]:
     return out
 
 
-def cpm(nodes: list, edges: list[tuple], gamma: float, seed: int = 42, passes: int = 20) -> tuple[dict, float]:
-    """Communities by the constant Potts model: local moves, refinement into connected pieces, and aggregation, seeded. Labels and quality."""
+def _moved(links: list[dict[int, float]], size: list[int], group: list[int], gamma: float, draw: random.Random, passes: int) -> None:
+    """Nodes go, one after another, to the community of the largest gain, or to one of their own; ``group`` is changed."""
+    n = len(size)
+    mass = [0] * n
+    for i, c in enumerate(group):
+        mass[c] += size[i]
+    free = [c for c in range(n) if not mass[c]]
+    for _ in range(passes):
+        changed, order = False, list(range(n))
+        draw.shuffle(order)
+        for i in order:
+            to: dict[int, float] = defaultdict(float)
+            for j, w in links[i].items():
+                to[group[j]] += w
+            home = group[i]
+            mass[home] -= size[i]
+            best, top = home, to.get(home, 0.0) - gamma * size[i] * mass[home]
+            for c in sorted(to):
+                gain = to[c] - gamma * size[i] * mass[c]
+                if gain > top + 1e-12:
+                    best, top = c, gain
+            if not mass[home]:
+                free.append(home)
+            if top < -1e-12:
+                best = free[-1]
+            if free and free[-1] == best:
+                free.pop()
+            group[i] = best
+            mass[best] += size[i]
+            changed |= best != home
+        if not changed:
+            return
+
+
+def _merged(links: list[dict[int, float]], size: list[int], group: list[int], gamma: float, draw: random.Random) -> list[int]:
+    """Refinement: inside each community single nodes merge anew, along gains and into well connected pieces alone."""
+    n = len(size)
+    whole: dict[int, int] = defaultdict(int)
+    for i, c in enumerate(group):
+        whole[c] += size[i]
+    inner = [sum(w for j, w in links[i].items() if group[j] == group[i]) for i in range(n)]
+    piece, mass, cut = list(range(n)), list(size), list(inner)  # cut: what a piece has to the rest of its community
+    single = [True] * n
+    order = list(range(n))
+    draw.shuffle(order)
+    for i in order:
+        total = whole[group[i]]
+        if not single[i] or inner[i] < gamma * size[i] * (total - size[i]):
+            continue
+        to: dict[int, float] = defaultdict(float)
+        for j, w in links[i].items():
+            if group[j] == group[i]:
+                to[piece[j]] += w
+        best, top = i, 0.0
+        for c in sorted(to):
+            gain = to[c] - gamma * size[i] * mass[c]
+            if gain > top + 1e-12 and cut[c] >= gamma * mass[c] * (total - mass[c]):
+                best, top = c, gain
+        if best != i:
+            single[best] = single[i] = False
+            piece[i] = best
+            mass[best] += size[i]
+            cut[best] += inner[i] - 2 * to[best]
+    return piece
+
+
+def cpm(nodes: list, edges: list[tuple], gamma: float, seed: int = 42, passes: int = 20, sizes: list[int] | None = None, start: list | None = None) -> tuple[dict, float]:
+    """Communities of a graph that one task holds, by the constant Potts model: moves, refinement, aggregation, seeded. Labels and quality.
+
+    ``sizes``: how many nodes each one stands for; ``start``: the communities to begin with.
+    """
     index = {x: i for i, x in enumerate(nodes)}
-    size = [1] * len(nodes)
+    size = list(sizes) if sizes else [1] * len(nodes)
     links: list[dict[int, float]] = [defaultdict(float) for _ in nodes]
     for a, b, w in edges:
         if a != b:
             links[index[a]][index[b]] += w
             links[index[b]][index[a]] += w
-    label = list(range(len(nodes)))
-    inner = 0.0
-    loops = [0.0] * len(nodes)
-    draw = random.Random(seed)
+    all_links, all_size = links, size
+    at, draw = list(range(len(nodes))), random.Random(seed)
+    names = {c: i for i, c in reversed(list(enumerate(start)))} if start else {}
+    group = [names[c] for c in start] if start else list(range(len(nodes)))
     while True:
-        group = list(range(len(size)))
-        mass = list(size)
-        moved = False
-        for _ in range(passes):
-            changed = False
-            order = list(range(len(size)))
-            draw.shuffle(order)
-            for i in order:
-                to: dict[int, float] = defaultdict(float)
-                for j, w in links[i].items():
-                    to[group[j]] += w
-                home = group[i]
-                mass[home] -= size[i]
-                gain = lambda c: to.get(c, 0.0) - gamma * size[i] * mass[c]  # noqa: B023, E731
-                best, top = home, gain(home)
-                for c in sorted(to):
-                    if gain(c) > top + 1e-12:
-                        best, top = c, gain(c)
-                if top < -1e-12:
-                    best = next(c for c in range(len(mass)) if mass[c] == 0)
-                group[i] = best
-                mass[best] += size[i]
-                changed |= best != home
-            moved |= changed
-            if not changed:
-                break
-        group = _refined(group, links)
-        names = {c: k for k, c in enumerate(dict.fromkeys(group))}
-        label = [names[group[x]] for x in label]
-        n = len(names)
-        new_size, new_links, new_loops = [0] * n, [defaultdict(float) for _ in range(n)], [0.0] * n
-        for i, c in enumerate(group):
-            k = names[c]
+        _moved(links, size, group, gamma, draw, passes)
+        piece = _merged(links, size, group, gamma, draw)
+        number = {c: k for k, c in enumerate(dict.fromkeys(piece))}
+        if len(number) == len(size):
+            break
+        at = [number[piece[x]] for x in at]
+        n = len(number)
+        new_size, new_links, new_group = [0] * n, [defaultdict(float) for _ in range(n)], [-1] * n
+        first: dict[int, int] = {}
+        for i, c in enumerate(piece):
+            k = number[c]
             new_size[k] += size[i]
-            new_loops[k] += loops[i]
+            new_group[k] = first.setdefault(group[i], k)
             for j, w in links[i].items():
-                if names[group[j]] == k:
-                    new_loops[k] += w / 2
-                else:
-                    new_links[k][names[group[j]]] += w
-        size, links, loops = new_size, new_links, new_loops
-        if not moved or n == len(group):
-            break
-    inner = sum(loops) - gamma * sum(s * (s - 1) / 2 for s in size)
-    return {x: label[i] for x, i in index.items()}, inner
+                if number[piece[j]] != k:
+                    new_links[k][number[piece[j]]] += w
+        size, links, group = new_size, new_links, new_group
+    found = _pieces([group[x] for x in at], all_links)
+    mass: dict[int, int] = defaultdict(int)
+    for i, c in enumerate(found):
+        mass[c] += all_size[i]
+    inner = sum(w for i in range(len(nodes)) for j, w in all_links[i].items() if found[i] == found[j]) / 2
+    return {x: found[i] for x, i in index.items()}, inner - gamma * sum(s * (s - 1) / 2 for s in mass.values())
 
 
 def communities_by_component(edges: DataFrame, nodes: DataFrame, gamma: float, seed: int = 42) -> DataFrame:
-    """id and community of each node: one component a task, as no community spans two."""
-    parts = connected(edges, nodes)
-    rows = edges.join(parts.withColumnRenamed("id", "src"), "src")
+    """id and community (its smallest id) of each node."""
+    from tarnwell.operators import leiden
 
-    def run(pdf):
-        import pandas as pd
-
-        names = sorted({*pdf["src"], *pdf["dst"]})
-        labels, _ = cpm(names, list(zip(pdf["src"], pdf["dst"], pdf["weight"], strict=True)), gamma, seed)
-        first: dict[int, str] = {}
-        for x in names:
-            first.setdefault(labels[x], x)
-        return pd.DataFrame({"id": names, "community": [first[labels[x]] for x in names]})
-
-    kind = dict(nodes.dtypes)["id"]
-    found = rows.groupBy("component").applyInPandas(run, f"id {kind}, community {kind}")
-    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
+    return leiden.communities(edges, nodes, [gamma], seed).select("id", "community")
 
 
 def resolution_profile(edges: DataFrame, nodes: DataFrame, low: float = 0.05, high: float = 0.95, steps: int = 19, halvings: int = 4, seed: int = 42) -> list[dict]:
     """Number of communities and quality by resolution, equal partitions merged; how long each lasts, in 10^-4.
 
-    Every resolution is a partition of every connected component on its own, so
-    that a task holds one component's edges at one resolution; only two numbers
-    a resolution reach the driver. Where the number changes between two
-    resolutions, the interval is halved ``halvings`` times to find where.
+    All resolutions of a round are found together; only two numbers of each reach
+    the driver. Where the number changes between two resolutions, the interval is
+    halved ``halvings`` times to find where.
     """
-    parts = connected(edges, nodes)
-    held = checkpointed(edges.join(parts.withColumnRenamed("id", "src"), "src").select("component", "src", "dst", "weight"))
-    alone = nodes.count() - held.select("src").union(held.select("dst")).distinct().count()
-
-    def run(key, pdf):
-        import pandas as pd
+    from tarnwell.operators import leiden
 
-        names = sorted({*pdf["src"], *pdf["dst"]})
-        labels, quality = cpm(names, list(zip(pdf["src"], pdf["dst"], pdf["weight"], strict=True)), float(key[0]), seed)
-        return pd.DataFrame({"gamma": [float(key[0])], "n": [len(set(labels.values()))], "quality": [float(quality)]})
+    edges, nodes = checkpointed(edges), checkpointed(nodes.select("id"))
 
     def at(gammas: list[float]) -> dict[float, tuple[int, float]]:
         if not gammas:
             return {}
-        rows = held.withColumn("gamma", F.explode(F.lit([float(g) for g in gammas])))
-        found = rows.groupBy("gamma", "component").applyInPandas(run, "gamma double, n long, quality double").groupBy("gamma").agg(F.sum("n").alias("n"), F.sum("quality").alias("quality")).collect()
-        told = {r["gamma"]: (int(r["n"]) + alone, float(r["quality"])) for r in found}
-        return {float(g): told.get(float(g), (alone, 0.0)) for g in gammas}
+        found = leiden.quality(edges, leiden.communities(edges, nodes, gammas, seed)).collect()
+        told = {float(r["g"]): (int(r["n"]), float(r["quality"])) for r in found}
+        return {float(g): told.get(float(g), (0, 0.0)) for g in gammas}
 
     known = at([round(low + (high - low) * i / (steps - 1), 4) for i in range(steps)])
     for _ in range(halvings):

@@ -135,7 +135,7 @@ def test_message_clusters(spark):
     df = spark.createDataFrame(rows, "uuid string, embedding array<double>")
     got = {r["uuid"]: r["cluster_id"] for r in clusters.message_clusters(df, dims=3, min_size=10).collect()}
     assert len(got) == 80 and len({got[f"u{k:03d}"] for k in range(0, 80, 2)} - {-1}) == 1
-    many = clusters.message_clusters(df, dims=3, min_size=10, in_one_task=10, plane=True).cache()
+    many = clusters.message_clusters(df, dims=3, min_size=10, band=25, block=16, plane=True).cache()
     assert {r["uuid"]: r["cluster_id"] for r in many.collect()} == got and many.where("x is not null").count() == 80
 
 

@@ -313,13 +313,14 @@ def remove_repeats(docs: DataFrame, *, window: int = 200) -> DataFrame:
     beside = lambda x: (F.count(F.lit(1)).over(Window.partitionBy("place", x)) > 1) & (x > 0)
     index = index.withColumn("more", beside(before) | beside(after)).where("n > 1 or more").select("sig", "low.low", "low.spot", "n", "more")
     parsed = keyed.mapInArrow(_found(window, False), "sig long, anchor long, doc_id long, place long").join(index, "sig")
-    whole = F.collect_list(F.when(F.col("n") > 1, F.col("place"))).alias("whole")
-    open_ = F.collect_list(F.when(F.col("more") & (F.col("doc_id") == F.col("low")) & (F.col("place") == F.col("spot")), F.struct(place.alias("group"), "place"))).alias("open")
+    # Sets, so that rows that are equal don't hand each of them the places of all.
+    whole = F.collect_set(F.when(F.col("n") > 1, F.col("place"))).alias("whole")
+    open_ = F.collect_set(F.when(F.col("more") & (F.col("doc_id") == F.col("low")) & (F.col("place") == F.col("spot")), F.struct(place.alias("group"), "place"))).alias("open")
     parsed = checkpointed(parsed.groupBy("doc_id").agg(whole, open_))
     dealt = docs.repartition("key").join(parsed.withColumnRenamed("doc_id", "key"), "key", "left").select("key", "text", "open", "whole", "doc_id")
     parts = dealt.mapInArrow(_snippets(window), "group long, doc_id long, begin long, n long, body binary")
     some = parts.repartition("group").sortWithinPartitions("group").mapInArrow(_merges(window), "doc_id long, begin long, n long")
-    spans = some.groupBy("doc_id").agg(F.collect_list(F.shiftleft("begin", 16).bitwiseOR(F.col("n"))).alias("some"))
+    spans = some.groupBy("doc_id").agg(F.collect_set(F.shiftleft("begin", 16).bitwiseOR(F.col("n"))).alias("some"))
     out = dealt.join(spans.withColumnRenamed("doc_id", "key"), "key", "left").select("doc_id", "text", "whole", "some")
     return out.mapInArrow(_removed(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 

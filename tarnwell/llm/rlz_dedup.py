@@ -213,8 +213,9 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, carry: tuple[str, ...]
     beside = lambda x: (F.count(F.lit(1)).over(Window.partitionBy("place", x)) > 1) & (x > 0)
     index = index.withColumn("more", beside(before) | beside(after)).where("several or more").select("sig", "low", "more")
     parsed = keyed.mapInArrow(_runs(window, False), "sig long, doc_id long, place long").join(index, "sig").where("doc_id > low or more")
-    sure = F.collect_list(F.when(F.col("doc_id") > F.col("low"), F.col("place"))).alias("sure")
-    unsure = F.collect_list(F.when(F.col("doc_id") == F.col("low"), F.col("place"))).alias("unsure")
+    # Sets, so that rows that are equal don't hand each of them the places of all.
+    sure = F.collect_set(F.when(F.col("doc_id") > F.col("low"), F.col("place"))).alias("sure")
+    unsure = F.collect_set(F.when(F.col("doc_id") == F.col("low"), F.col("place"))).alias("unsure")
     parsed = checkpointed(parsed.groupBy("doc_id").agg(sure, unsure))
     # One join for both uses, without a filter that would make them differ, so that the texts are shuffled once.
     dealt = docs.repartition("doc_id").join(parsed, "doc_id", "left")
@@ -222,7 +223,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 13, carry: tuple[str, ...]
     dealt = dealt.select("doc_id", "text", "unsure", "sure", *(carry or ()))
     edges = dealt.mapInArrow(_windows(window), "gram long, doc_id long, begin long, sure boolean")
     low = F.min("doc_id").over(Window.partitionBy("gram"))
-    single = edges.select("doc_id", "begin", (F.col("sure") | (low < F.col("doc_id"))).alias("gone")).where("gone").groupBy("doc_id").agg(F.collect_list("begin").alias("single"))
+    single = edges.select("doc_id", "begin", (F.col("sure") | (low < F.col("doc_id"))).alias("gone")).where("gone").groupBy("doc_id").agg(F.collect_set("begin").alias("single"))
     whole = dealt.join(single, "doc_id", "left")
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry or ())
     schema = f"doc_id long, n_words long, n_removed long, {'kept_sha256' if carry is None else 'kept_text'} string{kinds}"

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -511,3 +512,20 @@ def test_mix_of_rows_that_share_an_id(spark):
         own = [r for r in out if r["source"] == source]
         longest = max(r["size"] for r in own)
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= longest and all(0 <= r["taken"] <= 2 * r["size"] for r in own)
+
+
+@pytest.mark.parametrize("module", [rlz_dedup, bwt_dedup])
+def test_many_equal_rows_cost_as_much_as_many_rows(spark, module):
+    """Two thousand rows with one id and one text, against as many with ids of their own: neither is slower by more than a few times."""
+    text = prose(random.Random(8), 700)
+    took = []
+    for ids in (range(2000), [5] * 2000):
+        rows = spark.createDataFrame([(i, text) for i in ids], "doc_id long, text string").repartition(4)
+        module.remove_repeats(rows.limit(50)).count()
+        begin = time.perf_counter()
+        got = module.remove_repeats(rows).select("n_removed").collect()
+        took.append(time.perf_counter() - begin)
+        assert len(got) == 2000
+    # op4: a document has no repeats of its own id; op5: every byte also stands in another row
+    assert (len({r["n_removed"] for r in got}) == 1) and (got[0]["n_removed"] > 0) == (module is bwt_dedup)
+    assert took[1] < 3 * took[0] + 3

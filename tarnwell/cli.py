@@ -6,6 +6,7 @@ import argparse
 import csv
 import json
 import sys
+import uuid
 from typing import Any, TextIO
 
 from pyspark.sql import DataFrame
@@ -134,10 +135,12 @@ def run(args: argparse.Namespace) -> int:
 
         put(run_analyze(corpus, dry_run=not args.apply, days=args.days, limit=args.limit, skip=tuple(args.skip.split(","))))
     elif args.command == "watch":
+        from tarnwell.plans import checkpoints
         from tarnwell.streaming import watch
 
         pattern = corpus._glob("events")
-        totals = watch.watch(watch.RawTable(spark, pattern), watch.polled(pattern), most_flushes=args.flushes)
+        checkpoints.ready(spark)
+        totals = watch.watch(watch.RawTable(spark, pattern), f"{spark.sparkContext.getCheckpointDir()}/watch-{uuid.uuid4().hex}", most_flushes=args.flushes)
         put(vars(totals))
     return 0
 

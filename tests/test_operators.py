@@ -207,18 +207,6 @@ def test_state(spark):
     assert state.pending_count(queue, "p").first()["n"] == 1
 
 
-@given(st.lists(st.tuples(st.sampled_from("abc"), st.integers(0, 50)), max_size=20), st.integers(0, 100), st.integers(1, 20), st.integers(0, 40))
-def test_debounce(events, now, quiet, longest):
-    pending = {}
-    for p, t in sorted(events, key=lambda x: x[1]):
-        pending = watch.note(pending, [p], t)
-    ready = watch.due(pending, now, quiet, longest)
-    for p, x in pending.items():
-        assert x.first <= x.last
-        assert (p in ready) == (now - x.last >= quiet or (longest > 0 and now - x.first >= longest))
-    assert not set(watch.drop(pending, ready)) & ready
-
-
 def test_refresh_of_files_that_grow(spark, tmp_path):
     root = write(tmp_path / "c")
     table = watch.RawTable(spark, f"{root}/project/*.jsonl")
@@ -233,15 +221,6 @@ def test_refresh_of_files_that_grow(spark, tmp_path):
     assert table.snapshot.refreshes == 3 and table.snapshot.files == 1
 
 
-def test_watch_loop(spark, tmp_path):
-    root = write(tmp_path / "c")
-    table = watch.RawTable(spark, f"{root}/project/*.jsonl")
-    clock = iter(range(0, 10**12, 10**9))
-    batches = [frozenset(), frozenset({"x"}), frozenset({"x"}), frozenset(), frozenset(), frozenset()]
-    totals = watch.watch(table, batches, quiet=2, longest=0, clock=lambda: next(clock), on_flush=lambda d: 5)
-    assert totals.flushes == 1 and totals.embedded == 5
-
-
 def test_streaming_source(spark, tmp_path):
     root = write(tmp_path / "c")
     table = watch.RawTable(spark, f"{root}/project/*.jsonl")

@@ -7,13 +7,16 @@ texts with stamps and labels, embeddings for vectors with their clusters.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwell.functions import gap_ms, json_items, ratio
-from tarnwell.operators import analytics, friction, graph, macros, stamps, state, terms, trajectory, transcript, vectors, views
+from tarnwell.operators import analytics, clusters, friction, graph, leiden, macros, stamps, state, terms, trajectory, transcript, vector_table, vectors, views
+from tarnwell.plans import checkpoints
+from tarnwell.sources.buckets import Buckets
 from tarnwell.streaming import watch
 
 NOW = "2024-01-31 00:00:00"
@@ -590,3 +593,70 @@ def sessions_in_communities(spark, d):
     return graph.session_communities(vectors.centroids(rows, sids), gamma=0.3, k=8)[0]
 
 
+
+
+@query("SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0 AND embedding IS NOT NULL")
+def index_recall(spark, d):
+    """A table of quantized vectors, made, added to, and asked: whether it gives 95 % of the ten nearest that comparing all gives."""
+    checkpoints.ready(spark)
+    rows = vecs(spark, d)
+    made = vector_table.VectorTable(spark, f"{spark.sparkContext.getCheckpointDir()}/vectors-{uuid.uuid4().hex}").create(rows.where("vec_id % 4 <> 1"))
+    made.append(rows)
+    asked = rows.where("vec_id % 20 = 0").select(F.col("uuid").alias("query"), F.col("embedding").alias("vector"))
+    return made.recall(asked).agg(F.count(F.lit(1)).alias("queries"), (F.avg("share") >= 0.95).alias("enough"))
+
+
+@query("SELECT count(DISTINCT label || '-' || vec_id % 10) AS sessions, 0 AS split, true AS positive FROM embeddings WHERE embedding IS NOT NULL")
+def communities_hold(spark, d):
+    """Every session is in one community, no community falls apart, and they are worth more than none: what any right partition has."""
+    rows = vecs(spark, d)
+    sids = rows.select("uuid", F.concat_ws("-", "label", (F.col("vec_id") % 10)).alias("session_id"))
+    centroids = checkpoints.checkpointed(vectors.centroids(rows, sids))
+    nodes = centroids.select(F.col("session_id").alias("id"))
+    edges = checkpoints.checkpointed(graph.mutual_knn(centroids, "session_id", "centroid", 8))
+    found = checkpoints.checkpointed(leiden.communities(edges, nodes, [0.3]))
+    split = graph.disconnected(edges, found).agg(F.count(F.lit(1)).cast("int").alias("split"))
+    worth = leiden.quality(edges, found).select((F.col("quality") > 0).alias("positive"))
+    return found.agg(F.count_distinct("id").alias("sessions")).crossJoin(split).crossJoin(worth)  # a row each
+
+
+@query()
+def density_clusters(spark, d):
+    """Density clusters of all vectors, by the spanning tree that executors find; their labels in bands of the tree."""
+    return clusters.message_clusters(vecs(spark, d), dims=8, min_size=10).select("uuid", "cluster_id", "is_noise")
+
+
+def event_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The table of events, a file or a folder, as a stream (of a pattern, as streams take no single file)."""
+    return spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+
+
+#: Bursts of events of a user that end when it was quiet for an hour, as far as the table's last event has shown that.
+BURSTS = """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS path, epoch_us(ts) // 1000 AS t FROM events),
+g AS (SELECT *, CAST(t - lag(t) OVER (PARTITION BY path ORDER BY t) >= 3600000 AS INT) AS fresh FROM e),
+b AS (SELECT *, sum(coalesce(fresh, 0)) OVER (PARTITION BY path ORDER BY t ROWS UNBOUNDED PRECEDING) AS nr FROM g)
+SELECT path, min(t) AS first_ms, max(t) AS latest_ms, count(*) AS n, max(t) + 3600000 AS due_ms FROM b GROUP BY path, nr HAVING max(t) + 3600000 <= (SELECT max(t) FROM e)"""
+
+
+@query(BURSTS)
+def debounced_events(spark, d):
+    """A stream of events by user, debounced by keyed state with timers."""
+    checkpoints.ready(spark)
+    place = f"{spark.sparkContext.getCheckpointDir()}/debounced-{uuid.uuid4().hex}"
+    rows = event_stream(spark, d)
+    changes = rows.select(F.col("user_id").cast("string").alias("path"), F.col("ts").cast("timestamp").alias("at")).withWatermark("at", "0 seconds")
+    out = watch.debounced(changes, 3600, 0, at="at")
+    out.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("path string, first_ms long, latest_ms long, n long, due_ms long").parquet(f"{place}/out")
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def stream_latest_wins(spark, d):
+    """Events as a stream, and half of them once more, into a table in buckets where the last one of each user stays."""
+    checkpoints.ready(spark)
+    place = f"{spark.sparkContext.getCheckpointDir()}/latest-{uuid.uuid4().hex}"
+    last = Buckets(spark, f"{place}/table", "user_id long, ts timestamp, event_id long, event_type string", ("user_id",), 16)
+    rows = event_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    again = rows.where("event_id % 2 = 0")
+    watch.keep_latest(rows.unionByName(again), last, ("ts", "event_id"), f"{place}/state").awaitTermination()
+    return last.read().select("user_id", "event_id", "event_type")

@@ -1,4 +1,4 @@
-"""Density clusters of vectors: principal components, mutual reachability, a spanning tree, stable clusters."""
+"""Density clusters of vectors: fewer dimensions, mutual reachability, a spanning tree, stable clusters."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwell.operators import umap
 from tarnwell.operators.graph import connected, numbered
 from tarnwell.plans.checkpoints import Scratch, checkpointed
 
@@ -17,10 +18,10 @@ def reduce_dimensions(vectors: DataFrame, key: str = "uuid", vector: str = "embe
 
     rows = vectors.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("raw"))
     rows = Normalizer(inputCol="raw", outputCol="unit").transform(rows)
-    first = rows.select("unit").first()
-    if first is None:
-        return vectors.select(key, F.col(vector).cast("array<double>").alias("point"))
-    model = PCA(k=min(dims, len(first["unit"])), inputCol="unit", outputCol="pc").fit(rows)
+    some = rows.select("unit").take(2)
+    if len(some) < 2:  # no components of one
+        return vectors.select(key, F.slice(F.col(vector).cast("array<double>"), 1, dims).alias("point"))
+    model = PCA(k=min(dims, len(some[0]["unit"])), inputCol="unit", outputCol="pc").fit(rows)
     return model.transform(rows).select(key, vector_to_array("pc").alias("point"))
 
 
@@ -300,9 +301,11 @@ def tree_labels(tree: DataFrame, points: DataFrame, min_size: int, band: int = B
     return picked.join(named, "pick", "left").select("nr", F.coalesce("cluster_id", F.lit(-1)).cast("int").alias("cluster_id"))
 
 
-def message_clusters(embeddings: DataFrame, *, dims: int = 50, min_size: int = 20, min_samples: int = 5, plane: bool = False, band: int = BAND, block: int = 1024) -> DataFrame:
-    """uuid, cluster_id, x, y and is_noise, of all vectors: the spanning tree of all, and what ``tree_labels`` reads off it."""
-    points = checkpointed(numbered(reduce_dimensions(embeddings, dims=dims), F.asc("uuid")))
+def message_clusters(embeddings: DataFrame, *, dims: int = 50, min_size: int = 20, min_samples: int = 5, plane: bool = False, components: bool = False, neighbours: int = 30, rounds: int = 10, band: int = BAND, block: int = 1024) -> DataFrame:
+    """uuid, cluster_id, x, y and is_noise, of all vectors: laid out so that neighbours stay near (or by principal ``components``),
+    the spanning tree of all, and what ``tree_labels`` reads off it."""
+    placed = reduce_dimensions(embeddings, dims=dims) if components else umap.layout(embeddings, dims=dims, neighbours=neighbours, rounds=rounds)
+    points = checkpointed(numbered(placed, F.asc("uuid")))
     labels = tree_labels(reachability_tree(points, min_samples, block), points, min_size, band)
     at = lambda k: (F.get("point", F.lit(k)) if plane else F.lit(None)).cast("float")
     return points.join(labels, "nr").select("uuid", "cluster_id", at(0).alias("x"), at(1).alias("y"), (F.col("cluster_id") == -1).alias("is_noise"))

@@ -133,10 +133,13 @@ def test_hdbscan_finds_blobs():
 def test_message_clusters(spark):
     rows = [(f"u{k:03d}", (np.eye(6)[k % 2] + np.random.default_rng(k).normal(0, 0.02, 6)).tolist()) for k in range(80)]
     df = spark.createDataFrame(rows, "uuid string, embedding array<double>")
-    got = {r["uuid"]: r["cluster_id"] for r in clusters.message_clusters(df, dims=3, min_size=10).collect()}
+    got = {r["uuid"]: r["cluster_id"] for r in clusters.message_clusters(df, dims=3, min_size=10, components=True).collect()}
     assert len(got) == 80 and len({got[f"u{k:03d}"] for k in range(0, 80, 2)} - {-1}) == 1
-    many = clusters.message_clusters(df, dims=3, min_size=10, band=25, block=16, plane=True).cache()
+    many = clusters.message_clusters(df, dims=3, min_size=10, components=True, band=25, block=16, plane=True).cache()
     assert {r["uuid"]: r["cluster_id"] for r in many.collect()} == got and many.where("x is not null").count() == 80
+    laid = {r["uuid"]: r["cluster_id"] for r in clusters.message_clusters(df, dims=2, min_size=10, neighbours=15, rounds=3).collect()}
+    of = [{laid[f"u{k:03d}"] for k in range(g, 80, 2)} - {-1} for g in (0, 1)]
+    assert len(laid) == 80 and all(of) and not of[0] & of[1]  # groups don't mix
 
 
 def test_spanning_tree_on_executors(spark):

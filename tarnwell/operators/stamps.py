@@ -6,6 +6,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Callable
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -69,6 +70,34 @@ def simhash(column: str | Column) -> Column:
     return run(column)
 
 
+#: ``\w`` as both Python and Spark may write it.
+LETTERS = "[\\p{L}\\p{N}_]+"
+
+
+def digest64(gram: Column) -> Column:
+    """The first eight bytes of an MD5, as a signed number."""
+    return F.conv(F.substring(F.md5(gram.cast("binary")), 1, 16), 16, -10).cast("long")
+
+
+def simhashes_of(rows: DataFrame, key: str, text: str, hashed: Callable[[Column], Column] = digest64) -> DataFrame:
+    """``key`` and simhash64 of rows with unique keys, without Python: like ``simhash64``, with another hash of the 3-grams.
+
+    Each distinct gram is a row; its bits are added up two to a number, in 32 sums
+    that are made before anything is shuffled.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(LETTERS), F.lit(0))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " "))
+    one = rows.select(F.col(key).alias("k"), words.alias("w")).where(F.size("w") > 0).select("k", F.explode(F.array_distinct(grams)).alias("gram")).select("k", hashed(F.col("gram")).alias("h"))
+    pair = F.lit((1 << 32) | 1).cast("long")
+    sums = one.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.shiftrightunsigned("h", i).bitwiseAND(pair)).alias(f"s{i}") for i in range(32)])
+    value = F.lit(0).cast("long")
+    for i in range(32):
+        for j, part in ((i, F.col(f"s{i}").bitwiseAND(F.lit((1 << 32) - 1).cast("long"))), (i + 32, F.shiftrightunsigned(f"s{i}", 32))):
+            bit = (1 << j) - (1 << 64 if j == 63 else 0)
+            value = value.bitwiseOR(F.when(2 * part > F.col("n"), F.lit(bit).cast("long")).otherwise(F.lit(0).cast("long")))
+    return rows.select(F.col(key).alias(key)).join(sums.select(F.col("k").alias(key), value.alias("simhash64")), key, "left").select(key, F.coalesce("simhash64", F.lit(0).cast("long")).alias("simhash64"))
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
@@ -120,24 +149,54 @@ def stamp(text: DataFrame, counter: Callable[[str], int] = count_pieces, stamped
     return rows.select("uuid", "session_id", "approx_tokens", "simhash64", token_budget(F.col("approx_tokens")).alias("token_budget_bucket"), F.lit(None).cast("string").alias("canonical_uuid"), "first_seen_ts", (stamped_at if stamped_at is not None else F.current_timestamp()).alias("stamped_at"))
 
 
+def _tables(bits: int, gate: int) -> list[tuple[int, int, list[int]]]:
+    """(number, key mask, masks that come before) of the tables that find all signatures within ``bits`` errors that agree in the ``gate`` top bits.
+
+    The other bits are cut into two blocks more than there may be errors, so that two
+    blocks agree at least; a table keys on the gate and one choice of two blocks. The
+    masks before are those of blocks that, if they agreed too, would make another
+    table the pair's first one.
+    """
+    blocks, free, signed = bits + 2, 64 - gate, lambda x: x - (1 << 64) if x >> 63 else x
+    cuts = [free * k // blocks for k in range(blocks + 1)]
+    masks = [((1 << high) - 1) ^ ((1 << low) - 1) for low, high in zip(cuts, cuts[1:], strict=False)]
+    top = ((1 << 64) - 1) ^ ((1 << free) - 1)
+    choices = combinations(range(blocks), 2)
+    return [(t, signed(top | masks[i] | masks[j]), [signed(masks[k]) for k in range(j) if k != i]) for t, (i, j) in enumerate(choices)]
+
+
+def near_signatures(signatures: DataFrame, bits: int = 3, gate: int = 16) -> DataFrame:
+    """x and y, both ways and each with itself, of the distinct ``signatures`` (simhash64) that differ in at most ``bits`` bits and agree in the ``gate`` top ones.
+
+    Keys are the gate and two of ``bits`` + 2 blocks, 35 bits for three errors, so
+    that what shares a key does not grow with the data but for what is alike. A
+    pair is compared in every table where it meets and given by the first.
+    """
+    distinct = signatures.select("simhash64").distinct()
+    tables = [F.struct(F.lit(t).alias("t"), F.col("simhash64").bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m, _ in _tables(bits, gate)]
+    dealt = distinct.select("simhash64", F.explode(F.array(*tables)).alias("at"))
+    a, b = (dealt.select(F.col("simhash64").alias(x), "at") for x in "xy")
+    differ = F.col("x").bitwiseXOR(F.col("y"))
+    first = F.lit(False)
+    for t, _, before in _tables(bits, gate):
+        this = F.col("at.t") == t
+        for m in before:
+            this = this & (differ.bitwiseAND(F.lit(m).cast("long")) != 0)
+        first = first | this
+    return a.join(b, "at").where((hamming(F.col("x"), F.col("y")) <= bits) & first).select("x", "y")
+
+
 def canonical(stamps: DataFrame, mode: str = "earliest", bits: int = 3, exact: bool = False) -> DataFrame:
     """uuid and canonical_uuid.
 
-    Near are stamps of one gate that differ in at most ``bits`` bits: the gate is
-    the top 16 bits, or with ``exact`` any of four 16-bit bands, one of which any
-    three errors leave whole. ``macro``: the smallest uuid that is not later,
-    itself included; ``worker``: the smallest that is earlier, else itself;
-    ``earliest``: the first seen, ties to the smallest uuid. Equal signatures are
-    joined through one row each, so that copies don't multiply.
+    Near are stamps that differ in at most ``bits`` bits and, but with ``exact``,
+    agree in the top 16. ``macro``: the smallest uuid that is not later, itself
+    included; ``worker``: the smallest that is earlier, else itself; ``earliest``:
+    the first seen, ties to the smallest uuid. Equal signatures are joined through
+    one row each, so that copies don't multiply.
     """
-    if exact and bits > 3:
-        raise ValueError("four bands find three errors at most")
     rows = stamps.select("uuid", "simhash64", F.col("first_seen_ts").alias("ts"))
-    distinct = rows.select("simhash64").distinct()
-    bands = [F.struct(F.lit(b).alias("band"), F.shiftrightunsigned("simhash64", 16 * b).bitwiseAND(F.lit(0xFFFF).cast("long")).alias("value")) for b in ((3, 2, 1, 0) if exact else (3,))]
-    dealt = distinct.select("simhash64", F.explode(F.array(*bands)).alias("gate"))
-    a, b = dealt.withColumnRenamed("simhash64", "x"), dealt.withColumnRenamed("simhash64", "y")
-    near = a.join(b, "gate").where(hamming(F.col("x"), F.col("y")) <= bits).select("x", "y").distinct()
+    near = near_signatures(rows, bits, 0 if exact else 16)
     if mode == "earliest":
         first = rows.groupBy(F.col("simhash64").alias("y")).agg(F.min(F.struct("ts", "uuid")).alias("first"))
         best = near.join(first, "y").groupBy("x").agg(F.min("first").alias("first"))

@@ -660,3 +660,19 @@ def stream_latest_wins(spark, d):
     again = rows.where("event_id % 2 = 0")
     watch.keep_latest(rows.unionByName(again), last, ("ts", "event_id"), f"{place}/state").awaitTermination()
     return last.read().select("user_id", "event_id", "event_type")
+
+
+#: A bit is set where more than half of the distinct 3-grams' hashes have it.
+SIMHASHES = r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS gram FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM w WHERE len(w) > 0)),
+h AS (SELECT doc_id, ('0x' || substr(md5(gram), 1, 16))::UBIGINT AS h FROM g),
+c AS (SELECT doc_id, count(*) AS n, list_transform(range(64), lambda b: 0) AS none FROM h GROUP BY doc_id),
+s AS (SELECT doc_id, b, sum(((h >> b) & 1)::BIGINT) AS ones FROM h, (SELECT unnest(range(64))::UBIGINT AS b) GROUP BY ALL),
+v AS (SELECT doc_id, sum(CASE WHEN 2 * ones > n THEN (1::HUGEINT) << b::HUGEINT ELSE 0 END)::HUGEINT AS v FROM s JOIN c USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, (CASE WHEN v >= 9223372036854775808 THEN v - 18446744073709551616 ELSE coalesce(v, 0) END)::BIGINT AS simhash64 FROM documents d LEFT JOIN v USING (doc_id)"""
+
+
+@query(SIMHASHES)
+def simhash_without_python(spark, d):
+    """SimHash of whole documents in Spark's own expressions."""
+    return stamps.simhashes_of(table(spark, d, "documents"), "doc_id", "text")

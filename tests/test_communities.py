@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tarnwell.operators import clusters, graph, leiden
+from tarnwell.operators import clusters, graph, leiden, stamps
 
 
 def planted(n, groups, seed=1):
@@ -86,3 +86,29 @@ def test_labels_without_edges(spark):
     edges = spark.createDataFrame([], "weight double, low long, high long")
     assert [tuple(r) for r in clusters.tree_labels(edges, spark.range(1).withColumnRenamed("id", "nr"), 2).collect()] == [(0, -1)]
     assert clusters.tree_labels(edges, spark.range(0).withColumnRenamed("id", "nr"), 2).count() == 0
+
+
+@pytest.mark.parametrize("bits,gate", [(3, 16), (3, 0), (1, 16), (5, 8)])
+def test_near_signatures_against_all_pairs(spark, bits, gate):
+    draw = random.Random(bits + gate)
+    base = [draw.getrandbits(64) for _ in range(12)] + [0, (1 << 64) - 1]
+    values = {b for x in base for b in [x, *(x ^ sum(1 << k for k in draw.sample(range(64), draw.randint(1, 6))) for _ in range(12))]}
+    signed = [x - (1 << 64) if x >> 63 else x for x in values]
+    got = [(r["x"], r["y"]) for r in stamps.near_signatures(spark.createDataFrame([(x,) for x in signed] * 2, "simhash64 long"), bits, gate).collect()]
+    full = (1 << 64) - 1
+    want = {(x, y) for x in signed for y in signed if bin((x ^ y) & full).count("1") <= bits and not ((x ^ y) & full) >> (64 - gate)}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > len(signed)
+
+
+def test_keys_don_t_grow_with_the_data(spark):
+    """Ten times the signatures share keys with ten times the partners at most, not a hundred times."""
+    draw, met = random.Random(3), []
+    for n in (2_000, 20_000):
+        rows = spark.createDataFrame([(draw.getrandbits(46) - (1 << 45),) for _ in range(n)], "simhash64 long")  # few gates
+        met.append(stamps.near_signatures(rows, 3, 16).count())
+        keys = {t: Counter() for t in range(10)}
+        for r in rows.distinct().collect():
+            for t, m, _ in stamps._tables(3, 16):
+                keys[t][r[0] & m] += 1
+        met[-1] = sum(c * c for k in keys.values() for c in k.values()) / n
+    assert met[1] < 2.5 * met[0]

@@ -7,7 +7,8 @@ fused, and compared with a threshold; the nodes of the paths above it are the
 content. So are text elements between them, or beside them under the same parent,
 unless those beside are mostly links. Elements that hold no article text by their
 tag, or by a whole name of their class, id or role, are left out beforehand, but not
-one that holds nearly all of the page's text. Paths are numbers in a tree, and all
+one that holds nearly all of the page's text; where the name is one that builders of
+pages give to parts of an article too, the ratio of its text decides. Paths are numbers in a tree, and all
 sums are made in one pass, so that a page takes time in proportion to its length.
 
 Defined results: a null or empty page, or one without content, gives ''; pages
@@ -29,8 +30,8 @@ from tarnwell.llm.text import pick
 
 #: Fixed tables of HTML's elements.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var label".split())
-RAW = frozenset("script style noscript template textarea iframe svg math select object canvas title head".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var label object math semantics mrow mi mn mo ms mtext mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mtable mtr mtd".split())
+RAW = frozenset("script style noscript template textarea iframe svg annotation annotation-xml select canvas title head".split())
 OUTSIDE = frozenset("nav footer aside menu button dialog".split())
 #: Elements that hold no article text unless they hold nearly all text.
 DOUBTFUL = frozenset("header form".split())
@@ -42,18 +43,23 @@ ARTICLE = frozenset("article main".split())
 FOLLOWS = HEADINGS | frozenset("p li dt dd td th pre blockquote figcaption caption summary".split())
 HOLDERS = frozenset("ul ol dl li dt dd table thead tbody tfoot tr td th blockquote figure details".split())
 SCOPE = ("ul", "ol", "dl", "table", "article", "section", "main", "div", "body")
-#: Words in names of what is no article text.
+#: Words in names of what is no article text, in the languages of the tables.
 STRONG = re.compile(
-    r"(?:ads?|adsby\w*|advert\w*|adbox|adslot|adunit|sponsor(?:s|ed)?|promos?|promotions?|promoted|banners?|nav|navbar|navi|topnav|subnav|navlinks|menus?|menubar|breadcrumbs?|sidebars?|widgets?|footer|header|masthead|topbar|"
-    r"cookies?|consent|gdpr|popup|modal|overlay|newsletters?|subscribe|signup|comment(?:s|ers?|list|form|area|box|section|thread)?|reply|replies|disqus|sharing|recommend(?:ed|ations?)?|pagination|pager|toolbar|skip|login|"
-    r"complementary|navigation|contentinfo)"
+    r"(?:ads?|adsby\w*|advert\w*|adbox|adslot|adunit|sponsor(?:s|ed)?|nav|navbar|navi|topnav|subnav|navlinks|menus?|menubar|breadcrumbs?|sidebars?|footer|header|masthead|topbar|"
+    r"cookies?|consent|gdpr|popup|newsletters?|subscribe|signup|comment(?:s|ers?|list|form|area|box|section|thread)?|reply|replies|disqus|sharing|recommend(?:ed|ations?)?|pagination|pager|toolbar|login|"
+    r"complementary|navigation|contentinfo|"
+    r"kommentare?|werbung|anzeigen?|menue|menü|fu(?:ß|ss)zeile|kopfzeile|seitenleiste|commentaires?|publicit[eé]|comentarios?|publicidad|anuncios?|barralateral|menú)"
 )
+#: Words of names that builders of pages also give to parts of an article: such an element is left out unless its text is like the content's.
+DOUBTED = re.compile(r"(?:promos?|promotions?|promoted|banners?|widgets?|modal|overlay|skip)")
 #: Words that say so alone, or with one that names a part of a page; in an article's own names they may say what it is about.
 WEAK = frozenset("notice notices disclaimer discussion feedback share social related search alert side".split())
 PARTS = frozenset("bar box links list button buttons widget block area container wrap wrapper icons posts articles stories form panel tools site top bottom page global left right column".split())
 #: Words by which a name tells how a page is laid out, and whose headers belong to the article.
 STATES = frozenset("no not has have with without is hide hidden show use enable enabled disable disabled open closed".split())
 OWN = frozenset("post entry article story content main title section chapter".split())
+#: Text is like the content's if its ratio is one part in so many of the best path's.
+LIKE = 4
 #: An element that is left out by its name goes back if all that is left without it is less than one part of its text in so many.
 GUARD = 10
 SPECIAL = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|!\[CDATA\[|[!?])")
@@ -64,18 +70,20 @@ PUNCTUATION = re.compile(r"[.,;:!?。，、！？…]")
 BLANK = re.compile(r"\s+")
 
 
-def names_outside(name: str) -> bool:
-    """Whether one name of a class, an id or a role is of what holds no article text."""
+def names_outside(name: str) -> int:
+    """Whether one name of a class, an id or a role is of what holds no article text: 1, or 3 if the element's text has to say so too."""
     parts = [x.lower() for x in NAME_PARTS.findall(name)]
     if not parts or STATES.intersection(parts):
-        return False
+        return 0
     if any(STRONG.fullmatch(x) and not (x == "header" and OWN.intersection(parts)) for x in (*parts, "".join(parts))):
-        return True
-    return any(x in WEAK and (len(parts) == 1 or any(y in PARTS or y in WEAK for y in parts if y != x)) for x in parts)
+        return 1
+    if any(x in WEAK and (len(parts) == 1 or any(y in PARTS or y in WEAK for y in parts if y != x)) for x in parts):
+        return 1
+    return 3 if any(map(DOUBTED.fullmatch, parts)) else 0
 
 
 def _outside(tag: str, attributes: str, in_article: bool) -> tuple[int, str]:
-    """0: the element may hold article text; 1: it does not by its name; 2: it can't. And its name in a path."""
+    """0: the element may hold article text; 1: it does not by its name; 2: it can't; 3: it does not if its text is unlike the content's. And its name in a path."""
     name, found = tag, 2 if tag in OUTSIDE else 1 if tag in DOUBTFUL and not (tag == "header" and in_article) else 0
     if attributes:
         for key, *values in ATTRIBUTE.findall(attributes):
@@ -85,8 +93,9 @@ def _outside(tag: str, attributes: str, in_article: bool) -> tuple[int, str]:
             if key in ("class", "id", "role"):
                 name += "." + value
                 # An id of a heading is made from what the article says there.
-                if not found and tag not in ("html", "body", "article", "main") and not (key == "id" and tag in HEADINGS) and any(map(names_outside, value.split())):
-                    found = 1
+                if found in (0, 3) and tag not in ("html", "body", "article", "main") and not (key == "id" and tag in HEADINGS):
+                    told = {*map(names_outside, value.split())}
+                    found = 1 if 1 in told else 3 if 3 in told else found
     return found, name
 
 
@@ -209,7 +218,7 @@ class Page:
             opened[tag].append(len(stack))
             if not inline:
                 bases.append(len(stack))
-            stack.append((tag, element, flag == 2 or inline and flag == 1))
+            stack.append((tag, element, flag == 2 or inline and flag in (1, 3)))
             hidden += stack[-1][2]
         if not hidden:
             flush()
@@ -217,6 +226,7 @@ class Page:
     def kept(self) -> list[tuple[int, str, bool]]:
         """(path, text, whether it is mostly links) of the blocks that may be content, in order."""
         n = len(self.parent)
+        self._doubted()
         while True:
             out = [False] * n  # whether an element or one around it is left out
             for e in range(1, n):
@@ -234,6 +244,35 @@ class Page:
                 most = self.parent[most]
 
 
+    def _doubted(self) -> None:
+        """Elements that a doubted name leaves out go back if their text's ratio is like that of the best path outside them, and not mostly links."""
+        n = len(self.parent)
+        doubted = [0] * n  # the outermost doubted element around each, if nothing else leaves it out; -1: something does
+        for e in range(1, n):
+            around = doubted[self.parent[e]]
+            doubted[e] = -1 if around < 0 or self.flag[e] in (1, 2) else around or (e if self.flag[e] == 3 else 0)
+        if not any(f == 3 for f in self.flag):
+            return
+        text, marks, count, links, paths = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(lambda: [0, 0, 0])
+        for e, body, linked in self.blocks:
+            if (d := doubted[e]) < 0:
+                continue
+            points = len(PUNCTUATION.findall(body))
+            if d:
+                text[d], marks[d], count[d], links[d] = text[d] + len(body), marks[d] + points, count[d] + 1, links[d] + linked
+            else:
+                sums = paths[self.path[e]]
+                sums[0], sums[1], sums[2] = sums[0] + len(body), sums[1] + points, sums[2] + 1
+        ratio = lambda t, m, c: t / c * (1 + m / c) ** 0.5
+        best = max((ratio(*x) for x in paths.values()), default=0.0)
+        # Where a page is built of such elements alone, they are measured by the best of themselves.
+        best = max(best, max((ratio(text[d], marks[d], count[d]) for d in count if 2 * links[d] <= count[d]), default=0.0))
+        alike = {d for d in count if 2 * links[d] <= count[d] and LIKE * ratio(text[d], marks[d], count[d]) >= best}
+        for e in range(1, n):
+            if self.flag[e] == 3:
+                self.flag[e] = 0 if doubted[e] in alike else 1
+
+
 def followed(page: Page, nodes: list[tuple[int, str, bool]], sure: list[bool]) -> list[bool]:
     """``sure``, and the blocks that stand between such, or beside one."""
     out = list(sure)

@@ -91,3 +91,21 @@ def test_odd_pages(spark):
     got = sorted((r["page_id"], r["n_chars"]) for r in he.extract_pages(df).collect())
     assert got == [(1, 0), (1, 0), (2, 0), (3, 2000 * (len(TEXT) + 1) - 1), (3, 2000 * (len(TEXT) + 1) - 1)]
     assert he.extract_pages(df.limit(0)).count() == 0
+
+
+PROSE = "This is a paragraph of some length, with a comma or two, which tells the reader what happened. It goes on, as articles do, for a while."
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<h1>Title</h1><div class='elementor-widget'><p>{PROSE}</p></div><div class='elementor-widget'><p>Second. {PROSE}</p></div>", ["Title", PROSE, f"Second. {PROSE}"]),
+        (f"<div><p>{PROSE}</p><p class='skip-ahead'>Skipped, or not? {PROSE}</p><div class='overlay'><p>Over it. {PROSE}</p></div></div>", [PROSE, f"Skipped, or not? {PROSE}", f"Over it. {PROSE}"]),
+        (f"<article><p>{PROSE}</p><p>Let <math><mi>x</mi><annotation encoding='tex'>\\x</annotation></math> be, and <object data='a.svg'>a drawing</object> too.</p></article>", [PROSE, "Let x be, and a drawing too."]),
+        (f"<div><p>{PROSE}</p><p>{PROSE}</p></div><div class='kommentare'><p>Leser: {PROSE}</p></div><div class='werbung'><p>Kauf! {PROSE}</p></div>", [PROSE, PROSE]),
+        (f"<div><p>{PROSE}</p></div><div class='widget'><h3>Recent</h3><ul><li><a href='a'>One post</a></li><li><a href='b'>Another post</a></li></ul></div><a class='skip-link' href='#main'>Skip to content</a>", [PROSE]),
+        (f"<div><p>{PROSE}</p></div><div class='banner'>Buy now</div><div class='modal'><p>Close</p></div>", [PROSE]),
+    ],
+)
+def test_names_that_do_not_decide_alone(page, want):
+    assert he.extract(f"<html><body><nav><a href='/'>Home</a></nav>{page}<footer>Imprint</footer></body></html>").split("\n") == want

@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell import schemas
-from tarnwell.operators import analytics, friction, graph, macros, stamps, state, terms, trajectory, transcript, vectors, views
+from tarnwell.operators import analytics, friction, graph, macros, models, stamps, state, terms, trajectory, transcript, vectors, views
 from tarnwell.plans.checkpoints import checkpointed, ready
 from tarnwell.plans.queries import NOW, micros, query, table, vecs
 from tarnwell.sources import transcripts
+from tarnwell.sources.buckets import Buckets
 from tarnwell.streaming import watch
 
 TOOLS = ("TodoWrite", "Agent", "TaskCreate", "TaskUpdate", "Skill", "Bash")
@@ -450,3 +451,96 @@ def scan_changed_files(spark, d):
     mtimes = transcripts.session_mtimes(spark, f"{place}/*/part-*", names="part-*")
     known = spark.createDataFrame([], "path string, mtime timestamp")
     return watch.diff_frames(known, mtimes.withColumnRenamed("session_id", "path")).select("path", "change")
+
+
+#: A parent's name in files of subagents: there are ten.
+PARENT = "'00000000-0000-0000-0000-00000000000' || conv_id % 10"
+
+
+def _agents(spark: SparkSession, d: str, lines: DataFrame) -> str:
+    """Lines (value, k) as files below parents' folders, as Spark writes them."""
+    ready(spark)
+    place = f"{spark.sparkContext.getCheckpointDir()}/subagents-{uuids.uuid4().hex}"
+    named = lines.select("value", F.concat(F.lit("00000000-0000-0000-0000-00000000000"), "k").alias("parent"), F.lit("subagents").alias("kind"), F.concat(F.lit("agent-a"), "k").alias("agent"))
+    named.repartition("parent").write.partitionBy("parent", "kind", "agent").text(place)
+    return f"{place}/*/*/*/part-*"
+
+
+@query(f"WITH {EVENTS} SELECT {PARENT} AS parent_session_id, 'a' || conv_id % 10 AS agent_hex, count(*) AS n, epoch_us(min(ts)) AS first_us, count(*) FILTER (WHERE role = 'assistant') AS answers FROM e WHERE conv_id % 2 = 1 GROUP BY conv_id % 10")
+def scan_subagents(spark, d):
+    """Files of subagents, whose parents and names are those of their folders."""
+    lines = lines_of(spark, d).where(F.col("bucket").cast("int") % 2 == 1).select("value", F.col("bucket").alias("k"))
+    rows = transcripts.raw_subagents(spark, _agents(spark, d, lines))
+    return rows.groupBy("parent_session_id", "agent_hex").agg(F.count(F.lit(1)).alias("n"), F.unix_micros(F.min("timestamp")).alias("first_us"), F.count_if(F.col("type") == "assistant").alias("answers"))
+
+
+@query(f"SELECT DISTINCT {PARENT} AS parent_session_id, 'a' || conv_id % 10 AS agent_hex, 'kind' || conv_id % 10 AS agent_type, 'line' || chr(10) || 'two' AS description FROM conversations")
+def scan_subagent_meta(spark, d):
+    """The side files of subagents, objects over several lines."""
+    k = (F.col("conv_id") % 10).cast("string")
+    rows = table(spark, d, "conversations").select(k.alias("k")).distinct()
+    lines = rows.select("k", F.concat(F.lit('{\n  "agentType": "kind'), "k", F.lit('",\n  "description": "line\\ntwo"\n}')).alias("value"))
+    meta = transcripts.raw_subagent_meta(spark, _agents(spark, d, lines))
+    return meta.select("parent_session_id", "agent_hex", F.col("agentType").alias("agent_type"), "description")
+
+
+def told_texts(spark: SparkSession, d: str) -> DataFrame:
+    """session_id and transcript: each session's texts in order."""
+    rows = view(spark, d, "messages_text").groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("ts", "uuid", "text_content"))).alias("all"))
+    return rows.select("session_id", F.array_join(F.transform("all", lambda x: F.concat(x["uuid"], F.lit(" "), x["text_content"])), "\n").alias("transcript"))
+
+
+TOLD = "x AS (SELECT session_id, string_agg(uuid || ' ' || body, chr(10) ORDER BY ts, uuid) AS transcript FROM t GROUP BY session_id), n AS (SELECT *, length(transcript) AS n FROM x)"
+
+
+def fixed_model(text: str) -> dict:
+    """Stands for a model: what it says follows from the length of what it is asked."""
+    n = len(text)
+    if n % 7 == 0:
+        raise models.Refused("no")
+    if n % 5 == 0:
+        raise ValueError("busy")
+    first = [line.split(" ")[0] for line in text.split("\n") if "-" in line.split(" ")[0]]
+    clash = {"turn_a_uuid": first[0], "turn_b_uuid": first[-1] if n % 3 else "unknown", "conflict_kind": ("reversal", "odd")[n % 2], "severity": "low", "agent_position": "a", "user_position": "b", "confidence": "0.5"}
+    return {"autonomy_tier": (*models.TIERS, "odd")[n % 4], "work_category": models.CATEGORIES[n % 6], "success": models.OUTCOMES[n % 4], "goal": f"goal {n}", "confidence": 0.25 * (n % 4), "conflicts": [clash]}
+
+
+@query(
+    f"""WITH {EVENTS}, {TOLD} SELECT session_id, ['manual', 'assisted', 'autonomous', NULL][n % 4 + 1] AS autonomy_tier, ['sde', 'admin', 'strategy_business', 'events', 'thought_leadership', 'other'][n % 6 + 1] AS work_category,
+  ['success', 'partial', 'failure', 'unknown'][n % 4 + 1] AS success, 'goal ' || n AS goal, round(0.25 * (n % 4), 4)::DOUBLE AS confidence FROM n WHERE n % 7 <> 0 AND n % 5 <> 0"""
+)
+def classified_sessions(spark, d):
+    """Sessions classified by a fixed model, asked on executors."""
+    return models.classifications(models.ask(told_texts(spark, d), fixed_model)).drop("classified_at").withColumn("confidence", F.round(F.col("confidence").cast("double"), 4))
+
+
+@query(f"WITH {EVENTS}, {TOLD} SELECT session_id AS unit_id, 'busy' AS error FROM n WHERE n % 7 <> 0 AND n % 5 = 0")
+def classify_failures(spark, d):
+    """What to ask again: failures that are not refusals."""
+    return models.failures(models.ask(told_texts(spark, d), fixed_model))
+
+
+@query(
+    f"""WITH {EVENTS}, {TOLD}, l AS (SELECT session_id, n, arg_min(uuid, (ts, uuid)) AS a, arg_max(uuid, (ts, uuid)) AS b FROM t JOIN n USING (session_id) GROUP BY ALL)
+SELECT session_id, a AS turn_a_uuid, b AS turn_b_uuid, CASE WHEN n % 2 = 0 THEN 'reversal' END AS conflict_kind, 'low' AS severity, 0.5 AS confidence FROM l WHERE n % 7 <> 0 AND n % 5 <> 0 AND n % 3 <> 0 AND a <> b"""
+)
+def conflicts_found(spark, d):
+    """Conflicts that a fixed model tells of two turns, both of which the session has."""
+    found = models.conflicts(models.ask(told_texts(spark, d), fixed_model), view(spark, d, "messages"))
+    return found.select("session_id", "turn_a_uuid", "turn_b_uuid", "conflict_kind", "severity", "confidence")
+
+
+@query(
+    f"""WITH {EVENTS}, r AS (SELECT t.uuid, t.session_id, md5(t.body) AS digest, e.turn, e.conv_id % 3 = 0 AND bool_or(e.turn % 2 = 0) OVER (PARTITION BY t.session_id) AS again FROM t JOIN e ON e.uuid = t.uuid)
+SELECT uuid, session_id, digest, again FROM r WHERE NOT again OR turn % 2 = 0"""
+)
+def replaced_by_session(spark, d):
+    """A table of messages in buckets; a third of its sessions is replaced by half of their messages."""
+    ready(spark)
+    place = f"{spark.sparkContext.getCheckpointDir()}/replaced-{uuids.uuid4().hex}"
+    kept = Buckets(spark, place, "uuid string, session_id string, digest string, again boolean", ("session_id",), 16)
+    rows = checkpointed(view(spark, d, "messages_text").select("uuid", "session_id", F.md5("text_content").alias("digest"), F.lit(False).alias("again")))
+    kept.replace(rows)
+    turn = F.split_part("uuid", F.lit("-"), F.lit(2)).cast("int")
+    kept.replace(rows.where((F.col("session_id").cast("long") % 3 == 0) & (turn % 2 == 0)).withColumn("again", F.lit(True)))
+    return kept.read()

@@ -15,7 +15,7 @@ from tarnwell import schemas
 #: Part files as sessions or Spark's writers leave them; a folder's name may be a partition's, like ``session=7``.
 PART = r"/(?:[^/=]+=)?([^/]+)/part-[^/]*\.(?:jsonl|json|txt)$"
 FLAT = r"([^/]+)\.jsonl$"
-SUBAGENT = r"/([0-9a-f-]{36})/subagents/agent-([a-f0-9]+)\.(?:jsonl|meta\.json)$"
+SUBAGENT = r"/(?:[^/=]+=)?([0-9a-f-]{36})/(?:[^/=]+=)?subagents/(?:[^/=]+=)?agent-([a-f0-9]+)(?:\.(?:jsonl|meta\.json)|/part-[^/]*)$"
 REMOTE = ("s3://", "s3a://", "gs://", "abfs://", "hdfs://", "viewfs://")
 
 

@@ -95,3 +95,9 @@ def pick(df: pyspark.sql.DataFrame, *names: str) -> pyspark.sql.DataFrame:
 
 
 Maker = Callable[..., pyspark.sql.DataFrame]
+
+
+def spread(df: pyspark.sql.DataFrame) -> pyspark.sql.DataFrame:
+    """``df``, dealt anew if it has fewer parts than there are cores: for heavy work on a table that is one file. Larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwell.functions import since
+from tarnwell.functions import since, spread
 
 #: How many tokens of the target model one counted token stands for. Fixed value.
 RATIO = 0.78
@@ -87,7 +87,7 @@ def simhashes_of(rows: DataFrame, key: str, text: str, hashed: Callable[[Column]
     """
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(LETTERS), F.lit(0))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " "))
-    one = rows.select(F.col(key).alias("k"), words.alias("w")).where(F.size("w") > 0).select("k", F.explode(F.array_distinct(grams)).alias("gram")).select("k", hashed(F.col("gram")).alias("h"))
+    one = spread(rows.select(key, text)).select(F.col(key).alias("k"), words.alias("w")).where(F.size("w") > 0).select("k", F.explode(F.array_distinct(grams)).alias("gram")).select("k", hashed(F.col("gram")).alias("h"))
     pair = F.lit((1 << 32) | 1).cast("long")
     sums = one.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.shiftrightunsigned("h", i).bitwiseAND(pair)).alias(f"s{i}") for i in range(32)])
     value = F.lit(0).cast("long")

@@ -9,6 +9,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwell.functions import spread
 from tarnwell.plans.checkpoints import checkpointed
 
 #: Letters with marks that are common enough to fold without Python; others stay as they are. Fixed values.
@@ -51,10 +52,10 @@ def ctfidf(df: DataFrame, key: str, text: str, *, top: int = 10, min_df: int = 2
     Rows of one class may be many; each is exploded where it lies and counted
     before the shuffle.
     """
-    counts = checkpointed(ngrams(df, key, text, most).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))  # used three times
+    counts = checkpointed(ngrams(spread(df.select(key, text)), key, text, most).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))  # used three times
     classes = df.select(key).distinct().agg(F.count(F.lit(1)).alias("n_classes"))
-    spread = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("f")).crossJoin(F.broadcast(classes))  # one row
-    kept = spread.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n_classes"))).select("term", "f")
+    over = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("f")).crossJoin(F.broadcast(classes))  # one row
+    kept = over.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n_classes"))).select("term", "f")
     rows = counts.join(kept, "term")
     total = rows.groupBy(key).agg(F.sum("tf").alias("total"))
     weight = F.col("tf") / F.col("total") * F.log(1 + 1 / F.col("f"))

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnwell.functions import gap_ms, json_items, ratio
+from tarnwell.functions import gap_ms, json_items, ratio, spread
 from tarnwell.operators import analytics, clusters, friction, graph, leiden, macros, stamps, state, terms, trajectory, transcript, vector_table, vectors, views
 from tarnwell.plans import checkpoints
 from tarnwell.sources.buckets import Buckets
@@ -581,7 +581,7 @@ def top_k_per_group(spark, d):
 @query()
 def simhash_stamps(spark, d):
     """Stamps of all documents; hashing has no SQL."""
-    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("uuid"), "source", F.coalesce("text", F.lit("")).alias("text_content"))
+    rows = spread(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("uuid"), "source", F.coalesce("text", F.lit("")).alias("text_content")))
     return rows.select("uuid", stamps.simhash("text_content").alias("simhash64"), stamps.approx_tokens("text_content").alias("approx_tokens"))
 
 

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import math
-import unicodedata
-from collections import Counter
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,24 +64,3 @@ def cluster_terms(clusters: DataFrame, text: DataFrame, **options) -> DataFrame:
     rows = clusters.where("cluster_id >= 0").select("uuid", "cluster_id").join(text.select("uuid", "text_content"), "uuid")
     out = ctfidf(rows, "cluster_id", "text_content", **options)
     return out.select("cluster_id", "term", F.col("weight").cast("float").alias("weight"), "rank")
-
-
-def ctfidf_reference(docs: dict, top: int = 10, min_df: int = 2, max_df: float = 0.95) -> list[tuple]:
-    """The same in plain Python, for tests."""
-    import re
-
-    strip = lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
-    counts = {}
-    for k, body in docs.items():
-        words = re.findall(r"\b\w\w+\b", strip(body.lower()))
-        counts[k] = Counter(words) + Counter(" ".join(p) for p in zip(words, words[1:], strict=False))
-    spread, f = Counter(t for c in counts.values() for t in c), Counter()
-    for c in counts.values():
-        f.update(c)
-    keep = {t for t, n in spread.items() if min_df <= n <= max_df * len(docs)}
-    out = []
-    for k, c in counts.items():
-        total = sum(n for t, n in c.items() if t in keep)
-        ranked = sorted(((n / total * math.log(1 + 1 / f[t]), t) for t, n in c.items() if t in keep), key=lambda x: (-round(x[0], 12), x[1]))
-        out += [(k, t, w, i) for i, (w, t) in enumerate(ranked[:top], 1) if w > 0]
-    return out

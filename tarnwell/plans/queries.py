@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnwell.functions import gap_ms, json_items, ratio, spread
-from tarnwell.operators import analytics, clusters, friction, graph, leiden, macros, stamps, state, terms, trajectory, transcript, vector_table, vectors, views
+from tarnwell.operators import analytics, friction, graph, leiden, macros, stamps, state, terms, trajectory, transcript, vector_table, vectors, views
 from tarnwell.plans import checkpoints
 from tarnwell.sources.buckets import Buckets
 from tarnwell.streaming import watch
@@ -620,12 +620,6 @@ def communities_hold(spark, d):
     return found.agg(F.count_distinct("id").alias("sessions")).crossJoin(split).crossJoin(worth)  # a row each
 
 
-@query()
-def density_clusters(spark, d):
-    """Density clusters of all vectors, by the spanning tree that executors find; their labels in bands of the tree."""
-    return clusters.message_clusters(vecs(spark, d), dims=8, min_size=10).select("uuid", "cluster_id", "is_noise")
-
-
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
     """The table of events, a file or a folder, as a stream (of a pattern, as streams take no single file)."""
     return spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")

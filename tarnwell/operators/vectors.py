@@ -8,10 +8,13 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tarnwell.functions import cosine, norm, since
+from tarnwell.operators.blocks import Best, beside, packed, pairs, units
 
 
 class Embedder(Protocol):
@@ -85,6 +88,11 @@ def neighbours(embeddings: DataFrame, uuid: str, k: int) -> DataFrame:
     return rows.select("uuid", (1 - cosine(F.col("embedding"), F.col("seed"))).alias("distance")).orderBy(F.asc_nulls_last("distance"), "uuid").limit(k)
 
 
+def finite(column: Column) -> Column:
+    """Whether there is a vector, of finite components only."""
+    return F.coalesce(F.forall(column, lambda x: F.abs(x) < float("inf")), F.lit(False))
+
+
 def mean_vector(column: str | Column) -> Column:
     """The mean of arrays in a group, place by place, inside the aggregation: no row for each place is made."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -126,29 +134,28 @@ def neighbours_of_session(centroid_table: DataFrame, session_id: str, communitie
 def knn(vectors: DataFrame, key: str, vector: str, k: int, blocks: int | None = None) -> DataFrame:
     """src, dst, sim of each row's k nearest by cosine, ties to the smaller key.
 
-    Rows are dealt to blocks; each pair of blocks is one matrix product on an
-    executor, which returns its k best of each row, so that no row is made for
-    the other pairs. Exact; the work is that of all pairs.
+    Blocks of rows meet in a Cartesian product that shuffles nothing; a task keeps the
+    k best of each of its rows, so that no row is made for the other pairs, and what
+    is written doesn't grow with their number. Exact; the work is that of all pairs.
+    Vectors that are null or have a component that isn't finite are no one's neighbours.
     """
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    n = blocks or max(1, -(-rows.count() // 2048))
-    held = rows.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    left = held.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    right = held.select("id", "v", F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
-    schema = f"src {dict(rows.dtypes)['id']}, dst {dict(rows.dtypes)['id']}, sim double"
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"src": [], "dst": [], "sim": []})
-        b = b.sort_values("id", kind="stable").reset_index(drop=True)
-        scaled = lambda x: (m := np.stack([np.asarray(y, float) for y in x["v"]])) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        sim = np.round(scaled(a) @ scaled(b).T, 12)
-        sim[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = -np.inf
-        best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-        value = np.take_along_axis(sim, best, 1).ravel()
-        out = pd.DataFrame({"src": np.repeat(a["id"].to_numpy(), best.shape[1]), "dst": b["id"].to_numpy()[best.ravel()], "sim": value})
-        return out[np.isfinite(value)]
-
-    found = left.groupBy("i", "j").cogroup(right.select("i", "j", F.col("id").alias("id"), F.col("v").alias("v")).groupBy("i", "j")).applyInPandas(run, schema)
+    kind = dict(rows.dtypes)["id"]
+    held = packed(rows.where(finite(F.col("v"))).select("id", "v"), blocks)
+
+    def run(batches):
+        found: dict = {}
+        for p in pairs(batches):
+            if p["a_block"] not in found:
+                ids = p["a_ids"]
+                found[p["a_block"]] = ids, Best(units(p["a_v"], len(ids)), k)
+            own, best = found[p["a_block"]]
+            best.add(units(p["b_v"], len(p["b_ids"])), p["b_ids"], own)
+        for own, best in found.values():
+            got = best.settle()
+            yield pa.RecordBatch.from_arrays([pa.array(x, given.field(0).type) for x in (own[got["row"].to_numpy()], got["id"].to_numpy())] + [pa.array(got["score"].to_numpy())], schema=given)
+
+    schema = f"src {kind}, dst {kind}, sim double"
+    given = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
     w = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
-    return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
+    return beside(held, held, run, schema).withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")

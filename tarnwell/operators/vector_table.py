@@ -21,12 +21,15 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tarnwell.functions import cosine, dot
 from tarnwell.operators import index
-from tarnwell.operators.vectors import unit
+from tarnwell.operators.blocks import AT_ONCE, Best, beside, packed, pairs, units
+from tarnwell.operators.vectors import finite, unit
 from tarnwell.plans.checkpoints import checkpointed
 
 FOLDERS, SPARE = 256, 8
@@ -131,36 +134,39 @@ class VectorTable:
     def recall(self, queries: DataFrame, k: int = 10, probes: int | None = None, spare: int = SPARE) -> DataFrame:
         """query and share, for each of ``queries`` (query, vector): how many of its k nearest, found exactly, ``search`` would give. All queries at once.
 
-        The exact vectors are read once, in blocks beside all queries, which are
-        broadcast as one matrix (a stated set, of a bounded number).
+        Blocks of queries meet blocks of the table; a task keeps the best of its queries,
+        by exact vectors and by the codes of the lists that a query reads. Queries and
+        rows without a vector of finite components take no part.
         """
-        asked = queries.select("query", F.col("vector").cast("array<double>").alias("vector")).toPandas()
-        matrix = np.stack([np.asarray(v, float) for v in asked["vector"]])
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        names, take = asked["query"].tolist(), probes or self.probes
-        read = np.argsort(-(matrix @ self.centres.T), axis=1, kind="stable")[:, :take]
-        opened = np.zeros((len(matrix), len(self.centres)), bool)
-        np.put_along_axis(opened, read, True, axis=1)
-        both = self._read("exact").join(self._read("codes").select("id", "code", "step"), "id").select("id", "list", unit(F.col("v")).alias("u"), "code", "step")
-
-        def run(frames):
-            for rows in frames:
-                if not len(rows):
-                    continue
-                u = np.stack([np.asarray(x, float) for x in rows["u"]])
-                rough = np.stack([np.asarray(x, float) for x in rows["code"]]) * rows["step"].to_numpy(float)[:, None]
-                exact, near = np.round(matrix @ u.T, 12), matrix @ rough.T
-                near[~opened[:, rows["list"].to_numpy()]] = -np.inf
-                for kind, values, n in (("exact", exact, k), ("near", near, k * spare)):
-                    top = np.argsort(-values, axis=1, kind="stable")[:, :n]
-                    out = pd.DataFrame({"query": np.repeat(np.arange(len(names)), top.shape[1]), "kind": kind, "id": rows["id"].to_numpy()[top.ravel()], "score": np.take_along_axis(values, top, 1).ravel()})
-                    yield out[np.isfinite(out["score"])]
-
-        kind = dict(both.dtypes)["id"]
-        found = both.mapInPandas(run, f"query long, kind string, id {kind}, score double")
-        w = Window.partitionBy("query", "kind").orderBy(F.desc("score"), "id")
-        found = found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= F.when(F.col("kind") == "exact", k).otherwise(k * spare))
-        hits = found.groupBy("query", "id").agg(F.max((F.col("kind") == "exact").cast("int")).alias("real"), F.max((F.col("kind") == "near").cast("int")).alias("near")).where("real = 1")
-        shares = hits.groupBy("query").agg(F.avg("near").alias("share"))
-        named = self.spark.createDataFrame(list(enumerate(names)), f"nr long, query {dict(queries.dtypes)['query']}")
-        return named.join(shares.withColumnRenamed("query", "nr"), "nr").select("query", "share")
+        take, centres, kind = probes or self.probes, self.centres, dict(queries.dtypes)["query"]
+        asked = packed(queries.select(F.col("query").alias("id"), F.col("vector").cast("array<double>").alias("v")).where(finite(F.col("v"))))
+        both = self._read("exact").join(self._read("codes").select("id", "code", "step"), "id").where(finite(F.col("v")))
+        both = packed(both.select("id", "v", F.col("code").cast("array<double>").alias("code"), F.col("step").cast("double").alias("step"), F.col("list").cast("double").alias("list")))
+
+        def run(batches):
+            found: dict = {}
+            for p in pairs(batches):
+                if p["a_block"] not in found:
+                    ids = p["a_ids"]
+                    wanted = units(p["a_v"], len(ids))
+                    opened = np.zeros((len(ids), len(centres)), bool)
+                    for a in range(0, len(ids), AT_ONCE):
+                        np.put_along_axis(opened[a : a + AT_ONCE], np.argsort(-(wanted[a : a + AT_ONCE] @ centres.T), axis=1, kind="stable")[:, :take], True, axis=1)
+                    found[p["a_block"]] = ids, opened, Best(wanted, k), Best(wanted, k * spare)
+                _, opened, exact, near = found[p["a_block"]]
+                ids, lists = p["b_ids"], np.frombuffer(p["b_list"]).astype(int)
+                exact.add(units(p["b_v"], len(ids)), ids)
+                rough = np.frombuffer(p["b_code"]).reshape(len(ids), -1) * np.frombuffer(p["b_step"])[:, None]
+                near.add(rough, ids, shut=lambda at, opened=opened, lists=lists: ~opened[at][:, lists])
+            for block, (names, _, *best) in found.items():
+                for which, b in zip(("exact", "near"), best, strict=True):
+                    got = b.settle()
+                    row = got["row"].to_numpy()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), block, np.int64)), pa.array(row), pa.array(names[row], given.field("query").type), pa.array(np.full(len(got), which, object), pa.string()), pa.array(got["id"].to_numpy(), given.field("id").type), pa.array(got["score"].to_numpy())], schema=given)
+
+        schema = f"block long, row long, query {kind}, kind string, id {dict(self._read('exact').dtypes)['id']}, score double"
+        given = to_arrow_schema(self.spark.createDataFrame([], schema).schema)
+        w = Window.partitionBy("block", "row", "query", "kind").orderBy(F.desc("score"), "id")
+        found = beside(asked, both, run, schema).withColumn("n", F.row_number().over(w)).where(F.col("n") <= F.when(F.col("kind") == "exact", k).otherwise(k * spare))
+        hits = found.groupBy("block", "row", "query", "id").agg(F.max((F.col("kind") == "exact").cast("int")).alias("real"), F.max((F.col("kind") == "near").cast("int")).alias("near")).where("real = 1")
+        return hits.groupBy("block", "row", "query").agg(F.avg("near").alias("share")).select("query", "share")

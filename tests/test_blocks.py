@@ -1,8 +1,9 @@
 import math
 
 import numpy as np
+import pytest
 
-from tarnwell.operators import vectors
+from tarnwell.operators import vector_table, vectors
 
 
 def some(n: int, copies: int) -> tuple[list[str], np.ndarray]:
@@ -31,3 +32,18 @@ def test_neighbours_over_blocks_with_copies(spark):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" in plan and "Generate" not in plan and "CoGroup" not in plan  # no vector is written for each block beside it
     assert vectors.knn(df.limit(0), "id", "v", 7).count() == 0
+
+
+def test_recall_without_queries_on_the_driver(spark, tmp_path, monkeypatch):
+    ids, x = some(150, 12)
+    df = spark.createDataFrame(list(zip(ids, x.tolist(), strict=True)), "uuid string, embedding array<double>")
+    table = vector_table.VectorTable(spark, f"file://{tmp_path}/vectors").create(df, lists=6)
+    asked = spark.createDataFrame([*zip(ids[::5], x[::5].tolist(), strict=True), ("null", None)], "query string, vector array<double>")
+    want = dict(zip(ids[::5], nearest(ids, x, x[::5], 10), strict=True))
+    monkeypatch.setattr(type(df), "toPandas", lambda self: pytest.fail("rows go to the driver"))
+    all_read = {r["query"]: r["share"] for r in table.recall(asked, 10, probes=6, spare=30).collect()}
+    assert all_read == dict.fromkeys(want, 1.0)  # equal vectors are equally near by codes too
+    one = {r["query"]: r["share"] for r in table.recall(asked, 10, probes=1).collect()}
+    for query in list(want)[:4]:
+        got = {r["id"] for r in table.search(x[ids.index(query)].tolist(), 80, probes=1, spare=1).collect()}
+        assert one[query] == pytest.approx(len(got & set(want[query])) / 10)

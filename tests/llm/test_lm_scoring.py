@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tarnwell.llm import lm_scoring as lm
@@ -145,3 +146,26 @@ def test_packed_words_come_back():
     for k, key in enumerate(keys):
         i = int(np.searchsorted(words.keys, key))
         assert words.times[i].tolist() == [times[k].sum(), *times[k]] and words.ids[words.begin[i] : words.begin[i] + words.size[i]].tolist() == ids[at[k] : at[k + 1]].tolist()
+
+
+def test_words_of_a_lexicon_are_looked_at_once(monkeypatch):
+    n = 200
+    ids, at = lm.pieces([f"word{i}" for i in range(n)], lm.TOKENIZER)
+    counts = np.random.default_rng(5).integers(1, 50, (lm.IDS, lm.EXPERTS + 1)).astype(float)
+    model = lm.Model(counts, np.concatenate(([[5, 7]], counts[:1]), 1), counts, counts.sum(0), counts[0], counts[1])
+    data = " ".join(f"word{i}" for i in range(n + 5)).encode()
+    flat, offsets = np.frombuffer(data, np.uint8), np.array([0, len(data)])
+    h = lm.word_hashes(flat, offsets, lower=True)[0]
+    times = np.random.default_rng(6).integers(0, 9, (n, lm.EXPERTS)) + 1.0
+    packed, ends = lm.packed(times, ids, at)
+    told = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
+    model.lexicon = lm.Lexicon(pa.table({"key": h[:n].view(np.int64), "told": told}))
+    seen, words = [], model.words
+    monkeypatch.setattr(model, "words", lambda ids, at, times: seen.append(len(at) - 1) or words(ids, at, times))
+    (_, tables, often, *_), again = model.read(flat, offsets, lm.TOKENIZER), model.read(flat, offsets, lm.TOKENIZER)
+    assert sum(seen) == n + 2 * 5  # a word that the lexicon has isn't looked at again
+    every, where = lm.pieces([f"word{i}" for i in range(n + 5)], lm.TOKENIZER)
+    whole = np.concatenate((np.concatenate((times.sum(1, keepdims=True), times), 1), np.zeros((5, lm.EXPERTS + 1))))
+    for a, b, c in zip(tables, words(every, where, whole), again[1], strict=True):
+        assert np.allclose(a, b, atol=1e-5) and np.array_equal(a, c)
+    assert np.array_equal(often, whole[:, 0])
